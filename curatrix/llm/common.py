@@ -199,3 +199,40 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
 def crc_mod(col: str, m: int):
     """crc32 of a column as text, modulo m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)
+
+
+def lbfgs(loss_grad, x: np.ndarray, steps: int = 60, memory: int = 8, tol: float = 1e-5) -> np.ndarray:
+    """Minimise a smooth function given as x -> (loss, gradient), with limited-memory BFGS and backtracking."""
+    f, g = loss_grad(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, coef = -g, []
+        for s, y, rho in reversed(past):
+            a = rho * (s @ d)
+            coef.append(a)
+            d = d - a * y
+        if past:
+            s, y, _ = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, np.linalg.norm(g))
+        for (s, y, rho), a in zip(past, reversed(coef)):
+            d = d + (a - rho * (y @ d)) * s
+        slope, step = g @ d, 1.0
+        if slope >= 0:
+            d, slope, past = -g, -(g @ g), []
+        for _ in range(25):
+            fn, gn = loss_grad(x + step * d)
+            if fn <= f + 1e-4 * step * slope:
+                break
+            step *= 0.5
+        else:
+            break
+        s, y = step * d, gn - g
+        if s @ y > 1e-12:
+            past = [*past[-(memory - 1) :], (s, y, 1.0 / (s @ y))]
+        done = abs(f - fn) <= tol * max(1.0, abs(f))
+        x, f, g = x + s, fn, gn
+        if done:
+            break
+    return x

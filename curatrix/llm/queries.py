@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from curatrix.llm import mix_pareto
+from curatrix.llm import mix_pareto, nbsvm
 from curatrix.llm.common import read
 
 
+def op3_nbsvm_toxicity(spark, sf_dir):
+    return nbsvm.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_pareto_mix(spark, sf_dir):
     return mix_pareto.mix_report(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_nbsvm_toxicity": op3_nbsvm_toxicity,
     "op6_pareto_mix": op6_pareto_mix,
 }
