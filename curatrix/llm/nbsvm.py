@@ -7,8 +7,9 @@ documents; a logistic regression on presence * r gives the weights. Slots met in
 fewer than min_df training documents, or whose log ratio is within min_ratio
 of 0, count for nothing.
 
-The classifier is fitted on the driver from at most max_rows labelled rows (rows
-in the order of a hash of doc_id), whose features come as sparse blocks. Scoring
+The classifier is fitted on the driver from at most max_each labelled rows of
+either label (rows in the order of a hash of doc_id), whose features come as
+sparse blocks. Scoring
 goes over every whole text in Arrow batches with the fixed-size weight table.
 
 Defined results: null and empty texts have no n-grams but the boundary and are
@@ -106,16 +107,16 @@ def fit(rows: list[tuple[int, np.ndarray]], min_df: int = 5, alpha: float = 1.0,
     if not len(rows) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(rows) + 1.0)
         return Model(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    lens = np.array([len(r[1]) for r in rows])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-    slot = np.concatenate([r[1] for r in rows])
-    df = np.bincount(slot, minlength=size)
-    pos = np.bincount(slot[y[doc] == 1], minlength=size)
+    df, pos = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for label, slots in rows:
+        df[slots] += 1
+        pos[slots] += label
     p, q = pos + alpha, df - pos + alpha
     ratio = np.log((p / (y.sum() + 2 * alpha)) / (q / (len(y) - y.sum() + 2 * alpha)))
     used = (df >= min_df) & (np.abs(ratio) >= min_ratio)
-    keep = used[slot]
-    doc, slot = doc[keep], slot[keep]
+    kept = [s[used[s]] for _, s in rows]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s in kept])
+    slot = np.concatenate(kept)
     ids = np.flatnonzero(used)
     col = (np.cumsum(used) - 1).astype(np.int32)[slot]
     r = ratio[ids]
@@ -134,30 +135,36 @@ def fit(rows: list[tuple[int, np.ndarray]], min_df: int = 5, alpha: float = 1.0,
     return Model(weights, float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, fold=lambda d: d.filter(crc_mod("doc_id", 3) != 1)) -> DataFrame:
-    """(label, text) of at most max_rows labelled documents of the training fold, in the order of a hash of doc_id."""
-    lab = fold(labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()))
-    lab = lab.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    lab = lab.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text")
-    # max_rows bounds the labels' side, so it can be sent to every task.
-    return texts.join(F.broadcast(lab), "doc_id").select("y", "text")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_each: int) -> tuple[DataFrame, float]:
+    """(label, text) of at most max_each rows of either label in the training fold, in the order of a hash of doc_id; the log odds of all its labels."""
+    lab = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(crc_mod("doc_id", 3) != 1)
+    lab = lab.groupBy("doc_id").agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
+    n = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = [lab.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_each) for y in (0, 1)]
+    # max_each bounds the labels' side, so it can be sent to every task.
+    rows = docs.select("doc_id", "text").join(F.broadcast(kinds[0].union(kinds[1])), "doc_id").select("y", "text")
+    return rows, float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, min_df: int = 5) -> Model:
-    """Fit on at most max_rows labelled rows of the training fold."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 2_500, min_df: int = 5) -> Model:
+    """Fit on at most max_each labelled rows of either label of the training fold; the intercept follows the odds of all of its labels."""
 
     def blocks(batches):
         for batch in batches:
             ys = batch.column("y").to_pylist()
             got = list(document_slots(batch.column("text")))
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([np.unique(g).tobytes() for g in got], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([np.sort(g).tobytes() for g in got], pa.binary())})
 
     small_batches(docs.sparkSession, 500)
-    got = training_rows(docs, labels, label, max_rows).mapInArrow(blocks, "y int, slots binary").toArrow()
-    rows = [(y, np.frombuffer(s, np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots").to_pylist())]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes()))
-    return fit(rows, min_df=min_df)
+    sample, odds = training_rows(docs, labels, label, max_each)
+    got = sample.mapInArrow(blocks, "y int, slots binary").toArrow()
+    rows = [(y, np.frombuffer(s.as_buffer(), np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:256]))
+    model = fit(rows, min_df=min_df)
+    if rows and model.weights.any():
+        own = np.log((sum(y for y, _ in rows) + 0.5) / (sum(1 - y for y, _ in rows) + 0.5))
+        model.bias += odds - float(own)
+    return model
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
