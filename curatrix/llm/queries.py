@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from curatrix.llm import mix_pareto, nbsvm
+from curatrix.llm import mix_pareto, nbsvm, pii_crf
 from curatrix.llm.common import read
 
 
+def op1_crf_pii(spark, sf_dir):
+    return pii_crf.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op3_nbsvm_toxicity(spark, sf_dir):
     return nbsvm.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -15,6 +19,7 @@ def op6_pareto_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_crf_pii": op1_crf_pii,
     "op3_nbsvm_toxicity": op3_nbsvm_toxicity,
     "op6_pareto_mix": op6_pareto_mix,
 }
