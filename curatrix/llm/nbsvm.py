@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: in
             got = list(document_slots(batch.column("text")))
             yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([np.sort(g).tobytes() for g in got], pa.binary())})
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 100)
     sample, odds = training_rows(docs, labels, label, max_each)
     got = sample.mapInArrow(blocks, "y int, slots binary").toArrow()
     rows = [(y, np.frombuffer(s.as_buffer(), np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 200)
     return docs.mapInArrow(scored, schema)
 
 
