@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import mix_pareto, nbsvm, pii_crf
+from curatrix.llm import decontam, mix_pareto, nbsvm, pii_crf
 from curatrix.llm.common import read
 
 
@@ -18,8 +18,13 @@ def op6_pareto_mix(spark, sf_dir):
     return mix_pareto.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op8_spaced_seed_decontamination(spark, sf_dir):
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
     "op3_nbsvm_toxicity": op3_nbsvm_toxicity,
     "op6_pareto_mix": op6_pareto_mix,
+    "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
 }
