@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontam, mix_pareto, nbsvm, pii_crf
+from pyspark.sql import functions as F
+
+from curatrix.llm import ann_ads, decontam, mix_pareto, nbsvm, pii_crf
 from curatrix.llm.common import read
 
 
@@ -10,6 +12,10 @@ def op1_crf_pii(spark, sf_dir):
     return pii_crf.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op2_ads_neighbours(spark, sf_dir):
+    return ann_ads.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_nbsvm_toxicity(spark, sf_dir):
     return nbsvm.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -24,6 +30,7 @@ def op8_spaced_seed_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
+    "op2_ads_neighbours": op2_ads_neighbours,
     "op3_nbsvm_toxicity": op3_nbsvm_toxicity,
     "op6_pareto_mix": op6_pareto_mix,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
