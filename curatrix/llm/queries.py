@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, decontam, mix_pareto, nbsvm, pii_crf
+from curatrix.llm import ann_ads, decontam, mix_pareto, nbsvm, ordinal, pii_crf
 from curatrix.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op6_pareto_mix(spark, sf_dir):
     return mix_pareto.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op7_ordinal_quality(spark, sf_dir):
+    return ordinal.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_spaced_seed_decontamination(spark, sf_dir):
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -33,5 +37,6 @@ QUERIES = {
     "op2_ads_neighbours": op2_ads_neighbours,
     "op3_nbsvm_toxicity": op3_nbsvm_toxicity,
     "op6_pareto_mix": op6_pareto_mix,
+    "op7_ordinal_quality": op7_ordinal_quality,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
 }
