@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, decontam, mix_pareto, nbsvm, ordinal, pii_crf
+from curatrix.llm import ann_ads, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, pii_crf
 from curatrix.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op8_spaced_seed_decontamination(spark, sf_dir):
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
     "op2_ads_neighbours": op2_ads_neighbours,
@@ -39,4 +43,5 @@ QUERIES = {
     "op6_pareto_mix": op6_pareto_mix,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
+    "op10_jaccard_join": op10_jaccard_join,
 }
