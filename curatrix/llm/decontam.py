@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import materialize
+
 #: Masks: 1 is compared, 0 is ignored.
 MASKS = ("110110101", "1011001011")
 #: Words of the windows that are compared around a hit, and the share that must agree.
@@ -80,7 +82,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, span: int = SPAN,
         inside = (F.col("p") >= before) & (F.col("p") < before + count)
         start = F.when(inside, at - before) if start is None else start.when(inside, at - before)
         before = before + count
-    hits = hits.select("doc_id", "item", (start - F.col("item_at")).alias("diagonal")).distinct()
+    hits = materialize(hits.select("doc_id", "item", (start - F.col("item_at")).alias("diagonal")).distinct())
     known = items.select("item", "item_id", words(F.col("text")).alias("w_item"))
     known = F.broadcast(known) if n <= max_broadcast else known
     found = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
