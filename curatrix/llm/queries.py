@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, pii_crf, suffix_bpr
+from curatrix.llm import ann_ads, ctw, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, pii_crf, suffix_bpr
 from curatrix.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_suffix_bpr_dedup(spark, sf_dir):
     return suffix_bpr.dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_ctw_scoring(spark, sf_dir):
+    return ctw.scores(read(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mix(spark, sf_dir):
     return mix_pareto.mix_report(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_ads_neighbours": op2_ads_neighbours,
     "op3_nbsvm_toxicity": op3_nbsvm_toxicity,
     "op4_suffix_bpr_dedup": op4_suffix_bpr_dedup,
+    "op5_ctw_scoring": op5_ctw_scoring,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
