@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize, pack, small_batches, splitmix, unpack, word_hashes
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a block.
 BLOCK = 6 << 20
 U64, I64 = np.uint64, np.int64

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, ctw, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, pii_crf, suffix_bpr
+from curatrix.llm import ann_ads, ctw, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
 from curatrix.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op8_spaced_seed_decontamination(spark, sf_dir):
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_paragraph_minhash(spark, sf_dir):
+    return paragraph_minhash.clusters(read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.linked_documents(read(spark, sf_dir, "documents"))
 
@@ -53,5 +57,6 @@ QUERIES = {
     "op6_pareto_mix": op6_pareto_mix,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
+    "op9_paragraph_minhash": op9_paragraph_minhash,
     "op10_jaccard_join": op10_jaccard_join,
 }
