@@ -1,14 +1,65 @@
-"""Corpus pipeline: stages over documents, each written and read again as Parquet."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. Null and empty texts, repeated rows and empty tables pass through every
+stage as its operator states.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curatrix.llm import decontam, jaccard_join, mix_pareto, nbsvm, pii_crf
 from curatrix.llm.common import materialize, read
 
-STAGES: list = []
+#: A document goes if its toxicity score is at least this.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under TOXIC."""
+    model = nbsvm.train(docs, read(spark, sf_dir, "labels"))
+    name = "toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    return nbsvm.score(docs, model, name).filter(F.col(name) < TOXIC).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    return jaccard_join.one_of_each(docs, k=5, num=80)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return pii_crf.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the number of copies and the words they give."""
+    mixed = mix_pareto.pareto_mix(docs)
+    return mixed.filter(F.col("m_copies") > 0).select(*docs.columns, F.col("m_copies").alias("copies"), F.col("m_taken").alias("taken"), F.col("m_target").alias("source_target"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaked),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: The classifier and the random field have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, one after the other."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
