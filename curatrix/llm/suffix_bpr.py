@@ -46,31 +46,57 @@ U64 = np.uint64
 I64 = np.int64
 
 
-def grams(raw: np.ndarray, q: int) -> np.ndarray:
-    """A hash of the q bytes from each position, where they fit."""
-    n = len(raw) - q + 1
+def words8(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as one number, where they fit."""
+    n = len(raw) - 7
     if n <= 0:
         return np.zeros(0, U64)
-    h = np.zeros(n, U64)
-    for lo in range(0, q, 8):
-        w = np.zeros(n, U64)
-        for j in range(lo, min(q, lo + 8)):
-            w |= raw[j : j + n].astype(U64) << U64(8 * (j - lo))
-        h = (h ^ w) * GOLD
-        h ^= h >> U64(32)
-    return h * GOLD
+    raw = np.ascontiguousarray(raw)
+    out = np.empty(n, U64)
+    for k in range(min(8, n)):
+        m = (len(raw) - k) // 8
+        out[k::8] = raw[k : k + 8 * m].view(U64)[: len(out[k::8])]
+    return out
+
+
+def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    h = first * GOLD
+    h ^= h >> U64(32)
+    h = (h ^ last) * GOLD
+    return h ^ (h >> U64(29))
+
+
+def grams(raw: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q (8 to 16) bytes from each position, where they fit."""
+    w = words8(raw)
+    n = len(raw) - q + 1
+    return _mixed(w[:n], w[q - 8 : q - 8 + n]) * GOLD if n > 0 else np.zeros(0, U64)
 
 
 def grams_at(raw: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
     """As grams, at some positions only."""
-    h = np.zeros(len(at), U64)
-    for lo in range(0, q, 8):
-        w = np.zeros(len(at), U64)
-        for j in range(lo, min(q, lo + 8)):
-            w |= raw[at + j].astype(U64) << U64(8 * (j - lo))
-        h = (h ^ w) * GOLD
-        h ^= h >> U64(32)
-    return h * GOLD
+    first, last = np.zeros(len(at), U64), np.zeros(len(at), U64)
+    for j in range(8):
+        first |= raw[at + j].astype(U64) << U64(8 * j)
+        last |= raw[at + (q - 8 + j)].astype(U64) << U64(8 * j)
+    return _mixed(first, last) * GOLD
+
+
+def rows_of(raw: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes from each of some positions as rows; zeros past the end."""
+    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[first]
+
+
+def gathered(raw: np.ndarray, first: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The pieces of raw one after the other."""
+    if not len(first):
+        return raw[:0]
+    width, out = int(span.max()), []
+    for lo in range(0, len(first), 1 << 17):
+        f, s = first[lo : lo + (1 << 17)], span[lo : lo + (1 << 17)]
+        out.append(rows_of(raw, f, width)[np.arange(width)[None] < s[:, None]])
+    return np.concatenate(out)
 
 
 def minimizers(raw: np.ndarray, length: int, q: int) -> np.ndarray:
@@ -109,8 +135,9 @@ def pieces(raw: np.ndarray, off: np.ndarray, length: int, q: int):
             if not len(m):
                 continue
             at = lo + np.arange(len(m))
-            doc = np.searchsorted(off, at, side="right") - 1
-            inside = at + length <= off[doc + 1]
+            cut = np.clip(off[i : j + 1], lo, lo + len(m))
+            doc = np.repeat(np.arange(i, j), np.diff(cut))
+            inside = at + length <= np.repeat(off[i + 1 : j + 1], np.diff(cut))
             new = np.concatenate([[True], (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])])
             first = np.flatnonzero(new)
             runs = np.diff(np.append(first, len(m)))
@@ -125,7 +152,7 @@ def text_key(ids: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=4).digest(), "little") for a, b in zip(off[:-1].tolist(), off[1:].tolist())], dtype=np.uint32) if len(ids) else np.zeros(0, np.uint32)
 
 
-def refine(text: np.ndarray, at: np.ndarray, length: int, q: int = 8) -> np.ndarray:
+def refine(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Bucket of each suffix at[i] of text by its first `length` bytes (equal strings, equal buckets).
 
     Bucket-pointer refinement: `pointer` holds the bucket of every position at the
@@ -133,11 +160,8 @@ def refine(text: np.ndarray, at: np.ndarray, length: int, q: int = 8) -> np.ndar
     again, on (own bucket, bucket at the offset), and their pointers are updated in
     place, for the next pass to use.
     """
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(q + length, np.uint8)])
-    word = np.zeros(n, U64)
-    for j in range(q):
-        word |= padded[j : j + n].astype(U64) << U64(8 * (q - 1 - j))
+    n, q = len(text), 8
+    word = words8(np.concatenate([text, np.zeros(q - 1, np.uint8)]))  # q is 8; any order of q-grams will do
     order = np.argsort(word, kind="stable")
     new = np.concatenate([[True], word[order][1:] != word[order][:-1]])
     pointer = np.zeros(n + length, I64)
@@ -248,7 +272,7 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
             d = doc[own]
             fresh = np.concatenate([[True], d[1:] != d[:-1]])
             docs_of = d[fresh]
-            text = raw[ranges(first[own], span[own])]
+            text = gathered(raw, first[own], span[own])
             rows.append((int(to[a]), pack(ids[docs_of], keys[docs_of], np.diff(np.append(np.flatnonzero(fresh), len(d))).astype(np.int32), rel[own].astype(np.int32), runs[own].astype(np.uint8), (p[own, 3] - first[own]).astype(np.uint8), text)))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "home": pa.array([-1] * len(rows), pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -276,18 +300,38 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
         span = runs + length - 1
         at = np.concatenate([[0], np.cumsum(span)])[:-1]
         gram = grams_at(text, at + lead, q)
-        order = np.argsort(gram, kind="stable")
-        # Minimizers that more than one document has; groups end where the q-gram's hash changes.
-        g = gram[order]
-        new = np.concatenate([[True], g[1:] != g[:-1]])
-        cuts = np.append(np.flatnonzero(new), len(g))
-        size = np.diff(cuts)
-        grp = np.cumsum(new) - 1
-        owner = ids[order]
-        varied = np.maximum.reduceat(owner, cuts[:-1]) != np.minimum.reduceat(owner, cuts[:-1])
-        keep = order[np.repeat(varied, size)]
-        grp = grp[np.repeat(varied, size)]
-        rows = []
+        # Equal pieces: all but those of the smallest document are marked in full and need no sorting.
+        content = piece_hash(text, at, span, gram)
+        order = np.lexsort((ids, content))
+        same = np.concatenate([[False], content[order][1:] == content[order][:-1]])
+        head = order[np.flatnonzero(~same)][np.cumsum(~same) - 1]
+        copy = np.flatnonzero(same)
+        copy = copy[ids[order[copy]] > ids[head[copy]]]
+        copy = copy[equal_pieces(text, at[order[copy]], at[head[copy]], span[order[copy]], span[head[copy]])]
+        whole = order[copy]
+        rows = [(home_of(ids[whole], keys[whole]), ids[whole], keys[whole], rel[whole].astype(I64), runs[whole])] if len(whole) else []
+        left = np.ones(len(ids), bool)
+        left[whole] = False
+        # A string has its minimizer with at least `side` more bytes on one side: pieces that share
+        # neither side with a piece of another document share no string with it.
+        side = (length - q) // 2
+        near = np.zeros(len(ids), bool)
+        for begin, ok in ((at + lead, lead + q + side <= span), (at + lead - side, lead >= side)):
+            own = np.flatnonzero(left & ok)
+            h = grams_at(text, begin[own], 16)
+            for j in range(16, q + side, 16):
+                h = h * GOLD ^ grams_at(text, begin[own] + min(j, q + side - 16), 16)
+            order = np.argsort(h, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(own) else np.zeros(0, I64)
+            if len(own):
+                who = ids[own][order]
+                varied = np.maximum.reduceat(who, cuts) != np.minimum.reduceat(who, cuts)
+                near[own[order[np.repeat(varied, np.diff(np.append(cuts, len(own))))]]] = True
+        keep = np.flatnonzero(near)
+        keep = keep[np.argsort(gram[keep], kind="stable")]
+        # Pieces of one minimizer stay together.
+        g = gram[keep]
+        grp = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1 if len(g) else np.zeros(0, I64)
         ends = np.cumsum(span[keep])
         lo = 0
         while lo < len(keep):
@@ -306,7 +350,7 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
         return marks_out(home, i, k, f, r)
 
     def one_chunk(own, ids, keys, rel, runs, span, at, text):
-        part = text[ranges(at[own], span[own])]
+        part = gathered(text, at[own], span[own])
         begin = np.concatenate([[0], np.cumsum(span[own])])[:-1]
         starts = ranges(begin, runs[own])  # the strings of length bytes in all pieces
         piece = np.repeat(np.arange(len(own)), runs[own])
@@ -387,24 +431,27 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
 
 def piece_hash(raw: np.ndarray, first: np.ndarray, span: np.ndarray, name: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each piece (equal pieces, equal hashes)."""
-    h = name + span.astype(U64) * GOLD
-    top = int(span.max()) if len(span) else 0
-    for j in range(0, top, 4):
-        inside = j < span
-        at = np.where(inside, first + j, first)
-        w = np.zeros(len(first), U64)
-        for d in range(4):
-            ok = j + d < span
-            w |= np.where(ok, raw[np.minimum(at + d, len(raw) - 1)], 0).astype(U64) << U64(8 * d)
-        h = np.where(inside, (h ^ w) * GOLD, h)
-        h ^= h >> U64(29)
-    return h
+    out = np.empty(len(first), U64)
+    width = (int(span.max()) + 7) // 8 * 8 if len(span) else 8
+    for lo in range(0, len(first), 1 << 17):
+        s = span[lo : lo + (1 << 17)]
+        rows = rows_of(raw, first[lo : lo + (1 << 17)], width)
+        rows[np.arange(width)[None] >= s[:, None]] = 0
+        h = name[lo : lo + (1 << 17)] + s.astype(U64) * GOLD
+        for w in rows.view(U64).T:
+            h = (h ^ w) * GOLD
+            h ^= h >> U64(29)
+        out[lo : lo + (1 << 17)] = h
+    return out
 
 
 def equal_pieces(raw: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether the pieces at a and b are equal, byte by byte."""
     ok = na == nb
-    for j in range(int(na.max()) if len(na) else 0):
-        inside = ok & (j < na)
-        ok &= ~inside | (raw[np.minimum(a + j, len(raw) - 1)] == raw[np.minimum(b + j, len(raw) - 1)])
+    if len(a):
+        width = int(na.max())
+        for lo in range(0, len(a), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            past = np.arange(width)[None] >= na[part][:, None]
+            ok[part] &= ((rows_of(raw, a[part], width) == rows_of(raw, b[part], width)) | past).all(1)
     return ok
