@@ -69,7 +69,7 @@ def boundary(sizes: list[tuple[int, int]], num: int, mates: float) -> int:
 
 
 def jaccard_rule(k: int = 4, num: int = 85) -> Rule:
-    return Rule(k=k, num=num, paragraphs=False, least_words=1, keys=join_keys)
+    return Rule(k=k, num=num, paragraphs=False, least_words=1, cells=1024, keys=join_keys)
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85) -> tuple[DataFrame, DataFrame]:

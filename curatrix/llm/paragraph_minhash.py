@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import GOLD, NULL_ID, splitmix
-from curatrix.llm.setlinks import Rule, linked
+from curatrix.llm.setlinks import CELLS, Rule, linked
 
 #: Hash functions of a signature, and the wanted chance to find a pair at the threshold.
 PERMS, RECALL = 96, 0.999
@@ -54,7 +54,7 @@ def band_keys(s: np.ndarray, context: dict) -> np.ndarray:
 
 
 def rule(k: int = 5, num: int = 80, least_words: int = 20) -> Rule:
-    return Rule(k=k, num=num, paragraphs=True, least_words=least_words, keys=band_keys)
+    return Rule(k=k, num=num, paragraphs=True, least_words=least_words, cells=CELLS, keys=band_keys)
 
 
 class _Context(dict):

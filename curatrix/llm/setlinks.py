@@ -11,8 +11,8 @@ that share a candidate key are compared:
   pairs and yet no link between components is lost.
 
 Pairs first pass a bound that is never below the true overlap (`sketch`: counts
-of shingles over 128 cells); the sets of the rest are fetched from the texts and
-compared in full. All tables are keyed by hashes, spread evenly; a node that many
+of shingles over 128 cells, then over more cells for larger sets); the items of
+the rest are fetched and compared in full. All tables are keyed by hashes, spread evenly; a node that many
 others are compared with is sent once to each of the blocks that need it.
 """
 
@@ -39,12 +39,13 @@ I64 = np.int64
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle length, similarity num / 100, whether items are paragraphs, fewest words of an item, key function."""
+    """Shingle length, similarity num / 100, whether items are paragraphs, fewest words of an item, cells of the fine sketch, key function."""
 
     k: int
     num: int
     paragraphs: bool
     least_words: int
+    cells: int
     #: (set of hashes, in ascending order; shared context) -> candidate keys
     keys: Callable
 
@@ -59,7 +60,7 @@ def similar(common, a, b, num: int):
 
 
 def item_sets(batch: pa.RecordBatch, rule: Rule):
-    """(doc id, paragraph, words, ascending distinct shingle hashes) of the items of a batch that have a set."""
+    """(doc id, paragraph, words, ascending distinct shingle hashes, bytes) of the items of a batch that have a set."""
     ids, off, raw = as_text_arrays(batch)
     owner, para = np.arange(len(ids)), np.zeros(len(ids), I64)
     if rule.paragraphs and len(raw):
@@ -77,7 +78,7 @@ def item_sets(batch: pa.RecordBatch, rule: Rule):
         s = np.sort(sh[ends[i] - n[i] : ends[i]])
         if len(s) > 1:
             s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-        yield int(ids[owner[i]]), int(para[i]), int(counts[i]), s
+        yield int(ids[owner[i]]), int(para[i]), int(counts[i]), s, raw[off[i] : off[i + 1]]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -86,9 +87,9 @@ def set_id(s: np.ndarray) -> int:
     return int(splitmix(np.array([mixed.sum(dtype=np.uint64) ^ np.uint64(len(s))], dtype=np.uint64)).view(I64)[0])
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Counts of members over CELLS cells; 255 means 255 or more."""
-    cells = np.bincount((s & np.uint64(CELLS - 1)).astype(I64), minlength=CELLS)
+def sketch(s: np.ndarray, n_cells: int = CELLS) -> bytes:
+    """Counts of members over the cells (a power of two); 255 means 255 or more."""
+    cells = np.bincount((s & np.uint64(n_cells - 1)).astype(I64), minlength=n_cells)
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
@@ -101,7 +102,7 @@ def sketch_passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
 
 
 def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.ndarray]:
-    """Table (doc_id, para, sid, n, words, cells) of the items; frequent shingles as (hash, count) rows in order, if asked for.
+    """Table (doc_id, para, sid, n, words, cells, fine) of the items; frequent shingles as (hash, count) rows in order, if asked for.
 
     Frequent shingles only steer the order in which a set lists its members; any
     order gives the same links. So they are gathered from shingles that stand out
@@ -112,22 +113,22 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
     def run(batches):
         for b in batches:
             rows, pool, seen = [], [], set()
-            for doc, para, words, s in item_sets(b, rule):
+            for doc, para, words, s, _ in item_sets(b, rule):
                 sid = set_id(s)
-                rows.append((0, doc, para, sid, len(s), words, sketch(s)))
+                rows.append((0, doc, para, sid, len(s), words, sketch(s), pack(sketch(s, rule.cells), level=1) if rule.cells > CELLS else b""))
                 if frequent and sid not in seen:
                     seen.add(sid)
                     pool.append(s)
             if pool:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
                 for at in np.flatnonzero(c >= max(6, len(pool) // 200)).tolist():
-                    rows.append((1, NULL_ID, 0, int(h[at].view(I64)), int(c[at]), 0, b""))
+                    rows.append((1, NULL_ID, 0, int(h[at].view(I64)), int(c[at]), 0, b"", b""))
             if rows:
                 cols = list(zip(*rows))
-                kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "doc_id", "para", "sid", "n", "words", "cells"])
+                kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "doc_id", "para", "sid", "n", "words", "cells", "fine"])
 
-    out = materialize(docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc_id long, para int, sid long, n int, words int, cells binary"))
+    out = materialize(docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc_id long, para int, sid long, n int, words int, cells binary, fine binary"))
     table = out.filter("kind = 0").drop("kind")
     often = np.zeros((0, 2), np.uint64)
     if frequent:
@@ -165,7 +166,7 @@ def postings(docs: DataFrame, rule: Rule, context, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
         for b in batches:
-            for _, _, _, s in item_sets(b, rule):
+            for _, _, _, s, _ in item_sets(b, rule):
                 sid = set_id(s)
                 if sid in seen:
                     continue
@@ -174,7 +175,7 @@ def postings(docs: DataFrame, rule: Rule, context, buckets: int) -> DataFrame:
                 if len(keys):
                     held.append((keys, sid, len(s)))
                     size += len(keys)
-            if size > 1_500_000:
+            if size > 600_000:
                 yield flush()
                 size = 0
         if held:
@@ -184,7 +185,7 @@ def postings(docs: DataFrame, rule: Rule, context, buckets: int) -> DataFrame:
 
 
 def candidates(posted: DataFrame, num: int) -> DataFrame:
-    """(list, a, b, na, nb): list 0, pairs of nodes to compare; other lists, long ones: member a of size na."""
+    """(list, a, b, na, nb, key): list 0, pairs of nodes to compare and a key they share; other lists, long ones: member a of size na."""
 
     def run(t: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in t.column("block").to_pylist()]
@@ -211,42 +212,52 @@ def candidates(posted: DataFrame, num: int) -> DataFrame:
                 i, j = i[ok], j[ok]
                 swap = sid[i] > sid[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                out.append(np.stack([np.zeros(len(i), I64), sid[i], sid[j], n[i], n[j]], 1))
+                out.append(np.stack([np.zeros(len(i), I64), sid[i], sid[j], n[i], n[j], key[i].view(I64)], 1))
             long_ones = length > SHORT
             if long_ones.any():
                 names = key[long_ones].view(I64)
-                out.append(np.stack([np.where(names == 0, 1, names), sid[long_ones], np.zeros(int(long_ones.sum()), I64), n[long_ones], np.zeros(int(long_ones.sum()), I64)], 1))
-        rows = np.concatenate(out) if out else np.zeros((0, 5), I64)
+                out.append(np.stack([np.where(names == 0, 1, names), sid[long_ones], np.zeros(int(long_ones.sum()), I64), n[long_ones], np.zeros(int(long_ones.sum()), I64), names], 1))
+        rows = np.concatenate(out) if out else np.zeros((0, 6), I64)
         if len(rows):
             pair = rows[:, 0] == 0
             a = rows[pair]
-            a = a[np.lexsort((a[:, 2], a[:, 1]))]
+            a = a[np.lexsort((a[:, 5], a[:, 2], a[:, 1]))]
             a = a[np.concatenate([[True], (a[1:, 1:3] != a[:-1, 1:3]).any(1)])] if len(a) else a
             rows = np.concatenate([a, rows[~pair]])
-        return pa.table({c: pa.array(np.ascontiguousarray(rows[:, i]), pa.int64()) for i, c in enumerate(("list", "a", "b", "na", "nb"))})
+        return pa.table({c: pa.array(np.ascontiguousarray(rows[:, i]), pa.int64()) for i, c in enumerate(("list", "a", "b", "na", "nb", "key"))})
 
-    return posted.groupBy("bucket").applyInArrow(run, "list long, a long, b long, na long, nb long")
+    return posted.groupBy("bucket").applyInArrow(run, "list long, a long, b long, na long, nb long, key long")
 
 
-def sketched(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sketches leave room for the similarity."""
-    cells = nodes.select("sid", "cells")
-    pairs = pairs.join(cells.select(F.col("sid").alias("a"), F.col("cells").alias("ca")), "a").join(cells.select(F.col("sid").alias("b"), F.col("cells").alias("cb")), "b")
+def sketched(pairs: DataFrame, nodes: DataFrame, num: int, column: str = "cells") -> DataFrame:
+    """The pairs (a, b, key) of (a, b, key) whose sketches, the coarse or the fine ones, leave room for the similarity."""
+    own = nodes.select("sid", "n", F.col(column).alias("x"))
+    pairs = pairs.select("a", "b", "key")
+    for c in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("x").alias(f"c{c}")), c)
 
     def run(batches):
         for t in batches:
             if t.num_rows:
-                ca, cb = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("ca", "cb"))
-                ok = sketch_passes(ca, cb, t.column("na").to_numpy(), t.column("nb").to_numpy(), num)
-                yield t.select(["a", "b"]).filter(pa.array(ok))
+                rows = [t.column(c).to_pylist() for c in ("ca", "cb")]
+                if column == "fine":
+                    rows = [[unpack(x)[0] for x in r] for r in rows]
+                ca, cb = (np.frombuffer(b"".join(r), np.uint8).reshape(t.num_rows, -1) for r in rows)
+                ok = sketch_passes(ca, cb, t.column("na").to_numpy().astype(I64), t.column("nb").to_numpy().astype(I64), num)
+                yield t.select(["a", "b", "key"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "key", "ca", "cb").mapInArrow(run, "a long, b long, key long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule, blocks: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, compared in full."""
+    """The pairs (a, b) of (a, b, key) whose sets are similar, compared in full."""
     num = rule.num
-    pairs = materialize(pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")))
+    pairs = materialize(sketched(pairs, nodes, num, "fine")) if rule.cells > CELLS else pairs
+    # Pairs with a common key go to one block, so that a set is sent to few blocks; keys with many pairs to a grid of blocks.
+    per = pairs.groupBy("key").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(20_000.0))).alias("grid"))
+    pairs = pairs.join(per, "key")
+    cell = lambda c: F.pmod(F.xxhash64(c), F.col("grid"))
+    pairs = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("key", cell("a"), cell("b")), F.lit(blocks)).cast("int").alias("block")))
     wanted = pairs.select(F.col("a").alias("sid"), "block").unionByName(pairs.select(F.col("b").alias("sid"), "block")).distinct()
     wanted = materialize(wanted.join(nodes.select("sid", "doc_id", "para"), "sid"))
     return _verified(pairs, wanted, docs, rule, blocks, num)
@@ -307,29 +318,33 @@ def _verified(pairs, wanted, docs, rule, blocks, num):
             own = [i for i in range(len(ids)) if int(ids[i]) in want]
             part = [bytes(data[(ends[i - 1] if i else 0) : ends[i]]) for i in own]
             batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([int(ids[i]) for i in own], pa.int64()), "text": pa.array(part, pa.binary())})
-            for doc, _, _, s in item_sets(batch, rule) if own else ():
+            for doc, _, _, s, item in item_sets(batch, rule) if own else ():
                 sid = set_id(s)
                 if sid in want[doc] and sid not in done:
                     done.add(sid)
-                    z = pack(s, level=1)
+                    z = pack(item)  # the text is a few times smaller than its set of hashes
                     rows += [(b, sid, z) for b in to[sid]]
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "sid": pa.array([r[1] for r in rows], pa.int64()), "members": pa.array([r[2] for r in rows], pa.binary())})
 
     sets = texts.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(fetch, "block int, sid long, members binary")
 
+    def members(block: bytes) -> np.ndarray:
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([0], pa.int64()), "text": pa.array([bytes(unpack(block)[0])], pa.binary())})
+        return next(item_sets(batch, rule))[3]
+
     def compare(key, p: pa.Table, s: pa.Table) -> pa.Table:
         packed = dict(zip(s.column("sid").to_pylist(), s.column("members").to_pylist()))
         a, b = p.column("a").to_numpy(), p.column("b").to_numpy()
         order, keep, now = np.lexsort((a, b)), np.zeros(len(a), bool), None
-        small: dict[int, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         for i in order.tolist():
             if now is None or now[0] != b[i]:
-                now = (b[i], np.frombuffer(unpack(packed[int(b[i])])[0], np.uint64))
-            x = small.get(int(a[i]))
+                now = (b[i], members(packed[int(b[i])]))
+            x = held.get(int(a[i]))
             if x is None:
-                if len(small) > 2000:
-                    small.clear()
-                x = small[int(a[i])] = np.frombuffer(unpack(packed[int(a[i])])[0], np.uint64)
+                if len(held) > 2000:
+                    held.clear()
+                x = held[int(a[i])] = members(packed[int(a[i])])
             y = now[1]
             if len(x) > len(y):
                 x, y = y, x
@@ -340,8 +355,11 @@ def _verified(pairs, wanted, docs, rule, blocks, num):
     return pairs.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(compare, "a long, b long")
 
 
-def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int) -> DataFrame:
-    """(a, b): pairs of the long lists (list, sid, n) that different components hold and whose sketches leave room."""
+def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best: bool) -> DataFrame:
+    """(a, b, key): pairs of the long lists (list, sid, n) that different components hold and whose sketches leave room.
+
+    All such pairs; or, with `best`, for each node only the partner whose sketch is nearest.
+    """
     named = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = materialize(named)
     mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("list")
@@ -352,25 +370,44 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int) -> Da
         cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
         order = np.argsort(n, kind="stable")
         sid, comp, n, cells = sid[order], comp[order], n[order], cells[order]
+        top, mate = np.full(len(sid), -1.0), np.zeros(len(sid), I64)
         out = []
         for i in range(len(sid) - 1):
             hi = np.searchsorted(100 * n[i] < num * n, True)  # sizes ascend
             j = np.arange(i + 1, hi)
             j = j[comp[j] != comp[i]]
-            if len(j):
-                j = j[sketch_passes(cells[j], cells[i][None], n[j], np.full(len(j), n[i]), num)]
-                out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1))
-        rows = np.concatenate(out) if out else np.zeros((0, 2), I64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(rows[:, 0])), "b": pa.array(np.ascontiguousarray(rows[:, 1]))})
-
-    return rest.select("list", "sid", "comp", "n", "cells").groupBy("list").applyInArrow(run, "a long, b long").distinct()
+            if not len(j):
+                continue
+            j = j[sketch_passes(cells[j], cells[i][None], n[j], np.full(len(j), n[i]), num)]
+            if best and len(j):
+                most = np.minimum(cells[j], cells[i][None]).sum(1, dtype=I64)
+                near = most / np.maximum(1, n[i] + n[j] - most)
+                up = near > top[j]
+                top[j[up]], mate[j[up]] = near[up], i
+                k = int(near.argmax())
+                if near[k] > top[i]:
+                    top[i], mate[i] = near[k], j[k]
+            elif len(j):
+                out.append(np.stack([sid[np.full(len(j), i)], sid[j], np.zeros(len(j), I64)], 1))
+        if best:
+            i = np.flatnonzero(top >= 0)
+            out.append(np.stack([sid[i], sid[mate[i]], (top[i] * 1e9).astype(I64)], 1))
+        rows = np.concatenate(out) if out else np.zeros((0, 3), I64)
+        key = t.column("list")[0].as_py() if t.num_rows else 0
+        return pa.table({"x": pa.array(np.ascontiguousarray(rows[:, 0])), "y": pa.array(np.ascontiguousarray(rows[:, 1])), "near": pa.array(np.ascontiguousarray(rows[:, 2])), "key": pa.array(np.full(len(rows), key), pa.int64())})
+
+    pairs = rest.select("list", "sid", "comp", "n", "cells").groupBy("list").applyInArrow(run, "x long, y long, near long, key long")
+    if best:
+        pairs = pairs.groupBy("x").agg(F.max(F.struct("near", "y", "key")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.key").alias("key"))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key")
+    return pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
 
 
 def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[DataFrame, DataFrame]:
     """(items, components of set names): items (doc_id, para, sid, n, words), and (node, comp) of the nodes with links."""
     table, often = items(docs, rule, frequent)
-    nodes = table.groupBy("sid").agg(F.min(F.struct("doc_id", "para", "n", "cells")).alias("x"))
-    nodes = materialize(nodes.select("sid", "x.doc_id", "x.para", "x.n", "x.cells"))
+    nodes = table.groupBy("sid").agg(F.min(F.struct("doc_id", "para", "n", "cells", "fine")).alias("x"))
+    nodes = materialize(nodes.select("sid", "x.doc_id", "x.para", "x.n", "x.cells", "x.fine"))
     total = nodes.agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).collect()[0]
     if not total["c"]:
         empty = docs.sparkSession.createDataFrame([], "node long, comp long")
@@ -380,12 +417,17 @@ def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[Dat
     buckets = int(max(12, context["keys"](total["s"], total["c"]) // 400_000))
     blocks = int(max(12, total["s"] // 4_000_000))
     found = materialize(candidates(postings(docs, rule, context, buckets), rule.num))
-    pairs = found.filter("list = 0").select("a", "b", "na", "nb").distinct()
+    pairs = found.filter("list = 0").groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("na", "nb", "key")))
     edges = materialize(verified(sketched(pairs, nodes, rule.num), docs, nodes, rule, blocks))
     comps = components(edges)
     lists = found.filter("list <> 0").select("list", F.col("a").alias("sid"), F.col("na").alias("n"))
-    more = materialize(across(lists, nodes, comps, rule.num))
-    if more.take(1):
-        edges = edges.unionByName(verified(more, docs, nodes, rule, blocks))
-        comps = components(edges)
+    # Join components by each node's nearest partner first; then compare whatever is left between components.
+    for best in (True, True, False):
+        more = materialize(across(lists, nodes, comps, rule.num, best))
+        if not more.take(1):
+            break
+        fresh = materialize(verified(more, docs, nodes, rule, blocks))
+        if fresh.take(1):
+            edges = edges.unionByName(fresh)
+            comps = components(edges)
     return table, comps
