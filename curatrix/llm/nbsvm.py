@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import GOLD, crc_mod, lbfgs, small_batches
+from curatrix.llm.common import GOLD, crc_mod, lbfgs, pack, small_batches, unpack
 
 BITS = 20
 LENGTHS = (4, 5, 6)
@@ -146,19 +146,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_each: int)
     return rows, float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 2_500, min_df: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 1_500, min_df: int = 5) -> Model:
     """Fit on at most max_each labelled rows of either label of the training fold; the intercept follows the odds of all of its labels."""
 
     def blocks(batches):
         for batch in batches:
             ys = batch.column("y").to_pylist()
             got = list(document_slots(batch.column("text")))
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([np.sort(g).tobytes() for g in got], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([pack(np.diff(np.sort(g).astype(np.uint32), prepend=np.uint32(0))) for g in got], pa.binary())})
 
     small_batches(docs.sparkSession, 100)
     sample, odds = training_rows(docs, labels, label, max_each)
     got = sample.mapInArrow(blocks, "y int, slots binary").toArrow()
-    rows = [(y, np.frombuffer(s.as_buffer(), np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
+    rows = [(y, np.cumsum(np.frombuffer(unpack(s.as_py())[0], np.uint32), dtype=np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
+    del got
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:256]))
     model = fit(rows, min_df=min_df)
     if rows and model.weights.any():
