@@ -494,10 +494,13 @@ def cluster_evaluation(spark, d):
     return vectors.cluster_evaluation(vecs(spark, d), "vec_id")
 
 
-@query()
+@query(f"""WITH {CLEANED}, {FREQ}, x AS (SELECT text, {QUALITY} AS q, original_index % 20 AS c FROM freq), s AS (SELECT c, count(*) AS n FROM x GROUP BY c), p AS (SELECT n, n / sum(n) OVER () AS p FROM s),
+ r AS (SELECT count(*) AS k, min(n) AS lo, max(n) AS hi, sum(n) AS n, sum(-p * ln(p + 1e-10)) / ln(count(*)) AS e FROM p), q AS (SELECT avg(q) AS q FROM x) SELECT name, round(value::DOUBLE, 6) AS value, threshold::DOUBLE AS threshold, CASE WHEN ok THEN 'PASS' ELSE bad END AS status FROM (
+ SELECT 'sample_size' AS name, n::DOUBLE AS value, 15000 AS threshold, n >= 15000 AS ok, 'WARN' AS bad FROM r UNION ALL SELECT 'cluster_coverage', k / 20, 0.95, k / 20 >= 0.95, 'FAIL' FROM r UNION ALL SELECT 'diversity', e, 0.8, e >= 0.8, 'WARN' FROM r
+ UNION ALL SELECT 'mean_quality', q, 0.5, q >= 0.5, 'WARN' FROM q UNION ALL SELECT 'cluster_balance', hi / n, 0.1, lo >= 3 AND hi / n <= 0.1, 'WARN' FROM r UNION ALL SELECT 'integrity', 0, 0, true, 'WARN')""")
 def validator(spark, d):
-    x = frequency.frequencies(cleaned(spark, d)).select("text", quality().alias("quality_score"), F.pmod(F.xxhash64("text"), F.lit(20)).alias("cluster_id"))
-    return validators.sampling_checks(x, 20)
+    x = frequency.frequencies(cleaned(spark, d)).select("text", quality().alias("quality_score"), (F.col("original_index") % 20).alias("cluster_id"))
+    return validators.sampling_checks(x, 20).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (lang != '') AS labelled, count(*) FILTER (lang != '') / count(*) AS completeness, count(*) FILTER (lang != '') / count(*) >= 0.95 AS complete, count(*) FILTER (lang = 'en' AND length(text) < 5) AS short_positive FROM documents")
@@ -530,3 +533,122 @@ def secondary_pipeline(spark, d):
     from curatrix.plans import pipelines
 
     return pipelines.secondary(docs(spark, d), 100, 8, words=WORDS, script=LATIN)
+
+
+# Parsing and conversion, on fields built from the tables
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'lang ' || lang END AS name, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS code FROM documents""")
+def product_parse(spark, d):
+    x = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("产品名称：lang "), "lang", F.lit("  产品代码： "), "source")).otherwise("none")
+    return t(spark, d, "documents").select("doc_id", P.product_name(x).alias("name"), P.product_code(x).alias("code"))
+
+
+@query("""SELECT doc_id, pos::INT AS pos, question FROM (SELECT doc_id, unnest([lang, source, 'q1 ' || source, 'q2']) AS question, unnest([0, 1, 2, 3]) AS pos FROM documents)""")
+def product_fanout(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.concat(F.lit("产品名称："), "lang", F.lit(" 产品代码："), "source").alias("a"), F.concat(F.lit('1:{"questions":["q1 '), "source", F.lit('","q2"]}')).alias("b"))
+    rows = relational.product_rows(x.withColumn("a", F.concat("a", F.lit("#"), F.col("doc_id").cast("string"))), "a", "b")
+    return rows.select(F.regexp_extract("code", r"#(\d+)$", 1).cast("long").alias("doc_id"), "pos", F.regexp_replace("question", r"#\d+$", "").alias("question"))
+
+
+@query("""SELECT standard, pos::INT AS pos, question FROM (SELECT 'd' || doc_id AS standard, unnest(['d' || doc_id, lang, source]) AS question, unnest([0, 1, 4]) AS pos FROM documents)""")
+def similar_fanout(spark, d):
+    x = t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("标问"), F.concat("lang", F.lit("|0||"), "source").alias("相似问"))
+    return relational.similar_questions(x).select("standard", "pos", "question")
+
+
+@query("""SELECT 'm' || doc_id AS msg, CASE doc_id % 5 WHEN 0 THEN '寿险意图' WHEN 1 THEN '寿险意图' ELSE '拒识' END AS intent, doc_id % 5 IN (3, 4) AS "unknown" FROM documents""")
+def intent_map(spark, d):
+    flag = F.element_at(F.array(*map(F.lit, ("是", "yes", "否", "Yes", "maybe"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return relational.intents(t(spark, d, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("msg"), flag.alias("flag")), "msg", "flag")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '寿险相关' WHEN 1 THEN '其他' END AS mapped, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS said, '判断问题是否与寿险相关，回答“寿险相关”或“其他”。' || chr(10) || '问题：' || lang || chr(10) || '答案：' || source AS prompt FROM documents""")
+def label_map_and_answer(spark, d):
+    k = F.col("doc_id")
+    lab = F.element_at(F.array(*map(F.lit, ("寿险相关", "拒识", "未知"))), (k % 3 + 1).cast("int"))
+    gen = F.concat(F.lit("答案：寿险相关\n答案： "), F.when(k % 2 == 0, "寿险相关").otherwise("其他"), F.lit("\n寿险相关"))
+    return t(spark, d, "documents").select("doc_id", P.mapped_label(lab).alias("mapped"), P.answer_label(gen).alias("said"), P.instruction(F.col("lang"), F.col("source")).alias("prompt"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 WHEN 2 THEN 0.1 WHEN 3 THEN 0.7 WHEN 4 THEN 0.7 ELSE 0.5 END::DOUBLE AS p1, CASE WHEN lang = 'en' THEN 0.2 WHEN lang = 'de' THEN 0.8 ELSE 0.5 END::DOUBLE AS p_word, round(exp(-n_chars / 1000.0), 9) AS p_log FROM documents""")
+def response_parsing(spark, d):
+    texts = ('{"probabilities":[0.2,0.8]}', '{"probabilities":[0.2,0.9]}', '{"prediction":0,"confidence":0.9}', '{"prediction":1}', '{"intent":"寿险"}', "no json")
+    x = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % 6 + 1).cast("int"))
+    word = F.when(F.col("lang") == "en", "拒识").when(F.col("lang") == "de", "寿险").otherwise("?")
+    return t(spark, d, "documents").select("doc_id", F.round(P.response_probabilities(x)[1], 9).alias("p1"), P.word_answer_probabilities(word)[1].alias("p_word"), F.round(P.logprob_probability(-F.col("n_chars") / 1000.0), 9).alias("p_log"))
+
+
+@query("""WITH x AS (SELECT text AS question, CASE toxic WHEN 1 THEN '其他' ELSE '寿险相关' END AS answer, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT question, arg_min(answer, doc_id) AS answer FROM x GROUP BY question""")
+def training_conversion(spark, d):
+    from curatrix.plans import pipelines
+
+    lab = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, "拒识").otherwise("寿险相关")).otherwise("")
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("text", lab.alias("label"), F.col("doc_id").alias("original_index"))
+    return pipelines.training_format(x)
+
+
+@query("""SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS first, round(least(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 9) AS least FROM embeddings""")
+def unit_and_least(spark, d):
+    v = L.doubles(F.col("embedding"))
+    return t(spark, d, "embeddings").select("vec_id", F.round(L.unit(v)[0], 9).alias("first"), F.round(F.least(v[0], v[1]), 9).alias("least"))
+
+
+@query("""SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier""")
+def union_by_name(spark, d):
+    a = t(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return relational.union_all([a, t(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))])
+
+
+@query("""SELECT text, lang FROM documents WHERE source < 'src2' INTERSECT SELECT text, lang FROM documents WHERE source >= 'src2'""")
+def intersect_rows(spark, d):
+    x = t(spark, d, "documents")
+    return relational.common_rows(x.filter("source < 'src2'").select("text", "lang"), x.filter("source >= 'src2'").select("text", "lang"))
+
+
+@query("""SELECT l.doc_id AS row_id, l.quality AS quality_a, n_chars AS n_chars_b FROM labels l JOIN documents USING (doc_id)""")
+def row_pairing(spark, d):
+    a = t(spark, d, "labels").select(F.col("doc_id").alias("row_id"), "quality")
+    return relational.paired(a, t(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")).select("row_id", "quality_a", "n_chars_b")
+
+
+@query("""WITH base AS (SELECT vec_id, label, round(ln(1 + abs(embedding[1]::DOUBLE)), 9) AS score FROM embeddings), q AS (SELECT label, greatest(3, floor(40 * count(*) / sum(count(*)) OVER ()))::BIGINT AS quota FROM base GROUP BY label),
+ r AS (SELECT base.*, row_number() OVER (PARTITION BY base.label ORDER BY score DESC, vec_id) AS r, quota FROM base JOIN q USING (label)) SELECT vec_id, label FROM r ORDER BY (r > quota)::INT, CASE WHEN r <= quota THEN label END, CASE WHEN r <= quota THEN r END, score DESC, vec_id LIMIT 40""")
+def secondary_topk(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.round(F.ln(1 + F.abs(F.get("embedding", F.lit(0)).cast("double"))), 9).alias("score"))
+    return sampling.cluster_balanced_top(e, 40, "label", "score", "vec_id", rescale=False).select("vec_id", "label")
+
+
+@query("""WITH c AS (SELECT quality AS t, toxic AS g, count(*) AS n FROM labels GROUP BY ALL), l AS (SELECT DISTINCT t AS label FROM c UNION SELECT g FROM c),
+ m AS (SELECT label, coalesce((SELECT sum(n) FROM c WHERE t = label), 0) AS support, coalesce((SELECT sum(n) FROM c WHERE g = label), 0) AS guessed, coalesce((SELECT sum(n) FROM c WHERE g = label AND t = label), 0) AS hits FROM l),
+ x AS (SELECT support, CASE WHEN guessed > 0 THEN hits / guessed ELSE 0 END AS p, CASE WHEN support > 0 THEN hits / support ELSE 0 END AS r, CASE WHEN hits > 0 THEN 2.0 * hits / (guessed + support) ELSE 0 END AS f FROM m)
+ SELECT (SELECT round(avg((quality = toxic)::INT), 6) FROM labels) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(p * support) / sum(support), 6) AS weighted_precision, round(sum(r * support) / sum(support), 6) AS weighted_recall, round(sum(f * support) / sum(support), 6) AS weighted_f1 FROM x""")
+def summary_metrics(spark, d):
+    r = stats.summary_metrics(t(spark, d, "labels"), "quality", "toxic")
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+@query("""WITH l AS (SELECT user_id % 50 AS id, user_id, arg_max(event_type, event_id) AS value FROM events GROUP BY ALL), c AS (SELECT id FROM l GROUP BY id HAVING count(*) >= 2 AND count(DISTINCT value) > 1)
+ SELECT id, '<ul>' || string_agg('<li>' || coalesce(replace(c_name, '#', '&amp;'), substr(user_id::VARCHAR, 1, 8)) || ': ' || value || '</li>', '' ORDER BY encode('<li>' || coalesce(replace(c_name, '#', '&amp;'), substr(user_id::VARCHAR, 1, 8)) || ': ' || value || '</li>')) || '</ul>' AS card FROM l JOIN c USING (id) LEFT JOIN (SELECT c_custkey AS user_id, c_name FROM customer WHERE c_custkey % 2 = 0) USING (user_id) GROUP BY id""")
+def conflict_cards(spark, d):
+    r = t(spark, d, "events").select((F.col("user_id") % 50).alias("id"), F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("user_id"), F.lit("submitted").alias("status"), F.lit("label").alias("question_name"), F.col("event_type").alias("value"))
+    users = t(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("user_id"), F.replace("c_name", F.lit("#"), F.lit("&")).alias("name"))
+    return relational.conflict_cards(relational.annotator_conflicts(r), r, users)
+
+
+@query("""SELECT event_id, user_id, (props->>'$.k')::INT AS k, c_mktsegment AS segment FROM events LEFT JOIN customer ON user_id = c_custkey""")
+def merge_parse_join(spark, d):
+    e = t(spark, d, "events").select("event_id", F.col("user_id"), P.json_fields(F.col("props"), "k int")["k"].alias("k"))
+    ref = t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    return relational.join_on(e, ref, "user_id", "left").withColumn("user_id", F.col("user_id").cast("long"))
+
+
+@query("""SELECT source, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM documents GROUP BY source""")
+def per_source_counts(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("text").alias("n_texts"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, -{_LSE} AS e FROM (SELECT vec_id, {_LOGITS} AS z FROM embeddings)), h AS (SELECT quantile_cont(e, 0.95) AS h FROM e) SELECT vec_id, round(e, 9) AS energy, e > h AS detected FROM e, h""")
+def ood_detection(spark, d):
+    x = logits_table(spark, d)
+    return audit.ood_detection(x, x, "z").select("vec_id", F.round("energy", 9).alias("energy"), "detected")

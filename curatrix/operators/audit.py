@@ -86,3 +86,12 @@ def predictions(df: DataFrame, logits: str = "logits", low: float | None = None,
     df = df.withColumn("energy", L.energy(F.col(logits), temperature))
     label, reason = L.energy_decision(F.col("energy"), F.col("prediction"), low if low is not None else float("-inf"), high)
     return df.withColumn("reason", reason).withColumn("prediction", label)
+
+
+def ood_detection(val: DataFrame, test: DataFrame, logits: str = "logits", kind: str = "moderate", temperature: float = 1.0) -> DataFrame:
+    """test plus prediction, energy and reason under the thresholds of `kind` from val, and detected (above the upper one)."""
+    from curatrix.functions import logits as L
+
+    e = val.withColumn("energy", L.energy(F.col(logits), temperature))
+    row = energy_thresholds(e).filter(F.col("name") == kind).collect()[0]
+    return predictions(test, logits, row["low"], row["high"], temperature).withColumn("detected", F.col("energy") > row["high"])

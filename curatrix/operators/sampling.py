@@ -2,9 +2,8 @@
 
 u(key) is uniform in (0, 1); an order by -ln(u) / w is a weighted sample without
 replacement (Efraimidis and Spirakis 2006), and any prefix of that order is one.
-Ranks are taken within strata; strata are as large as the data makes them, so the
-ranking of a stratum is cut short by Spark's window group limit where a constant
-bound is known, and global draws use orderBy().limit().
+Ranks within strata are taken in salted parts first, and global draws use
+orderBy().limit(), so no stratum is sorted as a whole in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curatrix.operators.frequency import running_total, smoothed
+
+#: Parts that a stratum is ranked in first.
+SALTS = 16
+
 
 def draw_key(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
@@ -80,10 +84,16 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, strategy: s
 
 
 def _within(df: DataFrame, quota: DataFrame, stratum: str, order: list[Column]) -> DataFrame:
-    """The first `quota` rows of each stratum (s_) in the given order."""
-    joined = df.join(quota, df[stratum].eqNullSafe(quota["s_"]))
-    ranked = joined.withColumn("r_", F.row_number().over(W.partitionBy("s_").orderBy(*order)))
-    return ranked.filter(F.col("r_") <= F.col("quota")).drop("r_", "s_", "quota")
+    """The first `quota` rows of each stratum (s_) in the given order.
+
+    A stratum may hold most rows, so each of SALTS parts of it first keeps its own
+    best `quota` rows; only those meet.
+    """
+    joined = df.join(quota, df[stratum].eqNullSafe(quota["s_"])).filter("quota > 0")
+    salted = joined.withColumn("t_", F.pmod(F.hash(*order), F.lit(SALTS)))
+    part = salted.withColumn("r_", F.row_number().over(W.partitionBy("s_", "t_").orderBy(*order))).filter(F.col("r_") <= F.col("quota"))
+    ranked = part.withColumn("r_", F.row_number().over(W.partitionBy("s_").orderBy(*order)))
+    return ranked.filter(F.col("r_") <= F.col("quota")).drop("r_", "s_", "t_", "quota")
 
 
 def simple_stratified(df: DataFrame, n: int, n_clusters: int, stratum: str, key: str, strategy: str = "balanced", seed: int = 42) -> DataFrame:
@@ -113,8 +123,6 @@ def diversity_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int =
 
 def frequency_aware_sample(freq: DataFrame, n: int, key: str, ratio: float = 0.8, smoothing: str = "sqrt", stratum: str | None = None, seed: int = 42) -> DataFrame:
     """int(n * ratio) rows weighted by frequency; the rest from what is left, by diversity over a stratum or at random."""
-    from curatrix.operators.frequency import smoothed
-
     first = weighted_sample(freq, int(n * ratio), key, smoothed(F.col("frequency"), smoothing), seed)
     left = freq.join(first.select(key), key, "left_anti")
     rest = n - int(n * ratio)
@@ -146,11 +154,18 @@ def ratio_sample(df: DataFrame, n: int, label: str, key: str, seed: int = 42) ->
 
 
 def stratified_split(df: DataFrame, label: str | None, key: str, parts: dict[str, float], seed: int = 42) -> DataFrame:
-    """df plus split: of each label, the first floor(share * count) rows in draw order get the first name, and so on; the last name takes the rest."""
-    by = W.partitionBy(label) if label else W.partitionBy()
-    share = df.withColumn("r_", F.row_number().over(by.orderBy(draw_key(key, seed), key))).withColumn("n_", F.count(F.lit(1)).over(by))
+    """df plus split: of each label, the first floor(share * count) rows in draw order get the first name, and so on; the last name takes the rest.
+
+    Ranks come from a range-partitioned global order of (label, draw), so a label
+    that most rows have is not sorted in one task.
+    """
+    t = df.withColumn("l_", F.col(label) if label else F.lit(0)).withColumn("d_", draw_key(key, seed)).withColumn("k_", F.col(key))
+    t = running_total(t, ["l_", "d_", "k_"], None, "at_")
+    starts = t.groupBy("l_").agg(F.min("at_").alias("s_"), F.count(F.lit(1)).alias("n_")).withColumnRenamed("l_", "m_")
+    t = t.join(F.broadcast(starts), F.col("l_").eqNullSafe(F.col("m_")))  # one row for each label
     names, out, edge = list(parts), None, F.lit(0)
     for name in names[:-1]:
         edge = edge + F.floor(F.col("n_") * F.lit(parts[name]))
-        out = F.when(F.col("r_") <= edge, name) if out is None else out.when(F.col("r_") <= edge, name)
-    return share.withColumn("split", out.otherwise(names[-1])).drop("r_", "n_")
+        inside = F.col("at_") - F.col("s_") < edge
+        out = F.when(inside, name) if out is None else out.when(inside, name)
+    return t.withColumn("split", out.otherwise(names[-1])).drop("l_", "d_", "k_", "at_", "s_", "n_", "m_")
