@@ -32,3 +32,62 @@ mixed AS (
 ORACLES = {
     "op6_pareto_mix": "WITH docs AS (SELECT * FROM documents)," + MIX_BODY + "SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed",
 }
+
+_WORDS = r"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _components(k: int, num: int, items: str) -> str:
+    """CTEs from items (id, text) to comp (id, comp, n): components of sets of k-word shingles with similarity num / 100."""
+    return f"""
+item AS ({items}),
+word AS (SELECT id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM item),
+shingle AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS s FROM word),
+size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE 100 * c >= {num} * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS id, b AS other FROM edge UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.other = e.a),
+comp AS (SELECT word.id, least(word.id, min(other)) AS comp, coalesce(any_value(n), 0) AS n FROM word LEFT JOIN reach ON reach.id = word.id LEFT JOIN size ON size.id = word.id GROUP BY word.id)
+"""
+
+
+ORACLES["op10_jaccard_join"] = "WITH RECURSIVE " + _components(4, 85, "SELECT doc_id AS id, text FROM documents") + "SELECT id AS doc_id, n AS n_shingles, comp AS component_id FROM comp"
+
+#: Exact pairs of all paragraphs; the banding finds a pair at the threshold with a chance of 0.9995.
+ORACLES["op9_paragraph_minhash"] = (
+    "WITH RECURSIVE paragraph AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL),"
+    + _components(5, 80, f"SELECT doc_id * 100000 + p AS id, text FROM paragraph WHERE len({_WORDS.format(x='text')}) >= 20")
+    + """SELECT comp.id // 100000 AS doc_id, comp.id % 100000 AS paragraph, len(w) AS n_words, comp // 100000 AS kept_doc_id, comp % 100000 AS kept_paragraph, comp.id != comp AS removed
+ FROM comp JOIN word USING (id) WHERE comp IN (SELECT comp FROM comp GROUP BY comp HAVING count(*) > 1)"""
+)
+
+ORACLES["op4_suffix_bpr_dedup"] = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), len AS (SELECT doc_id, x, length(x) // 2 AS n FROM doc),
+start AS (SELECT doc_id, unnest(range(0, greatest(n - 49, 0))) AS i, x FROM len),
+string AS (SELECT doc_id, i, md5(substr(x, i * 2 + 1, 100)) AS s FROM start), least_ AS (SELECT s, min(doc_id) AS m FROM string GROUP BY s),
+hit AS (SELECT doc_id, i FROM string JOIN least_ USING (s) WHERE m < doc_id),
+island AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM hit)),
+gone AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM island GROUP BY doc_id, g),
+edge AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM gone),
+part AS (SELECT doc_id, string_agg(substr(x, before * 2 + 1, (a - before) * 2), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a) AS removed FROM edge JOIN len USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, coalesce(last, 0) * 2 + 1))) AS kept_sha256 FROM len LEFT JOIN part USING (doc_id)"""
+
+_ALNUM = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '')"
+
+
+def _seeds(table: str, key: str) -> str:
+    rows = []
+    for k, mask in enumerate(("110110101", "1011001011")):
+        kept = ", ".join(f"w[i + {1 + j}]" for j, c in enumerate(mask) if c == "1")
+        rows.append(f"SELECT {key}, i, {k} AS mask, [{kept}] AS seed FROM {table}, LATERAL (SELECT unnest(range(0, len(w) - {len(mask) - 1})) AS i)")
+    return " UNION ALL ".join(rows)
+
+
+ORACLES["op8_spaced_seed_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+ds AS ({_seeds("d", "doc_id")}), bs AS ({_seeds("b", "item_id")}),
+hit AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS diagonal FROM ds JOIN bs USING (mask, seed)),
+pair AS (SELECT doc_id, item_id, len(b.w) AS n, list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + diagonal >= 1 AND d.w[i + diagonal] = b.w[i] THEN 1 ELSE 0 END) AS e FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
+judged AS (SELECT doc_id, item_id, n, list_sum(e) AS equal, list_max(list_transform(range(1, n - least(n, 13) + 2), lambda i: list_sum(e[i:i + least(n, 13) - 1]))) / least(n, 13) AS best FROM pair)
+SELECT doc_id, item_id, max(n)::INT AS n_words, max(equal)::INT AS n_equal, max(best) AS best FROM judged WHERE best >= 0.75 GROUP BY ALL"""
