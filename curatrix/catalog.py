@@ -160,10 +160,10 @@ def stratified_hybrid(spark, d):
     return sampling.stratified_sample(docs(spark, d), 150, "source", "original_index", "hybrid", 5, 9).select("original_index", "source")
 
 
-@query(f"""WITH r AS (SELECT doc_id AS original_index, lang, row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')}, doc_id) <= least(30, count(*) OVER (PARTITION BY lang)) AS first FROM documents)
- SELECT original_index, lang FROM r WHERE first""")
+@query(f"""WITH r AS (SELECT doc_id AS original_index, lang, row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')}, doc_id) <= 30 AS first FROM documents),
+ m AS (SELECT 120 - count(*) FILTER (first) AS miss, count(*) FILTER (NOT first) AS rest FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY {H('original_index')}, original_index) AS k FROM r)
+ SELECT original_index, lang FROM f, m WHERE first OR (miss <= rest AND k <= miss)""")
 def simple_stratified(spark, d):
-    # 120 rows over four languages: every stratum has its 30, nothing is missing.
     return sampling.simple_stratified(docs(spark, d), 120, 4, "lang", "original_index").select("original_index", "lang")
 
 

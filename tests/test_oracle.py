@@ -5,24 +5,20 @@ import pytest
 from curatrix import catalog
 
 
-def rows(df):
-    df = df[sorted(df.columns)]
-
-    def plain(v):
-        if v is None or (isinstance(v, float) and v != v):
-            return "NULL"
-        if isinstance(v, float):
-            return repr(round(v, 6))
-        return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
-
-    return sorted(tuple(map(plain, r)) for r in df.itertuples(index=False, name=None))
+def rows(names, values):
+    """Rows with columns by name, floats rounded, in one order."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = lambda v: "NULL" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return sorted(tuple(plain(r[i]) for i in order) for r in values)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_sql(spark, duck, sf, name):
-    got, want = catalog.QUERIES[name](spark, sf).toPandas(), duck.execute(catalog.ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+    got = catalog.QUERIES[name](spark, sf)
+    want = duck.execute(catalog.ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
 def test_entry_imports():
