@@ -162,10 +162,15 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = solid.copy()
     ends[:-1] &= begins[1:] | ~solid[1:]
     lens = np.flatnonzero(ends) + 1 - starts
-    first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    values = low[solid].astype(np.uint64) + np.uint64(1)
-    values *= powers(int(lens.max()))[np.arange(len(values)) - np.repeat(first, lens)]
-    h = splitmix(np.add.reduceat(values, first) + lens.astype(np.uint64) * GOLD)
+    h = np.empty(len(starts), np.uint64)
+    # Some words at a time, as every byte takes 8 here.
+    for lo in range(0, len(starts), 1 << 16):
+        part, size = starts[lo : lo + (1 << 16)], lens[lo : lo + (1 << 16)]
+        begin, end = part[0], part[-1] + size[-1]
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        values = low[begin:end][solid[begin:end]].astype(np.uint64) + np.uint64(1)
+        values *= powers(int(size.max()))[np.arange(len(values)) - np.repeat(first, size)]
+        h[lo : lo + (1 << 16)] = splitmix(np.add.reduceat(values, first) + size.astype(np.uint64) * GOLD)
     counts = np.diff(np.searchsorted(starts, offsets)).astype(np.int64)
     return h, counts
 

@@ -37,6 +37,8 @@ from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize,
 DEPTH = 5
 #: Bytes of text in a block.
 BLOCK = 6 << 20
+#: Cells of a lookup table.
+TABLE = 1 << 23
 U64, I64 = np.uint64, np.int64
 #: Rows of the block table.
 TEXTS, GRAMS, WORDS = 0, 1, 2
@@ -51,10 +53,12 @@ def gram_codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n, docs = len(raw), len(off) - 1
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int32)
-    # DEPTH zero bytes before each text.
-    at = np.arange(n) + np.repeat(np.arange(1, docs + 1) * DEPTH, np.diff(off))
-    wide = np.zeros(n + docs * DEPTH, np.uint8)
-    wide[at] = raw
+    # DEPTH zero bytes before each text; real: where a text's own bytes are.
+    gap = bytes(DEPTH)
+    wide = np.frombuffer(b"".join(x for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for x in (gap, raw[a:b])), np.uint8)
+    real = np.ones(len(wide), bool)
+    pad = (off[:-1] + np.arange(docs) * DEPTH)[:, None] + np.arange(DEPTH)[None]
+    real[pad.ravel()] = False
     seen = np.zeros(256, bool)
     seen[wide] = True
     alphabet = np.flatnonzero(seen).astype(U64)
@@ -62,26 +66,37 @@ def gram_codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x = (np.cumsum(seen) - 1).astype(np.int32)[wide]
     code, ids = alphabet.copy(), x
     for _ in range(DEPTH):
-        if len(code) * m <= 1 << 26:
-            both = ids[:-1] * np.int32(m) + x[len(x) - len(ids) + 1 :]
-            have = np.zeros(len(code) * m, bool)
-            have[both] = True
-            used = np.flatnonzero(have)
-            rank = np.zeros(len(have), np.int32)
-            rank[used] = np.arange(len(used), dtype=np.int32)
-            ids = rank[both]
-        else:
-            both = ids[:-1].astype(I64) * m + x[len(x) - len(ids) + 1 :]
-            used, ids = np.unique(both, return_inverse=True)
-            ids = ids.astype(np.int32)
-        code = (code[used // m] << U64(8)) | alphabet[used % m]
+        ids, code = _longer(ids, code, x[len(x) - len(ids) + 1 :], alphabet)
     # The padded texts have other windows as well; keep those that end in a text's byte.
-    ids = ids[at - DEPTH]
+    ids = ids[real[DEPTH:]]
     have = np.zeros(len(code), bool)
     have[ids] = True
     return code[have], (np.cumsum(have) - 1).astype(np.int32)[ids]
 
 
+def _longer(ids: np.ndarray, code: np.ndarray, x: np.ndarray, alphabet: np.ndarray):
+    """Windows one byte longer: (index of each in the distinct codes, ascending codes). Tables of at most TABLE cells at a time."""
+    m = len(alphabet)
+    step = max(1, TABLE // m)
+    both = ids[:-1].astype(I64 if len(code) * m >= 1 << 31 else np.int32)
+    both *= m
+    both += x
+    out, codes, n = np.empty(len(both), np.int32), [], 0
+    for lo in range(0, len(code), step):
+        first, last = lo * m, min(len(code), lo + step) * m
+        at = slice(None) if len(code) <= step else (both >= first) & (both < last)
+        own = both[at] - first
+        have = np.zeros(last - first, bool)
+        have[own] = True
+        used = np.flatnonzero(have)
+        rank = np.zeros(last - first, np.int32)
+        rank[used] = np.arange(n, n + len(used), dtype=np.int32)
+        out[at] = rank[own]
+        codes.append((code[lo + used // m] << U64(8)) | alphabet[used % m])
+        n += len(used)
+    return out, np.concatenate(codes) if codes else code[:0]
+
+
 def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     """By the two context bytes next to the predicted one."""
     return (splitmix((codes >> U64(8)) & U64(0xFFFF)) % U64(buckets)).astype(I64)
@@ -296,10 +311,10 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
             ids, lens, out, raw = np.frombuffer(ids, I64), np.frombuffer(lens, I64), np.frombuffer(out, bool), np.frombuffer(raw, np.uint8)
             off = np.concatenate([[0], np.cumsum(lens)])
             codes, at = gram_codes(raw, off)
-            value = np.zeros(len(codes))
+            value = np.zeros(len(codes), np.float32)
             for b, own in split(codes, bucket_of(codes, buckets)):
                 value[own] = np.frombuffer(unpack(by[GRAMS, b])[0], np.float32)
-            total = np.concatenate([[0.0], np.cumsum(value[at])])
+            model = np.array([value[at[a:b]].sum(dtype=np.float64) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
             words, per = word_hashes(raw, off)
             names, inv = np.unique(words, return_inverse=True)
             counts = np.zeros(len(names))
@@ -316,7 +331,7 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
             cols[3].append(known[edge[1:]] - known[edge[:-1]] + end_known)
             cols[4].append(np.full(len(ids), n_train))
             cols[5].append(base + end_log - tokens * norm)
-            cols[6].append(total[off[1:]] - total[off[:-1]])
+            cols[6].append(model)
         kinds = (I64, bool, I64, I64, I64, np.float64, np.float64)
         cols = [np.concatenate(c).astype(k) if c else np.zeros(0, k) for c, k in zip(cols, kinds)]
         return pa.table([id_array(cols[0]), *(pa.array(c) for c in cols[1:])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
