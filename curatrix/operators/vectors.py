@@ -129,11 +129,11 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame, key: str, rounds: int = 50) ->
         gone = open_.join(sure.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
         if not gone.take(1):
             break
-        dropped = _cut(dropped.unionByName(gone).distinct())
+        dropped = cut(dropped.unionByName(gone).distinct())
     return state.join(dropped, "k", "left_anti").withColumnRenamed("k", key)
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the session."""
     import uuid
 
@@ -148,8 +148,10 @@ def kmeans(df: DataFrame, key: str, k: int, vec: str = "v", seed: int = 42) -> D
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    t = df.select(key, array_to_vector(doubles(F.col(vec))).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(t).transform(t).select(key, F.col("prediction").alias("cluster"))
+    t = df.select(key, array_to_vector(doubles(F.col(vec))).alias("features")).persist()  # every round of the fit reads it
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(t)
+    t.unpersist()
+    return model.transform(t).select(key, F.col("prediction").alias("cluster"))
 
 
 def _bounded(df: DataFrame, key: str, vec: str, most: int) -> tuple[list, np.ndarray]:
@@ -334,7 +336,7 @@ def compare_methods(df: DataFrame, key: str, methods: list[str], k: int, vec: st
     rows = []
     for m in methods:
         began = time.time()
-        labels = _cut(fit_predict(df, key, m, k, vec))
+        labels = cut(fit_predict(df, key, m, k, vec))
         rows.append(cluster_evaluation(df.join(labels, key), key, "cluster", vec).withColumns({"method": F.lit(m), "seconds": F.lit(time.time() - began)}))
     return reduce(lambda a, b: a.unionByName(b), rows)
 

@@ -9,7 +9,7 @@ from curatrix.functions import text as X
 from curatrix.functions.parse import mapped_label
 from curatrix.operators import sampling as S
 from curatrix.operators.frequency import frequencies, keep_first, smoothed
-from curatrix.operators.vectors import fit_predict, hashed_ngrams
+from curatrix.operators.vectors import cut, fit_predict, hashed_ngrams
 
 
 def cleaned(df: DataFrame, text: str, index: str = "original_index", **rules) -> DataFrame:
@@ -25,7 +25,7 @@ def scored(df: DataFrame, words=X.DOMAIN, script: str = r"[\x{4e00}-\x{9fff}]")
 def full(df: DataFrame, n: int, k: int, text: str = "text", index: str = "original_index", cap: int = 1_000_000, rules: dict | None = None, words=X.DOMAIN, script: str = r"[\x{4e00}-\x{9fff}]", method: str = "kmeans", vectors=hashed_ngrams) -> DataFrame:
     """Clean, cap, de-duplicate with frequency, embed, cluster, oversample by strata, score, and take the best of each cluster. Columns: text, frequency, quality_score, cluster_id, original_index, importance, label."""
     t = S.uniform_sample(cleaned(df, text, index, **(rules or {})), cap, "original_index")
-    unique = vectors(frequencies(t))
+    unique = cut(vectors(frequencies(t)))  # the fit reads it again and again
     labels = fit_predict(unique, "original_index", method, k).withColumnRenamed("cluster", "cluster_id")
     unique = unique.drop("v").join(labels, "original_index")
     over = S.stratified_sample(unique, 3 * n, "cluster_id", "original_index", "hybrid", 5, 3 * n // k * 3, smoothed(F.col("frequency")))
@@ -36,7 +36,7 @@ def full(df: DataFrame, n: int, k: int, text: str = "text", index: str = "origin
 def simple(df: DataFrame, n: int, k: int, text: str = "text", index: str = "original_index", cap: int = 500_000, rules: dict | None = None, words=X.DOMAIN, script: str = r"[\x{4e00}-\x{9fff}]", vectors=hashed_ngrams) -> DataFrame:
     """Clean, de-duplicate, cap, cluster, sample evenly and take the best by score. Columns: text, quality_score, label."""
     t = keep_first(cleaned(df, text, index, **(rules or {})), ["text"], ["original_index"])
-    t = vectors(S.uniform_sample(t, cap, "original_index"))
+    t = cut(vectors(S.uniform_sample(t, cap, "original_index")))
     t = t.drop("v").join(fit_predict(t, "original_index", "kmeans", k), "original_index")
     over = scored(S.simple_stratified(t, 2 * n, k, "cluster", "original_index"), words, script)
     return S.top_k(over, n, "quality_score", "original_index").select("text", "quality_score", F.lit("").alias("label"))
@@ -45,7 +45,7 @@ def simple(df: DataFrame, n: int, k: int, text: str = "text", index: str = "orig
 def secondary(df: DataFrame, n: int, k: int, text: str = "text", index: str = "original_index", clean: bool = False, rules: dict | None = None, words=X.DOMAIN, script: str = r"[\x{4e00}-\x{9fff}]", vectors=hashed_ngrams) -> DataFrame:
     """As full, without caps, with optional cleaning, at least max(5, n // k // 5) rows of each cluster and no rescaling."""
     t = cleaned(df, text, index, **(rules or {})) if clean else df.select(F.col(index).alias("original_index"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    unique = vectors(frequencies(t))
+    unique = cut(vectors(frequencies(t)))  # the fit reads it again and again
     unique = unique.drop("v").join(fit_predict(unique, "original_index", "kmeans", k).withColumnRenamed("cluster", "cluster_id"), "original_index")
     over = S.stratified_sample(unique, 3 * n, "cluster_id", "original_index", "hybrid", max(5, n // k // 5), None, smoothed(F.col("frequency")))
     best = S.cluster_balanced_top(scored(over, words, script), n, "cluster_id", "quality_score", "original_index", rescale=False)
