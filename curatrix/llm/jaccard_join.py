@@ -43,7 +43,11 @@ def in_order(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, count))] if count.any() else s
 
 
-def join_keys(s: np.ndarray, context: dict) -> np.ndarray:
+def join_keys(sets: list[np.ndarray], context: dict) -> list[np.ndarray]:
+    return [_keys(s, context) for s in sets]
+
+
+def _keys(s: np.ndarray, context: dict) -> np.ndarray:
     n, num, limit = len(s), context["num"], context["boundary"]
     s = in_order(s, context["often"])
     keys = []
@@ -75,9 +79,9 @@ def jaccard_rule(k: int = 4, num: int = 85) -> Rule:
 def join(docs: DataFrame, k: int = 4, num: int = 85) -> tuple[DataFrame, DataFrame]:
     """(items, components): see setlinks.linked."""
 
-    def context_of(nodes: DataFrame, often: np.ndarray) -> dict:
-        small = nodes.filter(F.col("n") <= 1000).groupBy("n").count().orderBy("n").collect()
-        total = nodes.agg(F.sum("n")).collect()[0][0]
+    def context_of(table: DataFrame, often: np.ndarray) -> dict:
+        small = table.filter(F.col("n") <= 1000).groupBy("n").count().orderBy("n").collect()
+        total = table.agg(F.sum("n")).collect()[0][0]
         mates = float(often[:, 1].sum()) / max(1, total) if len(often) else 0.0
         share = (100 - num) / 100
         return {"num": num, "often": often, "boundary": boundary([(r["n"], r["count"]) for r in small], num, mates), "keys": lambda s, c: share * s + 2 * c}

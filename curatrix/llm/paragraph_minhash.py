@@ -26,7 +26,7 @@ from curatrix.llm.common import GOLD, NULL_ID, splitmix
 from curatrix.llm.setlinks import CELLS, Rule, linked
 
 #: Hash functions of a signature, and the wanted chance to find a pair at the threshold.
-PERMS, RECALL = 96, 0.999
+PERMS, RECALL = 64, 0.999
 
 
 def tuned(threshold: float, perms: int = PERMS, recall: float = RECALL) -> tuple[int, int]:
@@ -39,18 +39,19 @@ def tuned(threshold: float, perms: int = PERMS, recall: float = RECALL) -> tuple
     return best
 
 
-def band_keys(s: np.ndarray, context: dict) -> np.ndarray:
-    """One key for each band of the MinHash signature of a set."""
+def band_keys(sets: list[np.ndarray], context: dict) -> list[np.ndarray]:
+    """One key for each band of the MinHash signature of each set."""
     bands, rows = context["bands"], context["rows"]
-    least = np.full(bands * rows, np.uint64(2**64 - 1))
-    for lo in range(0, len(s), 512):
-        part = s[lo : lo + 512]
-        mixed = part[:, None] * context["a"][None] + context["b"][None]
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(0))
-    key = np.arange(1, bands + 1, dtype=np.uint64) * GOLD
+    least = np.full((len(sets), bands * rows), np.uint64(2**64 - 1))
+    for i, s in enumerate(sets):
+        for lo in range(0, len(s), 512):
+            mixed = s[lo : lo + 512, None] * context["a"][None]
+            mixed += context["b"][None]
+            np.minimum(least[i], mixed.min(0), out=least[i])
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * GOLD, (len(sets), bands))
     for r in range(rows):
-        key = splitmix(key * GOLD + least[r::rows][:bands])
-    return key
+        key = splitmix(key * GOLD + least[:, r::rows])
+    return list(key)
 
 
 def rule(k: int = 5, num: int = 80, least_words: int = 20) -> Rule:

@@ -30,8 +30,8 @@ from curatrix.llm.common import GOLD, NULL_ID, as_text_arrays, materialize, pack
 from curatrix.llm.components import components
 
 CELLS = 128
-#: Lists of at most SHORT nodes are compared in full at once.
-SHORT = 12
+#: Lists of at most SHORT nodes are compared in full at once; longer ones in parts of about PART nodes.
+SHORT, PART = 12, 500
 #: Bits of the table that tells which documents are to be fetched.
 NEED_BITS = 22
 I64 = np.int64
@@ -46,7 +46,7 @@ class Rule:
     paragraphs: bool
     least_words: int
     cells: int
-    #: (set of hashes, in ascending order; shared context) -> candidate keys
+    #: (sets of hashes, each ascending; shared context) -> candidate keys of each
     keys: Callable
 
 
@@ -60,7 +60,7 @@ def similar(common, a, b, num: int):
 
 
 def item_sets(batch: pa.RecordBatch, rule: Rule):
-    """(doc id, paragraph, words, ascending distinct shingle hashes, bytes) of the items of a batch that have a set."""
+    """(doc id, paragraph, words, name of the set, ascending distinct shingle hashes, bytes) of the items of a batch that have a set."""
     ids, off, raw = as_text_arrays(batch)
     owner, para = np.arange(len(ids)), np.zeros(len(ids), I64)
     if rule.paragraphs and len(raw):
@@ -74,17 +74,24 @@ def item_sets(batch: pa.RecordBatch, rule: Rule):
     words, counts = word_hashes(raw, off)
     sh, n = shingles(words, counts, rule.k)
     ends = np.cumsum(n)
-    for i in np.flatnonzero((n > 0) & (counts >= rule.least_words)).tolist():
-        s = np.sort(sh[ends[i] - n[i] : ends[i]])
-        if len(s) > 1:
-            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-        yield int(ids[owner[i]]), int(para[i]), int(counts[i]), s, raw[off[i] : off[i + 1]]
-
-
-def set_id(s: np.ndarray) -> int:
-    """Name of a set: a hash of its members in order."""
-    mixed = splitmix(s + np.arange(1, len(s) + 1, dtype=np.uint64) * GOLD)
-    return int(splitmix(np.array([mixed.sum(dtype=np.uint64) ^ np.uint64(len(s))], dtype=np.uint64)).view(I64)[0])
+    own = np.flatnonzero((n > 0) & (counts >= rule.least_words))
+    sets = []
+    for a, b in zip((ends[own] - n[own]).tolist(), ends[own].tolist()):
+        s = np.sort(sh[a:b])
+        keep = s[1:] != s[:-1]
+        sets.append(s if keep.all() else s[np.concatenate([[True], keep])])
+    names = set_names(sets)
+    for i, name, s in zip(own.tolist(), names.tolist(), sets):
+        yield int(ids[owner[i]]), int(para[i]), int(counts[i]), name, s, raw[off[i] : off[i + 1]]
+
+
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """Names of sets: a hash of the members and their number."""
+    if not sets:
+        return np.zeros(0, I64)
+    lens = np.array([len(s) for s in sets])
+    sums = np.add.reduceat(splitmix(np.concatenate(sets) + GOLD), np.concatenate([[0], np.cumsum(lens)[:-1]]))
+    return splitmix(sums ^ (lens.astype(np.uint64) * GOLD)).view(I64)
 
 
 def sketch(s: np.ndarray, n_cells: int = CELLS) -> bytes:
@@ -113,8 +120,7 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
     def run(batches):
         for b in batches:
             rows, pool, seen = [], [], set()
-            for doc, para, words, s, _ in item_sets(b, rule):
-                sid = set_id(s)
+            for doc, para, words, sid, s, _ in item_sets(b, rule):
                 rows.append((0, doc, para, sid, len(s), words, sketch(s), pack(sketch(s, rule.cells), level=1) if rule.cells > CELLS else b""))
                 if frequent and sid not in seen:
                     seen.add(sid)
@@ -166,12 +172,9 @@ def postings(docs: DataFrame, rule: Rule, context, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
         for b in batches:
-            for _, _, _, s, _ in item_sets(b, rule):
-                sid = set_id(s)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                keys = rule.keys(s, share.value)
+            fresh = {sid: s for _, _, _, sid, s, _ in item_sets(b, rule) if sid not in seen}
+            seen.update(fresh)
+            for (sid, s), keys in zip(fresh.items(), rule.keys(list(fresh.values()), share.value)):
                 if len(keys):
                     held.append((keys, sid, len(s)))
                     size += len(keys)
@@ -263,29 +266,55 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule, bl
     return _verified(pairs, wanted, docs, rule, blocks, num)
 
 
-def _doc_cell(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (splitmix(ids.astype(I64).view(np.uint64)) >> np.uint64(64 - bits)).astype(I64)
+def _cell(x: np.ndarray) -> np.ndarray:
+    return (splitmix(x.astype(I64).view(np.uint64)) >> np.uint64(64 - NEED_BITS)).astype(I64)
 
 
-def _verified(pairs, wanted, docs, rule, blocks, num):
-    spark = docs.sparkSession
+def bit_table(df: DataFrame, column: str):
+    """A broadcast table of 2**NEED_BITS bits with those of the column's values set, whatever their number: it only spares rows that nobody asks for."""
 
     def cells(batches):
         for t in batches:
-            c = np.unique(_doc_cell(t.column("doc_id").to_numpy(zero_copy_only=False), NEED_BITS))
+            c = np.unique(_cell(t.column(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_pydict({"word": pa.array(c >> 6), "bit": pa.array(np.left_shift(np.uint64(1), (c & 63).astype(np.uint64)).view(I64))})
 
-    # A table of 2**22 bits, whatever the number of documents: it only spares texts that nobody asks for.
-    got = wanted.select("doc_id").mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    got = df.select(column).mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(1 << (NEED_BITS - 6), np.uint64)
     table[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(np.uint64)
-    needed = spark.sparkContext.broadcast(table)
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
+def has_bit(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    c = _cell(x)
+    return ((table[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def concerned(table: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes (sid, doc_id, para, n, cells, fine) of the items whose set is in some candidate pair or list."""
+    bits = bit_table(found.select(F.col("a").alias("x")).unionAll(found.filter("list = 0").select(F.col("b").alias("x"))), "x")
+
+    def run(batches):
+        for t in batches:
+            keep = has_bit(bits.value, t.column("sid").to_numpy(zero_copy_only=False))
+            if keep.any():
+                yield t.filter(pa.array(keep))
+
+    names = ["sid", "doc_id", "para", "n", "cells", "fine"]
+    rows = table.select(*names)
+    rows = rows.mapInArrow(run, rows.schema)
+    least = rows.groupBy("sid").agg(F.min(F.struct(*names[1:])).alias("x"))
+    return materialize(least.select("sid", *[f"x.{c}" for c in names[1:]]))
+
+
+def _verified(pairs, wanted, docs, rule, blocks, num):
+    spark = docs.sparkSession
+
+    needed = bit_table(wanted, "doc_id")
 
     def to_send(batches):
         for b in batches:
             ids, off, raw = as_text_arrays(b)
-            c = _doc_cell(ids, NEED_BITS)
-            hit = np.flatnonzero((needed.value[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1))
+            hit = np.flatnonzero(has_bit(needed.value, ids))
             if not len(hit):
                 continue
             to = (splitmix(ids[hit].view(np.uint64) + GOLD) % np.uint64(blocks)).astype(np.int32)
@@ -318,8 +347,7 @@ def _verified(pairs, wanted, docs, rule, blocks, num):
             own = [i for i in range(len(ids)) if int(ids[i]) in want]
             part = [bytes(data[(ends[i - 1] if i else 0) : ends[i]]) for i in own]
             batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([int(ids[i]) for i in own], pa.int64()), "text": pa.array(part, pa.binary())})
-            for doc, _, _, s, item in item_sets(batch, rule) if own else ():
-                sid = set_id(s)
+            for doc, _, _, sid, _, item in item_sets(batch, rule) if own else ():
                 if sid in want[doc] and sid not in done:
                     done.add(sid)
                     z = pack(item)  # the text is a few times smaller than its set of hashes
@@ -330,7 +358,7 @@ def _verified(pairs, wanted, docs, rule, blocks, num):
 
     def members(block: bytes) -> np.ndarray:
         batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([0], pa.int64()), "text": pa.array([bytes(unpack(block)[0])], pa.binary())})
-        return next(item_sets(batch, rule))[3]
+        return next(item_sets(batch, rule))[4]
 
     def compare(key, p: pa.Table, s: pa.Table) -> pa.Table:
         packed = dict(zip(s.column("sid").to_pylist(), s.column("members").to_pylist()))
@@ -364,18 +392,24 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best:
     named = materialize(named)
     mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("list")
     rest = named.join(mixed, "list", "left_semi").join(nodes.select("sid", "cells"), "sid")
+    # A list of many members is cut into parts, and each pair of parts is a task's group of its own.
+    parts = named.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).cast("int").alias("parts"))
+    rest = rest.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("sid", F.lit(21)), F.col("parts")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
 
     def run(t: pa.Table) -> pa.Table:
-        sid, comp, n = (t.column(c).to_numpy().astype(I64) for c in ("sid", "comp", "n"))
+        sid, comp, n, part = (t.column(c).to_numpy().astype(I64) for c in ("sid", "comp", "n", "part"))
+        alone = not t.num_rows or t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
         cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
         order = np.argsort(n, kind="stable")
-        sid, comp, n, cells = sid[order], comp[order], n[order], cells[order]
+        sid, comp, n, part, cells = sid[order], comp[order], n[order], part[order], cells[order]
         top, mate = np.full(len(sid), -1.0), np.zeros(len(sid), I64)
         out = []
         for i in range(len(sid) - 1):
             hi = np.searchsorted(100 * n[i] < num * n, True)  # sizes ascend
             j = np.arange(i + 1, hi)
-            j = j[comp[j] != comp[i]]
+            j = j[(comp[j] != comp[i]) & (alone | (part[j] != part[i]))]
             if not len(j):
                 continue
             j = j[sketch_passes(cells[j], cells[i][None], n[j], np.full(len(j), n[i]), num)]
@@ -396,7 +430,7 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best:
         key = t.column("list")[0].as_py() if t.num_rows else 0
         return pa.table({"x": pa.array(np.ascontiguousarray(rows[:, 0])), "y": pa.array(np.ascontiguousarray(rows[:, 1])), "near": pa.array(np.ascontiguousarray(rows[:, 2])), "key": pa.array(np.full(len(rows), key), pa.int64())})
 
-    pairs = rest.select("list", "sid", "comp", "n", "cells").groupBy("list").applyInArrow(run, "x long, y long, near long, key long")
+    pairs = rest.select("list", "lo", "hi", "part", "sid", "comp", "n", "cells").groupBy("list", "lo", "hi").applyInArrow(run, "x long, y long, near long, key long")
     if best:
         pairs = pairs.groupBy("x").agg(F.max(F.struct("near", "y", "key")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.key").alias("key"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key")
@@ -406,17 +440,16 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best:
 def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[DataFrame, DataFrame]:
     """(items, components of set names): items (doc_id, para, sid, n, words), and (node, comp) of the nodes with links."""
     table, often = items(docs, rule, frequent)
-    nodes = table.groupBy("sid").agg(F.min(F.struct("doc_id", "para", "n", "cells", "fine")).alias("x"))
-    nodes = materialize(nodes.select("sid", "x.doc_id", "x.para", "x.n", "x.cells", "x.fine"))
-    total = nodes.agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).collect()[0]
+    total = table.agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).collect()[0]
     if not total["c"]:
         empty = docs.sparkSession.createDataFrame([], "node long, comp long")
         return table, empty
-    context = context_of(nodes, often)
-    # About 400,000 keys and 8 million shingles for a task.
+    context = context_of(table, often)
+    # About 400,000 keys and 4 million shingles for a task.
     buckets = int(max(12, context["keys"](total["s"], total["c"]) // 400_000))
     blocks = int(max(12, total["s"] // 4_000_000))
     found = materialize(candidates(postings(docs, rule, context, buckets), rule.num))
+    nodes = concerned(table, found)
     pairs = found.filter("list = 0").groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("na", "nb", "key")))
     edges = materialize(verified(sketched(pairs, nodes, rule.num), docs, nodes, rule, blocks))
     comps = components(edges)
