@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Bins of the rank value for each source.
-BINS = 4096
+#: Bins of the rank value for each source, and copies of its targets in joins.
+BINS, SALTS = 4096, 64
 
 
 def uniform(key, seed: str):
@@ -83,8 +83,10 @@ def pareto_mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: floa
         return d.withColumn("m_rank", rank).withColumn("m_bin", F.least(binned, F.lit(BINS - 1)))
 
     def with_targets(d: DataFrame, t: DataFrame, on: str) -> DataFrame:
-        t = t.withColumnRenamed("m_source", "t_source")
-        return d.join(t, d[on].eqNullSafe(t["t_source"]), "left").drop("t_source")
+        # A source may hold a third of all rows: its row of targets is copied SALTS times, and its documents spread over the copies.
+        t = t.withColumnRenamed("m_source", "t_source").withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        d = d.withColumn("m_salt", F.pmod(F.xxhash64("doc_id", "m_h"), F.lit(SALTS)).cast("int"))
+        return d.join(t, d[on].eqNullSafe(t["t_source"]) & (d["m_salt"] == t["t_salt"]), "left").drop("t_source", "t_salt", "m_salt")
 
     binned = ranked(with_targets(light, targets, "m_source"))
     bins = binned.groupBy("m_source", "m_bin").agg(F.sum("m_size").alias("words"), F.first("m_rest").alias("m_rest"))
