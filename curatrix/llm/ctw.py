@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize, pack, small_batches, splitmix, unpack, word_hashes
+from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize, pack, small_batches, splitmix, trim, unpack, word_hashes
 
 DEPTH = 5
 #: Bytes of text in a block.
@@ -248,8 +248,11 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
             if n >= BLOCK:
                 yield block()
                 seq, held, n = seq + 1, [], 0
+                trim()
         if held:
             yield block()
+        held.clear()
+        trim()
 
     table = materialize(docs.mapInArrow(blocks, "name long, kind byte, bucket int, block binary"))
 
@@ -332,6 +335,7 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
             cols[4].append(np.full(len(ids), n_train))
             cols[5].append(base + end_log - tokens * norm)
             cols[6].append(model)
+        trim()
         kinds = (I64, bool, I64, I64, I64, np.float64, np.float64)
         cols = [np.concatenate(c).astype(k) if c else np.zeros(0, k) for c, k in zip(cols, kinds)]
         return pa.table([id_array(cols[0]), *(pa.array(c) for c in cols[1:])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
