@@ -7,6 +7,7 @@ sums, which combine before the shuffle, or through array functions on one row.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
@@ -16,6 +17,8 @@ from curatrix.operators.sampling import uniform_sample
 
 #: Most rows that bounded algorithms take on one machine (a documented parameter of theirs).
 BOUNDED = 5_000
+#: Most rows of the spanning tree of density_clusters, which the driver holds (some 1 KB a row).
+TREE_ROWS = 500_000
 
 
 def centroids(df: DataFrame, cluster: str = "cluster", vec: str = "v") -> DataFrame:
@@ -190,11 +193,178 @@ def agglomerative(df: DataFrame, key: str, k: int, vec: str = "v", coarse: int =
     return first.join(F.broadcast(table), "cluster").select(key, F.col("label").alias("cluster"))
 
 
-def density_clusters(df: DataFrame, key: str, vec: str = "v", min_cluster_size: int = 15, min_samples: int = 5, most: int = BOUNDED) -> DataFrame:
-    """(key, cluster) by hierarchical density clustering on cosine distance, excess of mass; -1 is noise. For tables of at most `most` rows."""
-    ids, x = _bounded(df, key, vec, most)
-    labels = hdbscan(x, min_cluster_size, min_samples)
-    return df.sparkSession.createDataFrame([(i, int(l)) for i, l in zip(ids, labels)], f"{key} {dict(df.dtypes)[key]}, cluster int")
+def density_clusters(df: DataFrame, key: str, vec: str = "v", min_cluster_size: int = 15, min_samples: int = 5, most: int = BOUNDED, limit: int = TREE_ROWS) -> DataFrame:
+    """(key, cluster) by hierarchical density clustering on cosine distance, excess of mass; -1 is noise.
+
+    Tables of over `most` rows get the edges of the same spanning tree from block
+    products on the executors; the tree itself is built on the driver, so tables of
+    over `limit` rows raise. Keys are unique.
+    """
+    n = df.count()
+    if n > limit:
+        raise ValueError(f"{n} rows; the spanning tree of density_clusters is for at most limit = {limit} rows")
+    if n <= most:
+        ids, x = _bounded(df, key, vec, most)
+        labels = hdbscan(x, min_cluster_size, min_samples)
+    else:
+        ids, edges = spanning_edges(df, key, vec, min_samples)
+        labels = condensed_labels(len(ids), edges, min_cluster_size)
+    table = pa.table({key: pa.array(ids), "cluster": pa.array(labels, pa.int32())})
+    return df.sparkSession.createDataFrame(table, f"{key} {dict(df.dtypes)[key]}, cluster int")
+
+
+def spanning_edges(df: DataFrame, key: str, vec: str = "v", min_samples: int = 5, block: int = 1024, near: int = 24) -> tuple[list, list]:
+    """Keys in order and the edges (height, i, j) of a minimum spanning tree of mutual reachability, i and j places in that order.
+
+    Boruvka's rounds. The driver keeps each row's `near` nearest rows; a row whose
+    list may miss its component's shortest way out is compared with all rows
+    again. A way out only gets longer as components grow, so the length found
+    last bounds the row's next one from below. Of edges of one height any may be taken.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # of blocks
+    parts = max(1, -(-df.count() // block))
+
+    def pack_rows(batches):
+        held = []
+
+        def flush(rows):
+            u = np.array([r[1] for r in rows], dtype=float)
+            u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+            return pa.RecordBatch.from_arrays([pa.array([[r[0] for r in rows]], pa.list_(key_type[0])), pa.array([u.tobytes()], pa.binary())], names=["keys", "u"])
+
+        key_type = [None]
+        for b in batches:
+            key_type[0] = b.schema.field(0).type
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            while len(held) >= block:
+                yield flush(held[:block])
+                del held[:block]
+        if held:
+            yield flush(held)
+
+    rows = df.select(key, doubles(F.col(vec)).alias("v")).repartition(parts)
+    blocks = cut(rows.mapInArrow(pack_rows, f"keys array<{dict(df.dtypes)[key]}>, u binary").withColumn("id", F.monotonically_increasing_id()))
+    found = blocks.select("id", "keys").orderBy("id").collect()
+    ids = [k for r in found for k in r["keys"]]
+    starts = dict(zip([r["id"] for r in found], np.cumsum([0] + [len(r["keys"]) for r in found[:-1]]).tolist()))
+    sizes = {r["id"]: len(r["keys"]) for r in found}
+    n, near = len(ids), min(near, len(ids))
+    near = max(near, min(min_samples + 1, n))
+    left = blocks.select("id", "u").repartition(min(parts, 24))
+    right = blocks.select(F.col("id").alias("id2"), F.col("u").alias("u2")).repartition(min(parts, 2))
+
+    def over_pairs(task, schema):
+        """task(start of a, a, start of b, b, what it made of a before) for all pairs of blocks, and what it made of each a."""
+
+        def run(batches):
+            made = {}
+            for t in batches:
+                for p, q, r, s in zip(t.column("id").to_pylist(), t.column("u").to_pylist(), t.column("id2").to_pylist(), t.column("u2").to_pylist()):
+                    a, b = (np.frombuffer(y).reshape(sizes[z], -1) for y, z in ((q, p), (s, r)))
+                    got = task(starts[p], a, starts[r], b, made.get(p))
+                    if got is not None:
+                        made[p] = got
+            for p, (at, d, j) in made.items():
+                yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int64).tobytes()], "d": [d.astype(float).tobytes()], "j": [j.astype(np.int64).tobytes()]})
+
+        return left.crossJoin(right).mapInArrow(run, schema).toArrow().to_pylist()
+
+    def nearest(ra, a, rb, b, made):
+        d = np.maximum(1 - a @ b.T, 0)
+        m = min(near, len(b))
+        j = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(b) else np.tile(np.arange(m), (len(a), 1))
+        d, j = np.take_along_axis(d, j, 1), j + rb
+        if made is not None:
+            d, j = np.concatenate([made[1], d], 1), np.concatenate([made[2], j], 1)
+            if d.shape[1] > near:
+                o = np.argpartition(d, near - 1, axis=1)[:, :near]
+                d, j = np.take_along_axis(d, o, 1), np.take_along_axis(j, o, 1)
+        return np.arange(ra, ra + len(a)), d, j
+
+    schema = "at binary, d binary, j binary"
+    list_d, list_j = np.full((n, 0), np.inf), np.zeros((n, 0), np.int64)
+    parts_of = {}
+    for r in over_pairs(nearest, schema):
+        at = np.frombuffer(r["at"], np.int64)
+        d, j = np.frombuffer(r["d"]).reshape(len(at), -1), np.frombuffer(r["j"], np.int64).reshape(len(at), -1)
+        was = parts_of.get(at[0])
+        parts_of[at[0]] = (at, d, j) if was is None else (at, np.concatenate([was[1], d], 1), np.concatenate([was[2], j], 1))
+    list_d, list_j = np.zeros((n, near)), np.zeros((n, near), np.int64)
+    for at, d, j in parts_of.values():
+        o = np.argsort(d, axis=1, kind="stable")[:, :near]
+        list_d[at], list_j[at] = np.take_along_axis(d, o, 1), np.take_along_axis(j, o, 1)
+    del parts_of
+    core = list_d[:, min(min_samples, n - 1)].copy()
+    low = np.maximum(core, list_d[:, -1]) if near < n else np.full(n, np.inf)  # no row outside the list is nearer
+    reach = np.maximum(np.maximum(list_d, core[:, None]), core[list_j])
+    way, to = np.full(n, np.inf), np.full(n, -1)  # shortest way out of a row that a scan found
+    comp, edges = np.arange(n), []
+    while True:
+        count = len(np.unique(comp))
+        if count < 2:
+            break
+        scanned = (to >= 0) & (comp[to] != comp)
+        out = np.where(comp[list_j] != comp[:, None], reach, np.inf)
+        slot = out.argmin(1)
+        best, goal = out[np.arange(n), slot], list_j[np.arange(n), slot]
+        best, goal = np.where(scanned, np.minimum(way, np.inf), best), np.where(scanned, to, goal)
+        top = np.full(n, np.inf)
+        np.minimum.at(top, comp, best)
+        need = ~scanned & (low < np.minimum(best, top[comp]))
+        if need.any():
+            share = spark.sparkContext.broadcast((need, comp, core))
+
+            def outward(ra, a, rb, b, made):
+                need, comp, core = share.value
+                at = np.flatnonzero(need[ra : ra + len(a)])
+                if not len(at):
+                    return None
+                d = 1 - a[at] @ b.T
+                np.maximum(d, core[rb : rb + len(b)], out=d)
+                d[comp[ra + at][:, None] == comp[rb : rb + len(b)]] = np.inf
+                j = d.argmin(1)
+                d = np.maximum(d[np.arange(len(at)), j], core[ra + at])
+                j = j + rb
+                if made is not None:
+                    keep = made[1] <= d
+                    d, j = np.where(keep, made[1], d), np.where(keep, made[2], j)
+                return ra + at, d, j
+
+            way[need], to[need] = np.inf, -1
+            for r in over_pairs(outward, schema):
+                at, d, j = np.frombuffer(r["at"], np.int64), np.frombuffer(r["d"]), np.frombuffer(r["j"], np.int64)
+                less = d < way[at]
+                way[at[less]], to[at[less]] = d[less], j[less]
+            low[need] = np.maximum(low[need], way[need])
+            share.unpersist()
+            best, goal = np.where(need, way, best), np.where(need, to, goal)
+        # The shortest way out of each component, then Kruskal over these: a tie never closes a circle.
+        order = np.lexsort((goal, best))
+        order = order[np.isfinite(best[order])]
+        first = order[np.sort(np.unique(comp[order], return_index=True)[1])]
+        root = {int(c): int(c) for c in np.unique(comp)}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for i in first.tolist():
+            a, b = find(int(comp[i])), find(int(comp[goal[i]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((float(best[i]), i, int(goal[i])))
+        names = np.zeros(n, np.int64)
+        for c in root:
+            names[c] = find(c)
+        comp = names[comp]
+    order = sorted(range(n), key=lambda i: ids[i])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    edges = sorted((h, *sorted((int(place[i]), int(place[j])))) for h, i, j in edges)
+    return [ids[i] for i in order], edges
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) -> np.ndarray:
@@ -216,7 +386,11 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) ->
         nxt = int(np.where(done, np.inf, best).argmin())
         edges.append((best[nxt], frm[nxt], nxt))
         now = nxt
-    edges.sort()
+    return condensed_labels(n, sorted(edges), min_cluster_size)
+
+
+def condensed_labels(n: int, edges: list, min_cluster_size: int) -> np.ndarray:
+    """Labels of n rows from the edges (height, i, j) of their spanning tree, in order of height."""
     # Single-linkage tree: node -> (children, height).
     root, kids, size = list(range(n)), {}, {i: 1 for i in range(n)}
 
@@ -243,7 +417,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) ->
         return out
 
     top = len(root) - 1
-    tree: list[dict] = [{"members": leaves(top), "birth": 0.0, "mass": 0.0, "kids": []}]
+    tree: list[dict] = [{"node": top, "birth": 0.0, "mass": 0.0, "kids": []}]
     stack = [(top, 0)]
     while stack:
         node, c = stack.pop()
@@ -252,7 +426,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) ->
         big = [v for v in (a, b) if size[v] >= min_cluster_size]
         for v in (a, b):
             if len(big) == 2:
-                tree.append({"members": leaves(v), "birth": lam, "mass": 0.0, "kids": []})
+                tree.append({"node": v, "birth": lam, "mass": 0.0, "kids": []})
                 tree[c]["kids"].append(len(tree) - 1)
                 tree[c]["mass"] += size[v] * (lam - tree[c]["birth"])
                 if v in kids:
@@ -278,7 +452,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) ->
             value[c] = below
     labels = np.full(n, -1)
     for i, c in enumerate(sorted(chosen)):
-        labels[tree[c]["members"]] = i
+        labels[leaves(tree[c]["node"])] = i
     return labels
 
 
@@ -308,8 +482,6 @@ def fit_predict(df: DataFrame, key: str, method: str = "kmeans", k: int = 10, ve
     if method == "hybrid":
         return refined(df, key, k, vec, seed)
     if method == "hdbscan":
-        if df.limit(BOUNDED + 1).count() > BOUNDED:
-            return kmeans(df, key, k, vec, seed)  # as documented: the bounded method gives way to k-means
         found = df.join(density_clusters(df, key, vec, **options), key)
         if not found.filter("cluster >= 0").take(1):
             return found.select(key, "cluster")

@@ -1,5 +1,7 @@
 """Planted cases of joins, sampling, statistics, audits, clustering and validators."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +143,43 @@ def test_clusterings_find_blobs(spark, method):
     assert out.select("truth", "cluster").distinct().count() == 3
 
 
+def test_density_clusters_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    c = rng.normal(0, 1, (6, 8))
+    x = np.concatenate([c[i] + rng.normal(0, 0.15, (110, 8)) for i in range(6)] + [rng.normal(0, 1, (90, 8)), np.tile(c[0], (40, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(3)
+    want = vectors.hdbscan(x)
+    ids, edges = vectors.spanning_edges(df, "id", block=128, near=8)
+    assert ids == list(range(len(x))) and len(edges) == len(x) - 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.maximum(1 - u @ u.T, 0)
+    core = np.sort(d, axis=1)[:, 5]
+    d = np.maximum(np.maximum(core[:, None], core[None]), d)
+    near, total, done = d[0].copy(), 0.0, {0}
+    while len(done) < len(x):
+        near[list(done)] = np.inf
+        i = int(near.argmin())
+        total, near = total + near[i], np.minimum(near, d[i])
+        done.add(i)
+    assert sum(e[0] for e in edges) == pytest.approx(total)
+    out = {r.id: r.cluster for r in vectors.density_clusters(df, "id", most=100).collect()}
+    # Names aside the same clusters; a row that two clusters reach at one height may fall to either.
+    pairs = collections.Counter((int(w), out[i]) for i, w in enumerate(want))
+    same = [p for p, count in pairs.items() if count > 3]
+    assert len(set(want)) > 3 and len(same) == len(set(want)) == len({b for _, b in same}) and (-1, -1) in same
+    with pytest.raises(ValueError):
+        vectors.density_clusters(df, "id", limit=100)
+
+
+def test_hdbscan_keeps_its_method_above_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "kmeans", lambda *a, **b: pytest.fail("k-means instead of density clusters"))
+    n = vectors.BOUNDED + 100
+    angle = np.random.default_rng(5).normal(0, 0.02, n) + np.arange(n) % 2 * np.pi / 2
+    df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id int, v array<double>")
+    out = vectors.fit_predict(df, "id", "hdbscan", 5, min_cluster_size=1000)
+    assert {(r.id % 2, r.cluster) for r in out.select("id", "cluster").collect()} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
+
+
 def test_near_duplicates_and_greedy(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (3, [0.0, 1.0])], "id int, v array<double>")
     exact = vectors.near_pairs(df, "id", threshold=0.99995, bits=0)
