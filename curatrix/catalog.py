@@ -476,7 +476,7 @@ def kmeans(spark, d):
 
 @query()
 def agglomerative(spark, d):
-    return vectors.agglomerative(vecs(spark, d).drop("cluster"), "vec_id", 5, coarse=40)
+    return vectors.agglomerative(vecs(spark, d).drop("cluster"), "vec_id", 5)
 
 
 @query()

@@ -17,6 +17,8 @@ from curatrix.operators.sampling import uniform_sample
 
 #: Most rows that bounded algorithms take on one machine (a documented parameter of theirs).
 BOUNDED = 5_000
+#: Most rows that average linkage takes at once: their distances are 800 MB.
+LINKED = 10_000
 #: Most rows of the spanning tree of density_clusters, which the driver holds (some 1 KB a row).
 TREE_ROWS = 500_000
 
@@ -165,29 +167,65 @@ def _bounded(df: DataFrame, key: str, vec: str, most: int) -> tuple[list, np.nda
 
 
 def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of average linkage on cosine distance down to k clusters (for bounded tables)."""
+    """Labels of average linkage on cosine distance down to k clusters (for bounded tables), by chains of nearest neighbours."""
+    n = len(x)
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1 - u @ u.T
+    d = u @ u.T
+    np.subtract(1, d, out=d)
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(len(x)), np.arange(len(x))
-    for _ in range(len(x) - max(1, k)):
-        i, j = np.unravel_index(d.argmin(), d.shape)
+    size, live, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(live.argmax()))
+        while True:
+            i = chain[-1]
+            j = int(d[i].argmin())
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        i, j = min(i, j), max(i, j)
+        merges.append((d[i, j], len(merges), i, j))
         row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         row[[i, j]] = np.inf
         d[i], d[:, i] = row, row
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+        live[j] = False
+    # The heights of the tree never fall, so its lowest merges are those of the greedy order.
+    root = list(range(n))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for _, _, i, j in sorted(merges)[: n - max(1, k)] if n > k else []:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def agglomerative(df: DataFrame, key: str, k: int, vec: str = "v", coarse: int = 500, seed: int = 42) -> DataFrame:
-    """(key, cluster): k-means to at most `coarse` centres, average linkage on cosine distance over the centres, mapped back."""
+def agglomerative(df: DataFrame, key: str, k: int, vec: str = "v", coarse: int | None = None, seed: int = 42, direct: int = LINKED) -> DataFrame:
+    """(key, cluster): average linkage on cosine distance of all rows, of at most `direct`; over the centres of k-means above that, mapped back.
+
+    There are 10 k centres, or `coarse`, at most half the rows and k at least. More
+    than `direct` centres raise.
+    """
     n = df.count()
-    cs = min(coarse, max(k, n // 2))
+    if n <= direct:
+        ids, x = _bounded(df, key, vec, direct)
+        names = average_linkage(x, k) if ids else []
+        table = pa.table({key: pa.array(ids), "cluster": pa.array(names, pa.int32())})
+        return df.sparkSession.createDataFrame(table, f"{key} {dict(df.dtypes)[key]}, cluster int")
+    cs = max(k, min(coarse or 10 * k, n // 2))
+    if cs > direct:
+        raise ValueError(f"{cs} centres; average linkage is for at most direct = {direct}")
     first = kmeans(df, key, cs, vec, seed)
     c = centroids(df.join(first, key), "cluster", vec)
-    ids, x = _bounded(c, "cluster", "centroid", coarse)
+    ids, x = _bounded(c, "cluster", "centroid", cs)
     names = average_linkage(x, k)
     table = df.sparkSession.createDataFrame([(int(i), int(l)) for i, l in zip(ids, names)], "cluster int, label int")
     return first.join(F.broadcast(table), "cluster").select(key, F.col("label").alias("cluster"))

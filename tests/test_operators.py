@@ -143,6 +143,43 @@ def test_clusterings_find_blobs(spark, method):
     assert out.select("truth", "cluster").distinct().count() == 3
 
 
+def greedy_linkage(x, k):
+    """Average linkage by its definition: the two clusters of the least mean distance meet."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    parts = [[i] for i in range(len(x))]
+    while len(parts) > k:
+        mean = lambda p: d[np.ix_(parts[p[0]], parts[p[1]])].mean()
+        i, j = min(((i, j) for j in range(len(parts)) for i in range(j)), key=mean)
+        parts[i] += parts.pop(j)
+    return {frozenset(p) for p in parts}
+
+
+def groups_of(rows):
+    out = collections.defaultdict(set)
+    for r in rows:
+        out[r.cluster].add(r.id)
+    return {frozenset(p) for p in out.values()}
+
+
+def test_agglomerative_links_all_rows(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(0, 1, (60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(3)
+    want = greedy_linkage(x, 5)
+    monkeypatch.setattr(vectors, "kmeans", lambda *a, **b: pytest.fail("centres instead of rows"))
+    assert groups_of(vectors.agglomerative(df, "id", 5).collect()) == want
+    assert groups_of(vectors.fit_predict(df, "id", "agglomerative", 5).collect()) == want
+
+
+def test_agglomerative_centres_follow_k(spark, monkeypatch):
+    seen, plain = [], vectors.kmeans
+    monkeypatch.setattr(vectors, "kmeans", lambda df, key, k, *a: (seen.append(k), plain(df, key, k, *a))[1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(9).normal(0, 1, (80, 4)))], "id int, v array<double>")
+    assert len(groups_of(vectors.agglomerative(df, "id", 3, direct=60).collect())) == 3
+    assert len(groups_of(vectors.agglomerative(df, "id", 55, direct=60).collect())) > 40
+    assert seen == [30, 55]
+
+
 def test_density_clusters_of_any_size(spark):
     rng = np.random.default_rng(3)
     c = rng.normal(0, 1, (6, 8))
