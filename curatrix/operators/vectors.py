@@ -6,6 +6,8 @@ sums, which combine before the shuffle, or through array functions on one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,20 +124,28 @@ def near_pairs(df: DataFrame, key: str, vec: str = "v", threshold: float = 0.95,
     return pairs.groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.max(sim).alias("sim"))
 
 
-def greedy_kept(ids: DataFrame, pairs: DataFrame, key: str, rounds: int = 50) -> DataFrame:
-    """The keys that stay if rows are taken in order of key and one similar to a kept earlier row goes (a fixed point, not components)."""
-    pairs = pairs.select("a", "b")
+def greedy_kept(ids: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The keys that stay if rows are taken in order of key and one similar to a kept earlier row goes (a fixed point, not components).
+
+    Pairs are a < b. Rounds go on until none drops a key; a chain of n rows that
+    are each like the next takes n / 2.
+    """
+    open_ = cut(pairs.select("a", "b").distinct())
     state = ids.select(F.col(key).alias("k"))
-    dropped = pairs.filter("false").select(F.col("b").alias("k"))
-    for _ in range(rounds):
+    dropped = []
+    while True:
         # Kept for sure: no undecided earlier neighbour.
-        open_ = pairs.join(dropped.withColumnRenamed("k", "a"), "a", "left_anti").join(dropped.withColumnRenamed("k", "b"), "b", "left_anti")
-        sure = open_.select(F.col("a").alias("k")).distinct().join(open_.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
-        gone = open_.join(sure.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        sure = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = cut(open_.join(sure, "a", "left_semi").select(F.col("b").alias("k")).distinct())
         if not gone.take(1):
             break
-        dropped = cut(dropped.unionByName(gone).distinct())
-    return state.join(dropped, "k", "left_anti").withColumnRenamed("k", key)
+        dropped.append(gone)
+        open_ = cut(open_.join(gone.withColumnRenamed("k", "a"), "a", "left_anti").join(gone.withColumnRenamed("k", "b"), "b", "left_anti"))
+        if len(dropped) == 20:
+            dropped = [cut(reduce(DataFrame.unionByName, dropped))]
+    if not dropped:
+        return state.withColumnRenamed("k", key)
+    return state.join(reduce(DataFrame.unionByName, dropped), "k", "left_anti").withColumnRenamed("k", key)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -541,7 +551,6 @@ def cluster_evaluation(df: DataFrame, key: str, cluster: str = "cluster", vec: s
 def compare_methods(df: DataFrame, key: str, methods: list[str], k: int, vec: str = "v") -> DataFrame:
     """One row of cluster_evaluation for each method, with its time in seconds."""
     import time
-    from functools import reduce
 
     rows = []
     for m in methods:

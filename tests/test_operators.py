@@ -226,6 +226,14 @@ def test_near_duplicates_and_greedy(spark):
     assert vectors.near_pairs(df, "id", threshold=0.99).count() == 3
 
 
+def test_greedy_follows_long_chains(spark):
+    n = 120  # two keys are settled a round
+    ids = spark.range(n).withColumnRenamed("id", "k")
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert sorted(r.k for r in vectors.greedy_kept(ids, pairs, "k").collect()) == list(range(0, n, 2))
+    assert vectors.greedy_kept(ids, pairs.limit(0), "k").count() == n
+
+
 def test_validators(spark):
     df = spark.createDataFrame([(f"text {i}", 0.9, i % 10) for i in range(100)], "text string, quality_score double, cluster_id int")
     checks = validators.sampling_checks(df, 12)
