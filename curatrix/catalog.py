@@ -455,6 +455,11 @@ def tfidf_sql(spark, d):
     return vectors.tfidf(t(spark, d, "documents"), "doc_id", max_features=500).withColumn("weight", F.round("weight", 6))
 
 
+@query(ORACLES["tfidf_sql"].replace("LIMIT 500)", "LIMIT 5000)"))
+def tfidf(spark, d):
+    return vectors.tfidf(t(spark, d, "documents"), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def label_issues(spark, d):
     x = logits_table(spark, d).select("vec_id", (F.col("label") % 3).alias("label"), L.softmax(F.col("z")).alias("probs"))

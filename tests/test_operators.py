@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from curatrix import catalog
 from curatrix.operators import audit, frequency, relational, sampling, stats, validators, vectors
 from curatrix.plans import pipelines
 from curatrix.streaming import rows as streaming
@@ -260,6 +261,16 @@ def test_stream_of_rows(spark, tmp_path):
     assert [r.text for r in spark.sql("SELECT * FROM curated").collect()] == ["定期寿险 好吗？"]
 
 
+def test_tfidf_query_has_the_whole_vocabulary(spark, tmp_path):
+    # 5,100 terms in two documents each of three: 5,000 are taken
+    words = [f"w{i:04d}" for i in range(5100)]
+    docs = [(0, " ".join(words)), (1, " ".join(words[:2550])), (2, " ".join(words[2550:]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.QUERIES["tfidf"](spark, str(tmp_path)).collect()
+    assert {r.term for r in out} == set(words[:5000])
+    assert {r.weight for r in out if r.doc_id == 1} == {round(2550**-0.5, 6)} and {r.weight for r in out if r.doc_id == 0} == {round(5000**-0.5, 6)}
+
+
 def test_tfidf_classifier(spark):
     df = spark.createDataFrame([("good film", 1.0), ("bad film", 0.0)] * 10, "text string, label double")
     m = vectors.text_classifier(df)
