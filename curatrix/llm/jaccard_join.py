@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import GOLD, id_array, splitmix  # noqa: F401
+from curatrix.llm.common import GOLD, id_array, materialize, splitmix  # noqa: F401
 from curatrix.llm.setlinks import Rule, linked
 
 #: Cost of comparing a candidate, in posted keys.
@@ -110,6 +110,27 @@ def linked_documents(docs: DataFrame, k: int = 4, num: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 4, num: int = 85) -> DataFrame:
-    """docs with only the document of the smallest doc_id of each component."""
-    links = linked_documents(docs, k, num).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(links, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """docs with one row of each component: the smallest doc_id, null last.
+
+    Rows are told apart by doc_id and text here, so that rows without an id, or of
+    the same id, are linked like others. Texts without words are one document for
+    each id; without an id only equal rows are.
+    """
+    ident = docs.columns[0]
+    while {ident, f"{ident}tag"} & set(docs.columns):
+        ident += "_"
+    tag = f"{ident}tag"
+    rows = docs.withColumn(ident, F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    rows = rows.withColumn(tag, F.xxhash64(ident, *[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    table, comps = join(rows.select(F.col(ident).alias("doc_id"), "text"), k, num)
+    table = table.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select(F.col("doc_id").alias("i_row"), F.coalesce("comp", "sid").alias("comp")).distinct()
+    all_ = rows.select(F.col(ident).alias("row"), F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("id")).distinct()
+    # Rows without a set: the component is the id, or the row itself.
+    alone = F.col("comp").isNull()
+    named = all_.join(table, F.col("row") == F.col("i_row"), "left").select("tag", "id", alone.alias("alone"), F.coalesce("comp", "id", "tag").alias("comp"), (alone & F.col("id").isNull()).alias("bare"))
+    named = materialize(named)
+    # Partial sums first; the join back splits a component that many rows have.
+    first = named.groupBy("comp", "alone", "bare").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("kept"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    gone = named.join(first, ["comp", "alone", "bare"]).filter(F.col("tag") != F.col("kept.tag")).select(F.col("tag").alias(tag))
+    # Equal rows become one within a task before they are dealt out.
+    return rows.dropDuplicates([tag]).join(gone, tag, "left_anti").select(*docs.columns)

@@ -22,6 +22,18 @@ def test_empty_input(spark, sf):
         assert stage(spark, docs, sf).count() == 0
 
 
+def test_near_copies_leave_one_row(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, other, near = " ".join(words), " ".join(words[::-1]), " ".join(words + ["x"])
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, near, "a"), (None, text, "a"), (None, near, "a"), (None, other, "a"), (None, other, "a"), (3, "alone here", "a"), (None, None, "a"), (None, "", "a"), (4, None, "a"), (4, None, "b"), (1, "quite another text of the same id", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(1, text), (1, rows[-1][1]), (None, other), (3, "alone here"), (None, None), (None, ""), (4, None)]
+    assert kept == sorted(want, key=str)
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
