@@ -429,6 +429,11 @@ def silhouette(spark, d):
     return vectors.silhouette(vecs(spark, d), "vec_id", sample=300).select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@query(ORACLES["silhouette"].replace("LIMIT 300)", "LIMIT 1000)"))
+def silhouette_1000(spark, d):
+    return vectors.silhouette(vecs(spark, d), "vec_id").select(F.round("silhouette", 6).alias("silhouette"))
+
+
 @query(f"WITH {_VEC.replace('SELECT vec_id, label AS cluster', 'SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS cluster').replace('FROM v, range(1, 65) r(i) GROUP BY cluster, i', 'FROM v, range(1, 65) r(i) WHERE cluster != -1 GROUP BY cluster, i')}, n AS (SELECT vec_id, arg_min(c.cluster, {_DIST}) AS cluster FROM v, c WHERE v.cluster = -1 GROUP BY vec_id) SELECT vec_id, coalesce(n.cluster, v.cluster)::INT AS cluster FROM v LEFT JOIN n USING (vec_id)")
 def noise_reassign(spark, d):
     x = vecs(spark, d).withColumn("cluster", F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("cluster")))

@@ -261,6 +261,21 @@ def test_stream_of_rows(spark, tmp_path):
     assert [r.text for r in spark.sql("SELECT * FROM curated").collect()] == ["定期寿险 好吗？"]
 
 
+def test_silhouette_query_takes_a_thousand_rows(spark, tmp_path):
+    x = np.random.default_rng(4).normal(0, 1, (600, 64))
+    c = np.arange(600) % 3
+    x += c[:, None] * 0.2
+    rows = [(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(c, x))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    mean = np.stack([d[:, c == k].sum(1) / ((c == k).sum() - (c == k)) for k in range(3)], 1)
+    a = mean[np.arange(600), c]
+    mean[np.arange(600), c] = np.inf
+    b = mean.min(1)
+    got = catalog.QUERIES["silhouette_1000"](spark, str(tmp_path)).collect()[0].silhouette
+    assert got == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=2e-6)
+
+
 def test_tfidf_query_has_the_whole_vocabulary(spark, tmp_path):
     # 5,100 terms in two documents each of three: 5,000 are taken
     words = [f"w{i:04d}" for i in range(5100)]
