@@ -67,8 +67,7 @@ def U(key: str, seed: int = 42) -> str:
 
 
 def cleaned(spark, d):
-    x = docs(spark, d).select("original_index", X.clean_text(F.col("text")).alias("text"))
-    return x.filter(X.acceptable(F.col("text"), 3, LONGEST))
+    return docs(spark, d).select("original_index", F.explode(X.cleaned(F.col("text"), 3, LONGEST)).alias("text"))
 
 
 def quality():

@@ -34,9 +34,13 @@ def column_like(columns: list[str], *parts: str) -> str:
     raise ValueError(f"no column like {parts} among {columns}")
 
 
+# The same characters, one by one.
+WS_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_text(x: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(x, WS, " "))
+    """Runs of white space (WS) become one space; none at the ends."""
+    return F.trim(F.regexp_replace(F.translate(x, WS_CHARS, " " * len(WS_CHARS)), " {2,}", " "))
 
 
 def normal_key(x: Column) -> Column:
@@ -44,6 +48,11 @@ def normal_key(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), WS, ""))
 
 
+def _once(x: Column, test) -> Column:
+    """test(x), with x bound once: a filter that is pushed below the projection of x would repeat it for every use."""
+    return F.exists(F.array(x), test)
+
+
 def contains_any(x: Column, words) -> Column:
     out = F.lit(False)
     for w in words:
@@ -57,24 +66,29 @@ def valid_length(x: Column, least: int = 3, most: int = 500) -> Column:
 
 def valid_format(x: Column) -> Column:
     """Some letter, digit or underscore of any script; no control and no replacement character."""
-    return x.rlike(r"[\p{L}\p{N}_]") & ~x.rlike(r"[\x00-\x1f]") & ~x.rlike(r"\x{FFFD}")
+    return x.rlike(r"[\p{L}\p{N}_]") & ~x.rlike(r"[\x00-\x1f\x{FFFD}]")
 
 
 def is_spam(x: Column, words=SPAM, compat: bool = True) -> Column:
     """Lower-cased text contains a keyword. compat keeps keywords as they are, so those with capitals never match."""
-    return contains_any(F.lower(x), words if compat else [w.lower() for w in words])
+    return _once(F.lower(x), lambda low: contains_any(low, words if compat else [w.lower() for w in words]))
 
 
 def acceptable(x: Column, least: int = 3, most: int = 500, words=SPAM, compat: bool = True) -> Column:
     """All tests of a cleaned text, cheapest first; null is not acceptable."""
-    return x.isNotNull() & valid_length(x, least, most) & valid_format(x) & ~is_spam(x, words, compat)
+    return _once(x, lambda y: y.isNotNull() & valid_length(y, least, most) & valid_format(y) & ~is_spam(y, words, compat))
+
+
+def cleaned(x: Column, least: int = 3, most: int = 500, words=SPAM, compat: bool = True) -> Column:
+    """The cleaned text in an array, empty if it is not acceptable: exploded, it cleans and filters rows in one pass over the text."""
+    return F.filter(F.array(clean_text(x)), lambda y: acceptable(y, least, most, words, compat))
 
 
 def density_score(x: Column, script: str = r"[\x{4e00}-\x{9fff}]") -> Column:
     """Mean of a length score (full from 10 to 200) and the share of characters of the script."""
     n = F.length(x)
     size = F.when(n < 10, n / 10.0).when(n <= 200, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (n - 200) / 300.0))
-    share = (n - F.length(F.regexp_replace(x, script, ""))) / F.greatest(n, F.lit(1))
+    share = (n - F.length(F.regexp_replace(x, f"(?:{script})+", ""))) / F.greatest(n, F.lit(1))
     return (size + share) / 2.0
 
 

@@ -14,8 +14,7 @@ from curatrix.operators.vectors import cut, fit_predict, hashed_ngrams
 
 def cleaned(df: DataFrame, text: str, index: str = "original_index", **rules) -> DataFrame:
     """(original_index, text): cleaned texts that pass all tests."""
-    t = df.select(F.col(index).alias("original_index"), X.clean_text(F.col(text)).alias("text"))
-    return t.filter(X.acceptable(F.col("text"), **rules))
+    return df.select(F.col(index).alias("original_index"), F.explode(X.cleaned(F.col(text), **rules)).alias("text"))
 
 
 def scored(df: DataFrame, words=X.DOMAIN, script: str = r"[\x{4e00}-\x{9fff}]") -> DataFrame:

@@ -10,7 +10,7 @@ from curatrix.functions import text as X
 
 def curated(stream: DataFrame, text: str = "text", **rules) -> DataFrame:
     """Cleaned, accepted and scored rows of a stream (or of a table)."""
-    t = stream.withColumn(text, X.clean_text(F.col(text))).filter(X.acceptable(F.col(text), **rules))
+    t = stream.withColumn(text, F.explode(X.cleaned(F.col(text), **rules)))
     return t.withColumn("quality_score", X.quality_score(F.col(text)))
 
 
