@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize, small_batches
+from curatrix.llm.common import materialize, sliced
 
 #: Rows of the k-means sample, of a block of a list, and queries in the recall sample.
 SAMPLE, BLOCK, TUNE = 20_000, 4_096, 64
@@ -121,7 +121,6 @@ def _matrix(blobs) -> np.ndarray:
 def neighbours(df: DataFrame, is_query, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every query row (is_query: a condition on vec_id)."""
     spark = df.sparkSession
-    small_batches(spark, 2000)
     vectors = usable(df, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).collect()[0]
@@ -136,7 +135,7 @@ def neighbours(df: DataFrame, is_query, k: int = 20, recall: float = 0.97, id_co
     def assign(n_of_query: int, queries: bool):
         def run(batches):
             ix = share.value
-            for b in batches:
+            for b in sliced(batches, 2000):
                 if not b.num_rows:
                     continue
                 ids = b.column("vec_id").to_numpy(zero_copy_only=False)
@@ -189,7 +188,7 @@ def _tuned(spark, vectors: DataFrame, tune: pa.Table, index: Index, rows: DataFr
 
     def brute(batches):
         ids, vs = bundle.value
-        for b in batches:
+        for b in sliced(batches, 2000):
             if not b.num_rows:
                 continue
             ci, cl = b.column("vec_id").to_numpy(), b.column("list").to_numpy()

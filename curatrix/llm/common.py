@@ -8,6 +8,8 @@ each task works on whole blocks with numpy.
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -30,16 +32,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows, so that very long texts do not add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices of at most `rows` rows, so that very long texts do not add up in the worker's arrays."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder of the session."""
+    """A new folder under the shared checkpoint folder of the session; a folder of this machine only where all of Spark is in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/curatrix/{uuid.uuid4().hex}"
 
 
@@ -48,7 +54,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more: all that came from them has been written itself."""
+    for t in tables:
+        path = getattr(t, "scratch_path", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def trim() -> None:
@@ -136,17 +154,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts laid end to end, A-Z lower-cased.
-
-    Returns (hash of each word, number of words of each text). A word is a run of
-    bytes other than space and 0x09-0x0D; texts do not share words.
-    """
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the words of texts laid end to end: runs of bytes other than space and 0x09-0x0D; texts do not share words."""
     n = len(raw)
-    counts = np.zeros(max(0, len(offsets) - 1), dtype=np.int64)
     if not n:
-        return np.zeros(0, np.uint64), counts
-    low = _LOWER[raw]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -154,22 +166,30 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     edges = edges[edges < n]
     begins[edges] = solid[edges]
     starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    ends = solid.copy()
+    ends = solid
     ends[:-1] &= begins[1:] | ~solid[1:]
-    lens = np.flatnonzero(ends) + 1 - starts
+    return starts, np.flatnonzero(ends) + 1 - starts
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, spans=None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts laid end to end, A-Z lower-cased.
+
+    Returns (hash of each word, number of words of each text); spans: word_spans, if known.
+    """
+    starts, lens = word_spans(raw, offsets) if spans is None else spans
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(max(0, len(offsets) - 1), np.int64)
     h = np.empty(len(starts), np.uint64)
     # Some words at a time, as every byte takes 8 here.
     for lo in range(0, len(starts), 1 << 16):
         part, size = starts[lo : lo + (1 << 16)], lens[lo : lo + (1 << 16)]
         begin, end = part[0], part[-1] + size[-1]
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        values = low[begin:end][solid[begin:end]].astype(np.uint64) + np.uint64(1)
+        own = raw[begin:end]
+        values = _LOWER[own[~_SPACE[own]]].astype(np.uint64) + np.uint64(1)
         values *= powers(int(size.max()))[np.arange(len(values)) - np.repeat(first, size)]
         h[lo : lo + (1 << 16)] = splitmix(np.add.reduceat(values, first) + size.astype(np.uint64) * GOLD)
-    counts = np.diff(np.searchsorted(starts, offsets)).astype(np.int64)
-    return h, counts
+    return h, np.diff(np.searchsorted(starts, offsets)).astype(np.int64)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize
+from curatrix.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         if state is None:
             if not parent.take(1):
                 return parent.select(F.col("u").alias("node"), F.col("p").alias("comp"))
-            state = parent.select(F.col("u").alias("node"), F.col("p").alias("comp"))
+            state = parent.select(F.col("u").alias("node"), F.col("p").alias("comp"))  # the table of the first round stays for it
         else:
-            state = materialize(state.join(parent, F.col("comp") == F.col("u"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
+            old, state = state, materialize(state.join(parent, F.col("comp") == F.col("u"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
+            discard(old)
         pu, pv = parent.select("u", F.col("p").alias("pu")), parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = edges.join(pu, "u").join(pv, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
-        edges = materialize(edges.filter(F.col("u") != F.col("v")).distinct())
+        joined = edges.join(pu, "u").join(pv, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+        old, edges = edges, materialize(joined.filter(F.col("u") != F.col("v")).distinct())
+        discard(old)
         if not edges.take(1):
             return state

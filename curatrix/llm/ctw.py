@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize, pack, small_batches, splitmix, trim, unpack, word_hashes
+from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize, pack, sliced, splitmix, trim, unpack, word_hashes
 
 DEPTH = 5
 #: Bytes of text in a block.
@@ -204,7 +204,6 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(spark, 1000)
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = int(max(12, size // 16_000_000))
 
@@ -241,7 +240,7 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int8(), pa.int32(), pa.binary()))], names=["name", "kind", "bucket", "block"])
 
-        for b in batches:
+        for b in sliced(batches):
             if b.num_rows:
                 held.append(as_text_arrays(b))
                 n += len(held[-1][2])

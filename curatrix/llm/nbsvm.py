@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import GOLD, crc_mod, lbfgs, pack, small_batches, unpack
+from curatrix.llm.common import GOLD, crc_mod, lbfgs, pack, sliced, unpack
 
 BITS = 20
 LENGTHS = (4, 5, 6)
@@ -150,12 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: in
     """Fit on at most max_each labelled rows of either label of the training fold; the intercept follows the odds of all of its labels."""
 
     def blocks(batches):
-        for batch in batches:
+        for batch in sliced(batches, 100):
             ys = batch.column("y").to_pylist()
             got = list(document_slots(batch.column("text")))
             yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([pack(np.diff(np.sort(g).astype(np.uint32), prepend=np.uint32(0))) for g in got], pa.binary())})
 
-    small_batches(docs.sparkSession, 100)
     sample, odds = training_rows(docs, labels, label, max_each)
     got = sample.mapInArrow(blocks, "y int, slots binary").toArrow()
     rows = [(y, np.cumsum(np.frombuffer(unpack(s.as_py())[0], np.uint32), dtype=np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
@@ -176,12 +175,11 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def scored(batches):
         weights, useful, bias = bundle.value
-        for batch in batches:
+        for batch in sliced(batches, 200):
             z = np.array([weights[s].sum(dtype=np.float64) for s in document_slots(batch.column("text"), useful)], dtype=np.float64) + bias
             s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
 
-    small_batches(docs.sparkSession, 200)
     return docs.mapInArrow(scored, schema)
 
 

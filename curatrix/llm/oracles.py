@@ -54,12 +54,22 @@ comp AS (SELECT word.id, least(word.id, min(other)) AS comp, coalesce(any_value(
 
 ORACLES["op10_jaccard_join"] = "WITH RECURSIVE " + _components(4, 85, "SELECT doc_id AS id, text FROM documents") + "SELECT id AS doc_id, n AS n_shingles, comp AS component_id FROM comp"
 
-#: Exact pairs of all paragraphs; the banding finds a pair at the threshold with a chance of 0.9995.
+#: Exact pairs of all lines, which the banding finds at the threshold with a chance of 0.9995; and passages of 20 words from anchors.
 ORACLES["op9_paragraph_minhash"] = (
     "WITH RECURSIVE paragraph AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL),"
     + _components(5, 80, f"SELECT doc_id * 100000 + p AS id, text FROM paragraph WHERE len({_WORDS.format(x='text')}) >= 20")
-    + """SELECT comp.id // 100000 AS doc_id, comp.id % 100000 AS paragraph, len(w) AS n_words, comp // 100000 AS kept_doc_id, comp % 100000 AS kept_paragraph, comp.id != comp AS removed
- FROM comp JOIN word USING (id) WHERE comp IN (SELECT comp FROM comp GROUP BY comp HAVING count(*) > 1)"""
+    + f""",
+pdoc AS (SELECT doc_id, {_WORDS.format(x="text")} AS w FROM documents WHERE text IS NOT NULL),
+pword AS (SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS i, md5(unnest(w)) AS h FROM pdoc),
+near AS (SELECT *, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS b FROM pword),
+anchor AS (SELECT doc_id, i FROM near WHERE i + 20 <= n AND (i = 0 OR i + 20 = n OR ((a IS NULL OR h < a) AND (b IS NULL OR h <= b)))),
+passage AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 20], ' ')) AS k FROM anchor JOIN pdoc USING (doc_id)),
+kept AS (SELECT k, min(doc_id * 100000 + i) AS f FROM passage GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+shared AS (SELECT doc_id, i, f, doc_id != f // 100000 AS removed FROM passage JOIN kept USING (k)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, removed ORDER BY i) AS g FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, removed ORDER BY i) + 20 THEN 0 ELSE 1 END AS new FROM shared))
+SELECT 'line' AS kind, comp.id // 100000 AS doc_id, comp.id % 100000 AS place, len(w) AS n_words, comp // 100000 AS kept_doc_id, comp % 100000 AS kept_place, comp.id != comp AS removed
+ FROM comp JOIN word USING (id) WHERE comp IN (SELECT comp FROM comp GROUP BY comp HAVING count(*) > 1)
+UNION ALL SELECT 'passage', doc_id, min(i), max(i) + 20 - min(i), arg_min(f, i) // 100000, arg_min(f, i) % 100000, removed FROM run GROUP BY doc_id, removed, g"""
 )
 
 ORACLES["op4_suffix_bpr_dedup"] = """

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import as_text_arrays, lbfgs, small_batches
+from curatrix.llm.common import as_text_arrays, lbfgs, sliced
 from curatrix.llm.nbsvm import ngram_slots
 
 BITS = 16
@@ -130,11 +130,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_each: int =
         picked = picked.unionAll(kind)
 
     def blocks(batches):
-        for b in batches:
+        for b in sliced(batches, 100):
             sparse, dense = features(as_text_arrays(b))
             yield pa.RecordBatch.from_pydict({"grade": b.column("grade").cast(pa.int32()), "doc_id": b.column("doc_id"), "s": pa.array([s.astype(np.uint16).tobytes() for s, _ in sparse], pa.binary()), "v": pa.array([v.astype(np.float32).tobytes() for _, v in sparse], pa.binary()), "d": pa.array([d.tobytes() for d in dense], pa.binary())})
 
-    small_batches(docs.sparkSession, 100)
     # grades * max_each bounds the ratings' side.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     got = sample.mapInArrow(blocks, "grade int, doc_id long, s binary, v binary, d binary").toArrow()
@@ -156,13 +155,12 @@ def rate(docs: DataFrame, model: Model, keep_grade: int = 1, keep_least: float =
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def rated(batches):
-        for b in batches:
+        for b in sliced(batches, 200):
             p = tails(share.value, *features(as_text_arrays(b)))
             p = p.reshape(b.num_rows, -1)
             more = [pa.array(p.sum(1)), *(pa.array(np.ascontiguousarray(p[:, g])) for g in range(p.shape[1])), pa.array(p[:, keep_grade - 1] >= keep_least)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
-    small_batches(docs.sparkSession, 200)
     return docs.mapInArrow(rated, schema)
 
 

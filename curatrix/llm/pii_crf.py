@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curatrix.llm.common import NULL_ID, id_array, lbfgs, small_batches
+from curatrix.llm.common import NULL_ID, id_array, lbfgs, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the field finds.
@@ -417,7 +417,7 @@ def personal_data(docs: DataFrame, table=None) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(train(table))
 
     def found(batches):
-        for batch in batches:
+        for batch in sliced(batches, 500):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base, added = find_spans(texts, field.value)
             flat = [[(k, a, b) for k in KINDS for a, b in own[k]] for own in base]
@@ -427,7 +427,6 @@ def personal_data(docs: DataFrame, table=None) -> DataFrame:
             cols["spans"] = pa.array([as_string(f + more) for f, more in zip(flat, added)], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
-    small_batches(docs.sparkSession, 500)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.select("doc_id", "text").mapInArrow(found, schema)
 
@@ -438,7 +437,7 @@ def redact(docs: DataFrame, table=None) -> DataFrame:
     names = docs.columns
 
     def redacted(batches):
-        for batch in batches:
+        for batch in sliced(batches, 500):
             texts = batch.column("text").to_pylist()
             base, added = find_spans([t or "" for t in texts], field.value)
             new = []
@@ -460,5 +459,4 @@ def redact(docs: DataFrame, table=None) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) if t is not None and t is not s and t != s else o for t, s, o in zip(new, texts, old)], kind)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], schema=batch.schema)
 
-    small_batches(docs.sparkSession, 500)
     return docs.mapInArrow(redacted, docs.schema)

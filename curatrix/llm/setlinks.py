@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import GOLD, NULL_ID, as_text_arrays, materialize, pack, shingles, small_batches, splitmix, unpack, word_hashes
+from curatrix.llm.common import GOLD, NULL_ID, as_text_arrays, discard, materialize, pack, shingles, sliced, splitmix, unpack, word_hashes
 from curatrix.llm.components import components
 
 CELLS = 128
@@ -112,14 +112,20 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
     """Table (doc_id, para, sid, n, words, cells, fine) of the items; frequent shingles as (hash, count) rows in order, if asked for.
 
     Frequent shingles only steer the order in which a set lists its members; any
-    order gives the same links. So they are gathered from shingles that stand out
-    within an Arrow batch, and at most 100,000 are kept.
+    order gives the same links. So they are gathered from shingles that occur
+    twice within a slice of texts and six times in a task, equal sets once, and at
+    most 100,000 are kept.
     """
-    small_batches(docs.sparkSession, 1000)
+
+    def table_of(rows):
+        kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["kind", "doc_id", "para", "sid", "n", "words", "cells", "fine"])
 
     def run(batches):
-        for b in batches:
-            rows, pool, seen = [], [], set()
+        seen: set[int] = set()
+        counts = np.zeros((0, 2), np.uint64)
+        for b in sliced(batches):
+            rows, pool = [], []
             for doc, para, words, sid, s, _ in item_sets(b, rule):
                 rows.append((0, doc, para, sid, len(s), words, sketch(s), pack(sketch(s, rule.cells), level=1) if rule.cells > CELLS else b""))
                 if frequent and sid not in seen:
@@ -127,12 +133,16 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
                     pool.append(s)
             if pool:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
-                for at in np.flatnonzero(c >= max(6, len(pool) // 200)).tolist():
-                    rows.append((1, NULL_ID, 0, int(h[at].view(I64)), int(c[at]), 0, b"", b""))
+                counts = np.concatenate([counts, np.stack([h[c > 1], c[c > 1].astype(np.uint64)], 1)])
+                if len(counts) > 1 << 20:
+                    counts = summed(counts)
+                    counts = counts[counts[:, 1] > np.uint64(3)]
             if rows:
-                cols = list(zip(*rows))
-                kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "doc_id", "para", "sid", "n", "words", "cells", "fine"])
+                yield table_of(rows)
+        counts = summed(counts)
+        counts = counts[counts[:, 1] >= np.uint64(6)]
+        if len(counts):
+            yield table_of([(1, NULL_ID, 0, h, c, 0, b"", b"") for h, c in zip(counts[:, 0].view(I64).tolist(), counts[:, 1].tolist())])
 
     out = materialize(docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc_id long, para int, sid long, n int, words int, cells binary, fine binary"))
     table = out.filter("kind = 0").drop("kind")
@@ -145,10 +155,15 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
     return table, often
 
 
+def summed(counts: np.ndarray) -> np.ndarray:
+    """(key, count) rows with the counts of a key added up."""
+    h, inv = np.unique(counts[:, 0], return_inverse=True)
+    return np.stack([h, np.bincount(inv, weights=counts[:, 1], minlength=len(h)).astype(np.uint64)], 1)
+
+
 def postings(docs: DataFrame, rule: Rule, context, buckets: int) -> DataFrame:
     """(bucket, block) rows of candidate keys; equal sets of a task post once."""
     share = docs.sparkSession.sparkContext.broadcast(context)
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         seen: set[int] = set()
@@ -171,7 +186,7 @@ def postings(docs: DataFrame, rule: Rule, context, buckets: int) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
-        for b in batches:
+        for b in sliced(batches):
             fresh = {sid: s for _, _, _, sid, s, _ in item_sets(b, rule) if sid not in seen}
             seen.update(fresh)
             for (sid, s), keys in zip(fresh.items(), rule.keys(list(fresh.values()), share.value)):
@@ -252,10 +267,10 @@ def sketched(pairs: DataFrame, nodes: DataFrame, num: int, column: str = "cells"
     return pairs.select("a", "b", "na", "nb", "key", "ca", "cb").mapInArrow(run, "a long, b long, key long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule, blocks: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, key) whose sets are similar, compared in full."""
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, rule: Rule, blocks: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, key) whose sets are similar, compared in full; texts: see stored."""
     num = rule.num
-    pairs = materialize(sketched(pairs, nodes, num, "fine")) if rule.cells > CELLS else pairs
+    rough = pairs = materialize(sketched(pairs, nodes, num, "fine")) if rule.cells > CELLS else pairs
     # Pairs with a common key go to one block, so that a set is sent to few blocks; keys with many pairs to a grid of blocks.
     per = pairs.groupBy("key").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(20_000.0))).alias("grid"))
     pairs = pairs.join(per, "key")
@@ -263,7 +278,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule, bl
     pairs = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("key", cell("a"), cell("b")), F.lit(blocks)).cast("int").alias("block")))
     wanted = pairs.select(F.col("a").alias("sid"), "block").unionByName(pairs.select(F.col("b").alias("sid"), "block")).distinct()
     wanted = materialize(wanted.join(nodes.select("sid", "doc_id", "para"), "sid"))
-    return _verified(pairs, wanted, docs, rule, blocks, num)
+    out = materialize(_verified(pairs, wanted, texts, rule, blocks, num))
+    discard(rough, pairs, wanted)
+    return out
 
 
 def _cell(x: np.ndarray) -> np.ndarray:
@@ -274,9 +291,13 @@ def bit_table(df: DataFrame, column: str):
     """A broadcast table of 2**NEED_BITS bits with those of the column's values set, whatever their number: it only spares rows that nobody asks for."""
 
     def cells(batches):
+        # One table for the whole task; the words of it that hold a bit go out once.
+        own = np.zeros(1 << (NEED_BITS - 6), np.uint64)
         for t in batches:
-            c = np.unique(_cell(t.column(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(c >> 6), "bit": pa.array(np.left_shift(np.uint64(1), (c & 63).astype(np.uint64)).view(I64))})
+            c = _cell(t.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(own, c >> 6, np.left_shift(np.uint64(1), (c & 63).astype(np.uint64)))
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(at), "bit": pa.array(own[at].view(I64))})
 
     got = df.select(column).mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(1 << (NEED_BITS - 6), np.uint64)
@@ -306,13 +327,12 @@ def concerned(table: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(least.select("sid", *[f"x.{c}" for c in names[1:]]))
 
 
-def _verified(pairs, wanted, docs, rule, blocks, num):
-    spark = docs.sparkSession
-
-    needed = bit_table(wanted, "doc_id")
+def stored(docs: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
+    """(home, texts): the texts of the documents that hold a node, written once, in blocks dealt by doc_id."""
+    needed = bit_table(nodes, "doc_id")
 
     def to_send(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, off, raw = as_text_arrays(b)
             hit = np.flatnonzero(has_bit(needed.value, ids))
             if not len(hit):
@@ -324,13 +344,15 @@ def _verified(pairs, wanted, docs, rule, blocks, num):
                 rows.append((k, pack(ids[own], (off[own + 1] - off[own]), b"".join(raw[off[i] : off[i + 1]].tobytes() for i in own))))
             yield pa.RecordBatch.from_pydict({"home": pa.array([r[0] for r in rows], pa.int32()), "texts": pa.array([r[1] for r in rows], pa.binary())})
 
+    return materialize(docs.select("doc_id", "text").mapInArrow(to_send, "home int, texts binary"))
+
+
+def _verified(pairs, wanted, texts, rule, blocks, num):
     def homes(batches):
         for t in batches:
             ids = t.column("doc_id").to_numpy(zero_copy_only=False)
             yield t.append_column("home", pa.array((splitmix(ids.astype(I64).view(np.uint64) + GOLD) % np.uint64(blocks)).astype(np.int32)))
 
-    small_batches(spark, 1000)
-    texts = docs.select("doc_id", "text").mapInArrow(to_send, "home int, texts binary")
     asked = wanted.select("sid", "block", "doc_id", "para").mapInArrow(homes, "sid long, block int, doc_id long, para int, home int")
 
     def fetch(key, t: pa.Table, q: pa.Table) -> pa.Table:
@@ -451,7 +473,8 @@ def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[Dat
     found = materialize(candidates(postings(docs, rule, context, buckets), rule.num))
     nodes = concerned(table, found)
     pairs = found.filter("list = 0").groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("na", "nb", "key")))
-    edges = materialize(verified(sketched(pairs, nodes, rule.num), docs, nodes, rule, blocks))
+    texts = stored(docs, nodes, blocks)
+    edges = verified(sketched(pairs, nodes, rule.num), texts, nodes, rule, blocks)
     comps = components(edges)
     lists = found.filter("list <> 0").select("list", F.col("a").alias("sid"), F.col("na").alias("n"))
     # Join components by each node's nearest partner first; then compare whatever is left between components.
@@ -459,8 +482,10 @@ def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[Dat
         more = materialize(across(lists, nodes, comps, rule.num, best))
         if not more.take(1):
             break
-        fresh = materialize(verified(more, docs, nodes, rule, blocks))
+        fresh = verified(more, texts, nodes, rule, blocks)
+        discard(more)
         if fresh.take(1):
             edges = edges.unionByName(fresh)
             comps = components(edges)
+    discard(found, nodes, texts)
     return table, comps

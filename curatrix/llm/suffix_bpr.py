@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import GOLD, as_text_arrays, id_array, pack, ranges, small_batches, splitmix, unpack
+from curatrix.llm.common import GOLD, as_text_arrays, id_array, pack, ranges, sliced, splitmix, unpack
 
 #: Bytes of a minimizer. Short q-grams make longer pieces, so fewer and smaller.
 Q = 12
@@ -202,7 +202,6 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
         raise ValueError("length must be at least q + 8")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(spark, 2000)
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = int(max(12, total // SORT_BYTES))
     homes = int(max(12, total // TEXT_BYTES))
@@ -221,7 +220,7 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
         # Arrow batches are put together up to about 16 MB of text, for longer blocks.
         held: list = []
         size = 0
-        for b in batches:
+        for b in sliced(batches):
             held.append(as_text_arrays(b))
             size += len(held[-1][2])
             if size >= (16 << 20):
@@ -374,7 +373,7 @@ def rebuilt(docs: DataFrame, length: int, q: int, with_bytes: bool) -> DataFrame
         return [(home_of(ids[p], keys[p]), ids[p], keys[p], rel[p] + offset, stop - first + 1)]
 
     def to_home(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, off, raw = as_text_arrays(b)
             keys = text_key(ids, raw, off)
             home = home_of(ids, keys)
