@@ -151,7 +151,7 @@ def runs_of(row: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray,
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (place[1:] > place[:-1] + width)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
+    last = np.append(first[1:], len(row))[: len(first)] - 1
     return first, place[last] + width - place[first]
 
 
