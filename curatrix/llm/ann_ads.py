@@ -4,43 +4,50 @@ Largest inner product is turned into smallest distance by one more coordinate,
 sqrt(M**2 - |x|**2) for rows and 0 for queries (M: the largest norm). Vectors are
 rotated by a random orthogonal matrix, so that the first d of D coordinates hold
 about d / D of a squared distance. Rows are dealt to the lists of a k-means
-quantizer fitted on a bounded sample; a query probes the lists of its nearest
-centroids. Inside a list, candidates are scanned in column blocks: after each
-block, a candidate is abandoned if its partial distance, scaled to all D
-coordinates, exceeds the distance of the query's present K-th best by more than
-the margin (1 + eps / sqrt(d)) of a hypothesis test. Survivors get the exact
+quantizer fitted on a bounded sample; lists number about the square root of the
+rows, through a second level of centroids above FINEST. A query probes the lists
+of its nearest centroids. Inside a list, candidates are scanned in column blocks:
+after each block, a candidate is abandoned if its partial distance, scaled to all
+D coordinates, exceeds the distance of the query's present K-th best by more than
+the margin (1 + eps / sqrt(d)) of a hypothesis test. The K-th best is tightened
+after every CHUNK candidates; the nearest list is scanned first, and the K-th
+best found there goes along to the query's other lists. Survivors get the exact
 inner product of the original vectors in double precision.
 
-How many lists to probe is measured: on a bounded sample of queries the scan is
-compared with brute force over all rows, and the share of lists grows until the
-recall is at least `recall`; it may end at all lists. Long lists are split into
-blocks of bounded size, and each block of a list is a task's group of its own.
+How many lists to probe is measured: on a bounded sample of queries the result of
+the scan itself is compared with brute force over all rows, and the share of lists
+grows until the recall is at least `recall`; it may end at all lists. Long lists
+are split into blocks of bounded size, and each block of a list is a task's group
+of its own.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; ties go to the smaller id;
-repeated rows are separate candidates; with fewer candidates than K all are
-returned; an empty table gives an empty result.
+repeated rows are separate candidates and separate queries, told apart by a
+number among the rows of a vec_id, so each is a neighbour of the other; with
+fewer candidates than K all are returned; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize, sliced
+from curatrix.llm.common import GOLD, materialize, sliced, splitmix
 
 #: Rows of the k-means sample, of a block of a list, and queries in the recall sample.
 SAMPLE, BLOCK, TUNE = 20_000, 4_096, 64
-#: Columns added at each step of a scan, and eps of the test.
-COLUMNS, EPS = 16, 2.1
+#: Columns added at each step of a scan, eps of the test, and candidates between two looks at the K-th best.
+COLUMNS, EPS, CHUNK = 16, 2.1, 512
+#: Centroids that are fitted directly; more lists come from a second level.
+FINEST = 1024
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
+    """(vec_id, copy, v) of the rows that take part; copy: number among the rows of a vec_id."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     big = float(np.finfo(np.float64).max)
     df = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
@@ -48,7 +55,12 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     df = df.filter(fine)
     size = df.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
     n = size.collect()
-    return df.filter(F.size("v") == F.lit(n[0]["n"])) if n else df
+    df = df.filter(F.size("v") == F.lit(n[0]["n"])) if n else df
+    # The ids alone tell whether there are repeats; only then are rows numbered.
+    most = df.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
+    if (most or 0) < 2:
+        return df.select("vec_id", F.lit(0).alias("copy"), "v")
+    return materialize(df.select("vec_id", (F.row_number().over(W.partitionBy("vec_id").orderBy("v")) - 1).alias("copy"), "v"))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -68,147 +80,214 @@ class Index:
         self.top, d = top, sample.shape[1]
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d + 1, d + 1)))
         self.rotation = q
-        self.centroids = kmeans(self.rotate(sample, True), k, seed=seed)
+        x = self.rotate(sample, True)
+        self.centroids = kmeans(x, min(k, FINEST, max(1, len(x) // 16)), seed=seed)
+        if k > FINEST:
+            # Second level: centroids of what is left of the sample after the first, at each of the first.
+            left = x - self.centroids[self.lists(x, 1)[:, 0]]
+            fine = kmeans(left, -(-k // FINEST), seed=seed)
+            self.centroids = (self.centroids[:, None] + fine[None]).reshape(-1, x.shape[1])
+        self.blocks = np.ones(len(self.centroids), np.int64)
 
     def rotate(self, v: np.ndarray, rows: bool) -> np.ndarray:
         extra = np.sqrt(np.maximum(self.top**2 - (v * v).sum(1), 0.0)) if rows else np.zeros(len(v))
         return np.hstack([v, extra[:, None]]) @ self.rotation
 
     def lists(self, rotated: np.ndarray, n: int) -> np.ndarray:
-        d = (self.centroids**2).sum(1)[None] - 2 * rotated @ self.centroids.T
-        return d.argmin(1)[:, None] if n == 1 else np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+        """The n nearest lists of each vector, nearest first."""
+        norm, out = (self.centroids**2).sum(1)[None], []
+        step = max(1, 4_000_000 // norm.shape[1])
+        for lo in range(0, len(rotated), step):
+            d = norm - 2 * rotated[lo : lo + step] @ self.centroids.T
+            at = d.argmin(1)[:, None] if n == 1 else np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+            out.append(np.take_along_axis(at, np.take_along_axis(d, at, 1).argsort(1, kind="stable"), 1))
+        return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def scan(q_ids, q_vec, q_rot, ids, vec, rot, k: int, columns: int = COLUMNS, eps: float = EPS):
-    """(query index, id, score) of the k best of a block for each query, by adaptive dimension scan."""
+def scan(q_vec, q_rot, own, bound, ids, vec, rot, k: int, columns: int = COLUMNS, eps: float = EPS, chunk: int = CHUNK):
+    """(query index, row index, score) of the k best of a block for each query by adaptive dimension scan, and the share of column sums spared.
+
+    own: row index of the query itself, or -1; bound: squared distance of its K-th best so far, or infinity.
+    """
     n, dims = rot.shape
-    out_q, out_i, out_s = [], [], []
-    first = min(n, max(2 * k, 64))
-    for a in range(len(q_ids)):
-        # The first candidates in full; their k-th distance is the bound of the test.
-        seen = ((rot[:first] - q_rot[a]) ** 2).sum(1)
-        bound = np.partition(seen, k)[k] if first > k else np.inf  # one more: the query itself may be there
-        alive, part, d = np.arange(first, n), np.zeros(n - first), 0
-        while d < dims and len(alive):
-            e = min(dims, d + columns)
-            diff = rot[alive, d:e] - q_rot[a, d:e]
-            part += np.einsum("ij,ij->i", diff, diff)
-            d = e
-            if d < dims:
-                ok = part * (dims / d) <= bound * (1 + eps / np.sqrt(d)) ** 2
-            else:
-                ok = part <= bound * (1 + 1e-9)
-            alive, part = alive[ok], part[ok]
-        cand = np.concatenate([np.arange(first), alive])
-        cand = cand[ids[cand] != q_ids[a]]
-        s = vec[cand] @ q_vec[a]
-        if len(cand) > k:
-            # All that tie with the k-th stay, for the ids to decide.
-            keep = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9
-            cand, s = cand[keep], s[keep]
-            best = np.lexsort((ids[cand], -s))[: 2 * k]
-            cand, s = cand[best], s[best]
-        out_q.append(np.full(len(cand), a))
-        out_i.append(ids[cand])
-        out_s.append(s)
-    return (np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_i, out_s))
+    out, spared, whole = [], 0, 0
+    for a in range(len(q_vec)):
+        limit, best = bound[a], np.zeros(0)
+        rows, dist = [], []
+        lo, size = 0, max(2 * k, 64)
+        while lo < n:
+            alive = np.arange(lo, min(n, lo + size))
+            alive = alive[alive != own[a]]
+            part, d = np.zeros(len(alive)), 0
+            whole += len(alive) * dims
+            while d < dims and len(alive):
+                e = min(dims, d + columns)
+                diff = rot[alive, d:e] - q_rot[a, d:e]
+                part += np.einsum("ij,ij->i", diff, diff)
+                d = e
+                ok = part * (dims / d) <= limit * (1 + eps / np.sqrt(d)) ** 2 if d < dims else part <= limit * (1 + 1e-9)
+                if not ok.all():
+                    spared += int((~ok).sum()) * (dims - d)
+                    alive, part = alive[ok], part[ok]
+            rows.append(alive)
+            dist.append(part)
+            best = np.concatenate([best, part])
+            if len(best) >= k:
+                best = np.partition(best, k - 1)[:k]
+                limit = min(limit, float(best.max()))
+            lo, size = lo + size, chunk
+        cand, dist = np.concatenate(rows), np.concatenate(dist)
+        cand = cand[dist <= limit * (1 + 1e-9)]  # those that tie with the k-th stay, for the ids to decide
+        s = (vec[cand] * q_vec[a]).sum(1)  # row by row, so that equal vectors have equal scores
+        top = np.lexsort((ids[cand], -s))[:k]
+        out.append((np.full(len(top), a), cand[top], s[top]))
+    q, i, s = (np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))
+    return q.astype(np.int64), i.astype(np.int64), s.astype(np.float64), spared / max(1, whole)
 
 
 def _matrix(blobs) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in blobs]) if len(blobs) else np.zeros((0, 0))
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """An array column of equal lengths as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+HITS = "query_id long, query_copy int, vec_id long, copy int, score double"
+
+
 def neighbours(df: DataFrame, is_query, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every query row (is_query: a condition on vec_id)."""
     spark = df.sparkSession
     vectors = usable(df, id_col, vec_col)
-    schema = "query_id long, rank int, vec_id long, score double"
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).collect()[0]
     if not stats["n"]:
-        return spark.createDataFrame([], schema)
-    picked = vectors.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toArrow()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    picked = vectors.orderBy(F.xxhash64("vec_id", "copy", F.lit(3)), "vec_id", "copy").limit(SAMPLE).toArrow()
     sample = np.array(picked.column("v").to_pylist(), dtype=np.float64)
-    lists = int(max(1, min(1024, round(np.sqrt(stats["n"])), len(sample) // 16)))
-    index = Index(sample, float(np.sqrt(stats["m"])) or 1.0, lists)
-    share = spark.sparkContext.broadcast(index)
+    index = Index(sample, float(np.sqrt(stats["m"])) or 1.0, int(max(1, round(np.sqrt(stats["n"])))))
+    del picked, sample
+    return Search(spark, vectors, index, k).run(vectors.filter(is_query), recall)
+
+
+class Search:
+    """The rows of an index, and the two rounds of a search."""
+
+    def __init__(self, spark, vectors: DataFrame, index: Index, k: int):
+        self.spark, self.index, self.k = spark, index, k
+        plain = self.assign(vectors, 0, 1, True)
+        # One row for each list; lists number about the square root of the rows.
+        for r in plain.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+            index.blocks[r["list"]] = max(1, -(-r["n"] // BLOCK))
+        self.rows = materialize(self.assign(vectors, 0, 1, True))
+
+    def assign(self, table: DataFrame, first: int, last: int, rows: bool) -> DataFrame:
+        """(list, block, vec_id, copy, v, bound): rows go to one block of their nearest list, queries to all blocks of their nearest lists first..last-1."""
+        share = self.spark.sparkContext.broadcast(self.index)
 
-    def assign(n_of_query: int, queries: bool):
         def run(batches):
             ix = share.value
             for b in sliced(batches, 2000):
-                if not b.num_rows:
-                    continue
-                ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-                v = np.array(b.column("v").to_pylist(), dtype=np.float64)
-                at = ix.lists(ix.rotate(v, not queries), n_of_query if queries else 1)
-                who = np.repeat(np.arange(len(ids)), at.shape[1])
-                yield pa.RecordBatch.from_pydict({"list": pa.array(at.ravel().astype(np.int32)), "vec_id": pa.array(ids[who]), "v": pa.array([v[w].tobytes() for w in who], pa.binary())})
-
-        return run
-
-    rows = vectors.mapInArrow(assign(1, False), "list int, vec_id long, v binary")
-    sizes = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 1024 rows
-    blocks = {r["list"]: max(1, -(-r["n"] // BLOCK)) for r in sizes}
-    count = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(blocks.items()) for x in kv]), F.col("list"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), count).cast("int"))
-    rows = materialize(rows)
-
-    def searched(queries: DataFrame, n_lists: int) -> DataFrame:
-        probes = queries.mapInArrow(assign(n_lists, True), "list int, vec_id long, v binary")
-        probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
+                ids, copy, v = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("copy").to_numpy(zero_copy_only=False), _vectors(b.column("v"))
+                at = ix.lists(ix.rotate(v, rows), last)[:, first:]
+                who, to = np.repeat(np.arange(len(ids)), at.shape[1]), at.ravel()
+                if rows:
+                    block = (splitmix(ids.view(np.uint64) + copy.astype(np.uint64) * GOLD) % ix.blocks[to].astype(np.uint64)).astype(np.int32)
+                else:
+                    n = ix.blocks[to]
+                    block = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                    who, to = np.repeat(who, n), np.repeat(to, n)
+                bound = np.full(len(who), np.inf) if rows or "bound" not in b.schema.names else b.column("bound").fill_null(np.inf).to_numpy(zero_copy_only=False)[who]
+                yield pa.RecordBatch.from_pydict({"list": pa.array(to.astype(np.int32)), "block": pa.array(block), "vec_id": pa.array(ids[who]), "copy": pa.array(copy[who].astype(np.int32)), "v": pa.array([v[w].tobytes() for w in who], pa.binary()), "bound": pa.array(bound, pa.float64())})
+
+        return table.mapInArrow(run, "list int, block int, vec_id long, copy int, v binary, bound double")
+
+    def probe(self, queries: DataFrame, first: int, last: int) -> DataFrame:
+        """HITS of the lists first..last-1 of the queries: at most k of each block for each query."""
+        share, k = self.spark.sparkContext.broadcast(self.index), self.k
 
         def join(key, q: pa.Table, c: pa.Table) -> pa.Table:
-            ix, found = share.value, {"query_id": [], "vec_id": [], "score": []}
-            if q.num_rows and c.num_rows:
-                qi, ci = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy()
-                qv, cv = _matrix(q.column("v").to_pylist()), _matrix(c.column("v").to_pylist())
-                a, i, s = scan(qi, qv, ix.rotate(qv, False), ci, cv, ix.rotate(cv, True), k)
-                found = {"query_id": qi[a.astype(np.int64)], "vec_id": i.astype(np.int64), "score": s.astype(np.float64)}
-            return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_id": pa.array(found["vec_id"], pa.int64()), "score": pa.array(found["score"], pa.float64())})
-
-        hits = probes.groupBy("list", "block").cogroup(rows.groupBy("list", "block")).applyInArrow(join, "query_id long, vec_id long, score double")
-        # Of each block at most 2k came; those of a query are few whatever the size of the table.
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    queries = vectors.filter(is_query)
-    tune = queries.orderBy(F.xxhash64("vec_id", F.lit(4)), "vec_id").limit(TUNE).toArrow()
-    probe = _tuned(spark, vectors, tune, index, rows, k, recall, blocks)
-    return searched(queries, probe)
-
-
-def _tuned(spark, vectors: DataFrame, tune: pa.Table, index: Index, rows: DataFrame, k: int, recall: float, blocks: dict) -> int:
-    """Lists to probe: the fewest, over powers of 1.25, whose exact content holds `recall` of the true neighbours of the sample queries."""
-    total = len(index.centroids)
-    if not tune.num_rows or total == 1:
-        return total
-    qi = tune.column("vec_id").to_numpy()
-    qv = np.array(tune.column("v").to_pylist(), dtype=np.float64)
-    bundle = spark.sparkContext.broadcast((qi, qv))
-
-    def brute(batches):
-        ids, vs = bundle.value
-        for b in sliced(batches, 2000):
-            if not b.num_rows:
-                continue
-            ci, cl = b.column("vec_id").to_numpy(), b.column("list").to_numpy()
-            s = vs @ _matrix(b.column("v").to_pylist()).T
-            s[ids[:, None] == ci[None]] = -np.inf
-            n = min(k, s.shape[1])
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            who = np.repeat(np.arange(len(ids)), n)
-            yield pa.RecordBatch.from_pydict({"q": pa.array(ids[who]), "s": pa.array(s[who, at.ravel()]), "vec_id": pa.array(ci[at.ravel()]), "list": pa.array(cl[at.ravel()])})
-
-    best = rows.mapInArrow(brute, "q long, s double, vec_id long, list int")
-    order = W.partitionBy("q").orderBy(F.desc("s"), "vec_id")
-    truth = best.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= k) & (F.col("s") > float("-inf"))).select("q", "list").toPandas()
-    rot = index.rotate(qv, False)
-    dist = (index.centroids**2).sum(1)[None] - 2 * rot @ index.centroids.T
-    place = np.empty(dist.shape, np.int64)
-    np.put_along_axis(place, dist.argsort(1), np.arange(total)[None], 1)
-    who = {q: i for i, q in enumerate(qi.tolist())}
-    need = np.array([place[who[q], c] for q, c in zip(truth["q"], truth["list"])]) + 1
-    n = 1.0
-    while n < total and len(need) and (need <= int(n)).mean() < recall:
-        n = max(n + 1, n * 1.25)
-    return int(min(total, n))
+            ix = share.value
+            if not (q.num_rows and c.num_rows):
+                return pa.table({n: pa.array([], t) for n, t in zip(("query_id", "query_copy", "vec_id", "copy", "score"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()))})
+            qi, qc, ci, cc = (t.column(n).to_numpy() for t in (q, c) for n in ("vec_id", "copy"))
+            order = np.lexsort((cc, ci))  # ties then go to the smaller id, and the query's own row is found by search
+            ci, cc = ci[order], cc[order]
+            qv, cv = _matrix(q.column("v").to_pylist()), _matrix(c.column("v").to_pylist())[order]
+            own = np.full(len(qi), -1)
+            for j in range(len(qi)):
+                lo, hi = np.searchsorted(ci, qi[j]), np.searchsorted(ci, qi[j], side="right")
+                at = lo + np.searchsorted(cc[lo:hi], qc[j])
+                if at < hi and cc[at] == qc[j]:
+                    own[j] = at
+            mixed = np.random.default_rng(len(ci)).permutation(len(ci))  # ids may go with places; a scan wants any order
+            back = np.empty(len(ci), np.int64)
+            back[mixed] = np.arange(len(ci))
+            a, i, s, _ = scan(qv, ix.rotate(qv, False), np.where(own >= 0, back[own], -1), q.column("bound").to_numpy(), mixed, cv[mixed], ix.rotate(cv[mixed], True), k)
+            i = mixed[i]
+            return pa.table({"query_id": pa.array(qi[a]), "query_copy": pa.array(qc[a]), "vec_id": pa.array(ci[i]), "copy": pa.array(cc[i]), "score": pa.array(s)})
+
+        return self.assign(queries, first, last, False).groupBy("list", "block").cogroup(self.rows.groupBy("list", "block")).applyInArrow(join, HITS)
+
+    def ranked(self, hits: DataFrame) -> DataFrame:
+        order = W.partitionBy("query_id", "query_copy").orderBy(F.desc("score"), "vec_id", "copy")
+        return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k)
+
+    def search(self, queries: DataFrame, n_lists: int) -> DataFrame:
+        """Ranked hits; the nearest list first, the others with the K-th best of it as bound."""
+        near = materialize(self.ranked(self.probe(queries, 0, 1)))
+        if n_lists < 2:
+            return near
+        # Squared distances: |q|**2 + M**2 - 2 * score, where all rows have norm M.
+        kth = near.filter(F.col("rank") == self.k).select(F.col("query_id").alias("vec_id"), F.col("query_copy").alias("copy"), F.col("score").alias("kth"))
+        size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        # A little room for rounding, as the bound comes from scores and is held against distances.
+        bound = F.greatest(size + F.lit(self.index.top**2) - 2 * F.col("kth"), F.lit(0.0)) * F.lit(1 + 1e-6) + F.lit(1e-9 * self.index.top**2)
+        more = queries.join(kth, ["vec_id", "copy"], "left").select("vec_id", "copy", "v", bound.alias("bound"))
+        return self.ranked(near.drop("rank").unionByName(self.probe(more, 1, n_lists)))
+
+    def run(self, queries: DataFrame, recall: float) -> DataFrame:
+        return self.search(queries, self.tuned(queries, recall)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def tuned(self, queries: DataFrame, recall: float) -> int:
+        """Lists to probe, over powers of 1.25: enough to hold the true neighbours of the sample queries with some room, then more until a search of them finds `recall`."""
+        total, k = len(self.index.centroids), self.k
+        picked = queries.orderBy(F.xxhash64("vec_id", "copy", F.lit(4)), "vec_id", "copy").limit(TUNE).toArrow()
+        if not picked.num_rows or total == 1:
+            return total
+        qi, qc, qv = picked.column("vec_id").to_numpy(), picked.column("copy").to_numpy(), np.array(picked.column("v").to_pylist(), dtype=np.float64)
+        bundle = self.spark.sparkContext.broadcast((qi, qc, qv))
+
+        def brute(batches):
+            ids, copies, vs = bundle.value
+            for b in sliced(batches, 2000):
+                ci, cc, cl = (b.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "copy", "list"))
+                s = vs @ _matrix(b.column("v").to_pylist()).T
+                s[(ids[:, None] == ci[None]) & (copies[:, None] == cc[None])] = -np.inf
+                n = min(k, s.shape[1])
+                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                who = np.repeat(np.arange(len(ids)), n)
+                yield pa.RecordBatch.from_pydict({"q": pa.array(who), "score": pa.array(s[who, at.ravel()]), "list": pa.array(cl[at.ravel()])})
+
+        best = self.rows.mapInArrow(brute, "q long, score double, list int")
+        order = W.partitionBy("q").orderBy(F.desc("score"))
+        truth = best.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= k) & (F.col("score") > float("-inf"))).toPandas()
+        place = np.empty((len(qi), total), np.int64)
+        np.put_along_axis(place, self.index.lists(self.index.rotate(qv, False), total), np.arange(total)[None], 1)
+        need = place[truth["q"].to_numpy(np.int64), truth["list"].to_numpy(np.int64)] + 1
+        n = 1.0
+        while n < total and len(need) and (need <= int(n)).mean() < recall + (1 - recall) / 2:
+            n = max(n + 1, n * 1.25)
+        # What the scan abandons counts as well: the search itself is held against the k-th score of brute force.
+        worst = truth.groupby("q")["score"].min()
+        sample = self.spark.createDataFrame([(int(i), int(c), v.tolist()) for i, c, v in zip(qi, qc, qv)], "vec_id long, copy int, v array<double>")
+        spot = {(int(i), int(c)): j for j, (i, c) in enumerate(zip(qi, qc))}
+        while n < total:
+            got = self.search(sample, int(n)).select("query_id", "query_copy", "score").collect()
+            found = sum(r["score"] >= worst[spot[r["query_id"], r["query_copy"]]] - 1e-9 for r in got)
+            if found >= recall * len(need):
+                break
+            n = max(n + 1, n * 1.25)
+        return int(min(total, n))
