@@ -8,13 +8,22 @@ travels as one piece of text. Pieces that a task has twice are sent once, with
 the smallest doc_id; the other copies in that task are marked at once.
 
 A task sorts the suffixes of its pieces by bucket-pointer refinement: suffixes
-start in buckets of equal q-grams; the suffixes of buckets that hold more than
-one are then sorted on the bucket identifiers at a later offset, and the new
-identifiers go back into the pointer table at once, so that each following pass
-reaches as far as the order found so far: q, 2q, 4q, ... bytes. Refinement ends
-at `length` bytes; a bucket then is a group of equal strings, and all of its
-members but those of the smallest doc_id are marked. Buckets are compared by
-their bytes, so nothing rests on a hash being unique.
+start in buckets of equal q-grams, and a pointer table holds the bucket of every
+position. Buckets are then refined one after the other (small neighbouring ones
+together): the members of a bucket are sorted on the pointers at an offset of q,
+the pointers of its members are set to the new sub-buckets at once, and the
+sub-buckets with more than one member are refined in the same way at 2q, 3q, ...
+before the next bucket is begun. So a bucket reuses what earlier ones have
+settled: their pointers tell more than q bytes apart, and it seldom has to go
+through all offsets. Refinement of a bucket ends when its members agree in
+`length` bytes at least; strings of equal `length` bytes are then neighbours in
+the order, and are told from others by their bytes, so nothing rests on a hash
+being unique. All of them but those of the smallest doc_id are marked.
+
+What skips the sorting: a piece that equals another one of the task byte by byte
+(found by a hash of its words) is marked in full if a smaller doc_id has the other,
+and pieces that share neither side of their minimizer with a piece of another
+document hold no shared string at all.
 
 Marks travel back as runs of string starts, keyed by document, to the blocks of
 texts, where the covered bytes are taken out.
@@ -42,6 +51,8 @@ Q = 12
 SORT_BYTES, TEXT_BYTES = 12_000_000, 24_000_000
 #: Bytes of pieces that are sorted at once.
 CHUNK = 1_500_000
+#: Members of buckets that are refined together.
+WAVE = 1 << 15
 U64 = np.uint64
 I64 = np.int64
 
@@ -152,39 +163,55 @@ def text_key(ids: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=4).digest(), "little") for a, b in zip(off[:-1].tolist(), off[1:].tolist())], dtype=np.uint32) if len(ids) else np.zeros(0, np.uint32)
 
 
-def refine(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Bucket of each suffix at[i] of text by its first `length` bytes (equal strings, equal buckets).
+def refined_order(text: np.ndarray, length: int, wave: int = WAVE) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions in the order of their suffixes, as far as `length` bytes tell; pointer of each position; members sorted).
 
-    Bucket-pointer refinement: `pointer` holds the bucket of every position at the
-    depth reached; only suffixes of buckets with more than one member are sorted
-    again, on (own bucket, bucket at the offset), and their pointers are updated in
-    place, for the next pass to use.
+    Suffixes of one pointer agree in `length` bytes at least. wave: members of
+    neighbouring buckets that are refined together; a larger bucket goes alone.
     """
     n, q = len(text), 8
-    word = words8(np.concatenate([text, np.zeros(q - 1, np.uint8)]))  # q is 8; any order of q-grams will do
+    # Byte order as in the text, so that strings of a common start are neighbours however long the start.
+    word = words8(np.concatenate([text, np.zeros(q - 1, np.uint8)])).byteswap()
     order = np.argsort(word, kind="stable")
-    new = np.concatenate([[True], word[order][1:] != word[order][:-1]])
-    pointer = np.zeros(n + length, I64)
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    pointer[order] = start + 1  # 0 is past the end
-    depth = q
-    while depth < length:
-        step = min(depth, length - depth)
-        size = np.bincount(pointer[:n], minlength=n + 2)
-        open_ = np.flatnonzero(size[pointer[:n]] > 1)
-        if not len(open_):
-            break
-        own, ahead = pointer[open_], pointer[open_ + step]
-        srt = np.lexsort((ahead, own))
-        o, a = own[srt], ahead[srt]
-        head = np.concatenate([[True], o[1:] != o[:-1]])
-        split = head | np.concatenate([[True], a[1:] != a[:-1]])
-        k = np.arange(len(srt))
-        bucket_at = np.maximum.accumulate(np.where(head, k, 0))
-        part_at = np.maximum.accumulate(np.where(split, k, 0))
-        pointer[open_[srt]] = o + (part_at - bucket_at)
-        depth += step
-    return pointer[at]
+    starts = np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]])) if n else np.zeros(0, I64)
+    sizes = np.diff(np.append(starts, n))
+    pointer = np.zeros(n + length + q, I64)  # 0 is past the end
+    pointer[order] = np.repeat(starts, sizes) + 1
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    ends, lo, work = np.cumsum(sizes), 0, 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + wave, side="right")))
+        place, offset = ranges(starts[lo:hi], sizes[lo:hi]), q
+        while offset < length and len(place):
+            at = order[place]
+            own, ahead = pointer[at], pointer[at + offset]
+            by = np.lexsort((ahead, own))  # members of a bucket are neighbours, so `own` ascends and only they change places
+            at, own, ahead = at[by], own[by], ahead[by]
+            order[place] = at
+            head = np.concatenate([[True], (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])])
+            first = np.flatnonzero(head)
+            size = np.diff(np.append(first, len(place)))
+            pointer[at] = np.repeat(place[first], size) + 1
+            work += len(place)
+            place = place[np.repeat(size > 1, size)]
+            offset += q
+        lo = hi
+    return order, pointer[:n], work
+
+
+def refine(text: np.ndarray, at: np.ndarray, length: int, wave: int = WAVE) -> np.ndarray:
+    """Bucket of each suffix at[i] of text by its first `length` bytes (equal strings, equal buckets), by bucket-pointer refinement."""
+    _, pointer, _ = refined_order(text, length, wave)
+    by = np.argsort(pointer[at], kind="stable")
+    here = at[by]
+    # Neighbours of different pointers may still agree in `length` bytes, as pointers tell more bytes apart.
+    new = np.concatenate([[True], pointer[here][1:] != pointer[here][:-1]]) if len(at) else np.zeros(0, bool)
+    edge = np.flatnonzero(new[1:]) + 1
+    spans = np.full(len(edge), length)
+    new[edge] = ~equal_pieces(text, here[edge], here[edge - 1], spans, spans)
+    out = np.empty(len(at), I64)
+    out[by] = np.cumsum(new)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = 50, q: int = Q) -> DataFrame:
