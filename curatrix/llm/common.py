@@ -32,6 +32,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(names: list[str], taken: list[str]) -> list[str]:
+    """The names, each with underscores added until no column of the input has it."""
+    out = []
+    for n in names:
+        while n in taken or n in out:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def packed(columns: list[str], name: str = "d"):
+    """All columns of the input as one struct, so that columns added beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name)
+
+
+def unpacked(columns: list[str], name: str = "d") -> list:
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
 def sliced(batches, rows: int = 1000):
     """Arrow batches in slices of at most `rows` rows, so that very long texts do not add up in the worker's arrays."""
     for b in batches:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize
+from curatrix.llm.common import materialize, packed, unpacked
 
 #: Masks: 1 is compared, 0 is ignored.
 MASKS = ("110110101", "1011001011")
@@ -101,6 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, span: int = SPAN,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that share a passage with the benchmark."""
+    """docs without the documents that share a passage with the benchmark, with all their columns, whatever the names."""
     bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    rows = docs.select(packed(docs.columns), F.col("doc_id").cast("long").alias("own_id"))
+    return rows.join(bad, F.col("own_id").eqNullSafe(F.col("leaked_id")), "left_anti").select(*unpacked(docs.columns))

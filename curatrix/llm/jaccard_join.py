@@ -12,8 +12,10 @@ come last in the order.
 
 Defined results: null texts and texts without words have no set and link to
 nothing; a text of fewer words than a shingle is one shingle; documents of equal
-sets are linked; repeated rows of a doc_id are one document; an empty table gives
-an empty table. A set is compared through 64-bit hashes of its shingles.
+sets are linked; rows are told apart by doc_id and text, equal rows are one
+document and come out as often as they come in; an empty table gives an empty
+table; other columns are kept whatever their names. A set is compared through
+64-bit hashes of its shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import GOLD, id_array, materialize, splitmix  # noqa: F401
+from curatrix.llm.common import GOLD, fresh, materialize, splitmix
 from curatrix.llm.setlinks import Rule, linked
 
 #: Cost of comparing a candidate, in posted keys.
@@ -96,16 +98,23 @@ class _plain(dict):
         return (dict, ({k: v for k, v in self.items() if not callable(v)},))
 
 
+def row_name():
+    """A hash of doc_id and text, nulls included: what tells rows apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
 def linked_documents(docs: DataFrame, k: int = 4, num: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table, comps = join(docs, k, num)
+    """doc_id, n_shingles, component_id of every row; rows of one doc_id with different texts are linked by their own texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_name().alias("row"), "text")
+    table, comps = join(rows.select(F.col("row").alias("doc_id"), "text"), k, num)
+    ids = materialize(rows.select("doc_id", "row"))
     table = table.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
-    table = table.withColumn("comp", F.coalesce("comp", "sid")).select(F.nullif("doc_id", F.lit(-(2**63))).alias("i_doc"), "n", "comp").distinct()
+    table = table.select(F.col("doc_id").alias("i_row"), F.col("n").cast("long").alias("n"), F.coalesce("comp", "sid").alias("comp")).distinct()
+    named = table.join(ids.distinct(), F.col("row") == F.col("i_row"))
     # Rows of a component are as many as its documents: the least is taken by partial sums and goes back by a join that splits large keys.
-    least = table.groupBy("comp").agg(F.min("i_doc").alias("component_id"))
-    found = table.join(least, "comp").select("i_doc", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    out = docs.select("doc_id").join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("i_doc")), "left")
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    found = table.join(least, "comp").select("i_row", F.col("n").alias("n_shingles"), "component_id")
+    out = ids.join(found, F.col("row") == F.col("i_row"), "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -116,12 +125,9 @@ def one_of_each(docs: DataFrame, k: int = 4, num: int = 85) -> DataFrame:
     the same id, are linked like others. Texts without words are one document for
     each id; without an id only equal rows are.
     """
-    ident = docs.columns[0]
-    while {ident, f"{ident}tag"} & set(docs.columns):
-        ident += "_"
-    tag = f"{ident}tag"
-    rows = docs.withColumn(ident, F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull()))
-    rows = rows.withColumn(tag, F.xxhash64(ident, *[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    ident, tag = fresh(["row", "tag"], docs.columns)
+    rows = docs.withColumn(ident, row_name())
+    rows = rows.withColumn(tag, F.xxhash64(ident, *[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
     table, comps = join(rows.select(F.col(ident).alias("doc_id"), "text"), k, num)
     table = table.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select(F.col("doc_id").alias("i_row"), F.coalesce("comp", "sid").alias("comp")).distinct()
     all_ = rows.select(F.col(ident).alias("row"), F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("id")).distinct()

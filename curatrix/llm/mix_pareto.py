@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import fresh, materialize, packed, unpacked
+
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -65,30 +67,37 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return t.select("m_source", "source_size", target.alias("target"))
 
 
-def pareto_mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, weight_col: str | None = None) -> DataFrame:
-    """docs plus m_size, m_source_size, m_target, m_copies (whole copies taken) and m_taken (words taken)."""
+ADDED = ["m_size", "m_source_size", "m_target", "m_copies", "m_taken"]
+
+
+def measured(docs: DataFrame, seed: str, weight_col: str | None) -> DataFrame:
+    """(d: all columns of docs; doc_id, m_source, m_size, m_u, m_h, m_x)."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORDS)).cast("long")
-    docs = docs.withColumns({"m_size": size, "m_u": uniform(F.col("doc_id"), seed), "m_h": F.xxhash64("text"), "m_x": F.col(weight_col).cast("double") if weight_col else F.lit(1.0)})
-    light = docs.select("doc_id", F.col("source").alias("m_source"), "m_size", "m_u", "m_h", "m_x")
+    return docs.select(packed(docs.columns), "doc_id", F.col("source").alias("m_source"), size.alias("m_size"), uniform(F.col("doc_id"), seed).alias("m_u"), F.xxhash64("text").alias("m_h"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("m_x"))
+
+
+def ranked(d: DataFrame) -> DataFrame:
+    p = F.least(F.greatest(F.col("m_f") * F.col("m_x"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    rank = (F.col("m_u") / (1 - F.col("m_u"))) / (p / (1 - p))
+    binned = F.floor(rank / (1 + rank) * F.lit(BINS)).cast("int")
+    return d.withColumn("m_rank", rank).withColumn("m_bin", F.least(binned, F.lit(BINS - 1)))
+
+
+def with_targets(d: DataFrame, t: DataFrame) -> DataFrame:
+    # A source may hold a third of all rows: its row of targets is copied SALTS times, and its documents spread over the copies.
+    t = t.withColumnRenamed("m_source", "t_source").withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = d.withColumn("m_salt", F.pmod(F.xxhash64("doc_id", "m_h"), F.lit(SALTS)).cast("int"))
+    return d.join(t, d["m_source"].eqNullSafe(t["t_source"]) & (d["m_salt"] == t["t_salt"]), "left").drop("t_source", "t_salt", "m_salt")
+
+
+def planned(light: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
+    """One row for each source: its target, whole copies, and where the sample ends (c_bin, l_key)."""
     sizes = light.groupBy("m_source").agg(F.sum("m_size").alias("source_size"))
     targets = source_targets(sizes, share, cap, weights)
     targets = targets.withColumn("m_m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     targets = targets.withColumn("m_whole", F.floor("m_m").cast("long")).withColumn("m_f", F.col("m_m") - F.col("m_whole"))
     targets = targets.withColumn("m_rest", F.col("target") - F.col("m_whole") * F.col("source_size"))
-
-    def ranked(d: DataFrame) -> DataFrame:
-        p = F.least(F.greatest(F.col("m_f") * F.col("m_x"), F.lit(1e-12)), F.lit(1 - 1e-12))
-        rank = (F.col("m_u") / (1 - F.col("m_u"))) / (p / (1 - p))
-        binned = F.floor(rank / (1 + rank) * F.lit(BINS)).cast("int")
-        return d.withColumn("m_rank", rank).withColumn("m_bin", F.least(binned, F.lit(BINS - 1)))
-
-    def with_targets(d: DataFrame, t: DataFrame, on: str) -> DataFrame:
-        # A source may hold a third of all rows: its row of targets is copied SALTS times, and its documents spread over the copies.
-        t = t.withColumnRenamed("m_source", "t_source").withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        d = d.withColumn("m_salt", F.pmod(F.xxhash64("doc_id", "m_h"), F.lit(SALTS)).cast("int"))
-        return d.join(t, d[on].eqNullSafe(t["t_source"]) & (d["m_salt"] == t["t_salt"]), "left").drop("t_source", "t_salt", "m_salt")
-
-    binned = ranked(with_targets(light, targets, "m_source"))
+    binned = ranked(with_targets(light, targets))
     bins = binned.groupBy("m_source", "m_bin").agg(F.sum("m_size").alias("words"), F.first("m_rest").alias("m_rest"))
     up_to = W.partitionBy("m_source").orderBy("m_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = bins.withColumn("upto", F.sum("words").over(up_to))
@@ -100,22 +109,35 @@ def pareto_mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: floa
     edge = edge.withColumn("before", F.coalesce(run, F.lit(0)))
     # The last document taken is the last that brings the words nearer to the target.
     edge = edge.filter(2 * (F.col("c_left") - F.col("before")) >= F.col("m_size")).filter(F.col("before") < F.col("c_left"))
-    last = edge.groupBy("c_source").agg(F.max(F.struct("m_rank", "doc_id", "m_size", "m_h")).alias("l_key"))
+    last = edge.groupBy(F.col("c_source").alias("l_source")).agg(F.max(F.struct("m_rank", "doc_id", "m_size", "m_h")).alias("l_key"))
     plan = targets.join(cut, targets["m_source"].eqNullSafe(cut["c_source"]), "left").drop("c_source")
-    last = last.withColumnRenamed("c_source", "l_source")
-    plan = plan.join(last, plan["m_source"].eqNullSafe(last["l_source"]), "left").drop("l_source")
-    out = ranked(with_targets(docs.withColumn("m_source", F.col("source")), plan, "m_source"))
+    return plan.join(last, plan["m_source"].eqNullSafe(last["l_source"]), "left").drop("l_source")
+
+
+def applied(table: DataFrame, plan: DataFrame, keep: list) -> DataFrame:
+    """The columns `keep` and those of ADDED, for a table of `measured`."""
+    out = ranked(with_targets(table, plan))
     key = F.struct("m_rank", "doc_id", "m_size", "m_h")
     taken = F.when(F.col("c_bin").isNull(), False).when(F.col("m_bin") < F.col("c_bin"), True)
     taken = taken.when(F.col("m_bin") > F.col("c_bin"), False).otherwise(F.coalesce(key <= F.col("l_key"), F.lit(False)))
-    copies = F.when(F.col("m_size") == 0, 0).otherwise(F.coalesce(F.col("m_whole"), F.lit(0)) + taken.cast("long"))
-    out = out.withColumn("m_copies", copies.cast("long"))
-    drop = [c for c in out.columns if c.startswith(("m_", "c_", "l_")) and c not in (*docs.columns, "m_copies")]
-    out = out.withColumns({"m_source_size": F.coalesce("source_size", F.lit(0)).cast("long"), "m_target": F.col("target"), "m_taken": F.col("m_copies") * F.col("m_size")})
-    return out.drop(*drop, "source_size", "target", "m_u", "m_h", "m_x")
+    copies = F.when(F.col("m_size") == 0, 0).otherwise(F.coalesce(F.col("m_whole"), F.lit(0)) + taken.cast("long")).cast("long")
+    out = out.withColumn("m_copies", copies)
+    return out.select(*keep, "m_size", F.coalesce("source_size", F.lit(0)).cast("long").alias("m_source_size"), F.col("target").alias("m_target"), "m_copies", (F.col("m_copies") * F.col("m_size")).alias("m_taken"))
+
+
+def pareto_mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, weight_col: str | None = None) -> DataFrame:
+    """docs plus m_size, m_source_size, m_target, m_copies (whole copies taken) and m_taken (words taken); a name that docs has already gets underscores added.
+
+    Sizes are counted once and written; only the last step reads the texts again.
+    """
+    rows = measured(docs, seed, weight_col)
+    plan = planned(materialize(rows.drop("d")), share, cap, weights)
+    out = applied(rows, plan, ["d"])
+    return out.select(*unpacked(docs.columns), *[F.col(n).alias(new) for n, new in zip(ADDED, fresh(ADDED, docs.columns))])
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
+def mix_report(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    out = pareto_mix(docs.select("doc_id", "text", "source"), **options)
+    light = materialize(measured(docs, seed, None).drop("d"))
+    out = applied(light, planned(light, share, cap, weights), ["doc_id"])
     return out.select(F.col("doc_id").cast("long"), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"))

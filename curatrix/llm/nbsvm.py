@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import GOLD, crc_mod, lbfgs, pack, sliced, unpack
+from curatrix.llm.common import GOLD, crc_mod, fresh, lbfgs, pack, sliced, unpack
 
 BITS = 20
 LENGTHS = (4, 5, 6)
@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: in
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs plus the score of every text (0 to 1)."""
+    """docs plus the score of every text (0 to 1); a name that docs has already gets underscores added."""
+    (name,) = fresh([name], docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     useful = model.weights != 0
     bundle = docs.sparkSession.sparkContext.broadcast((model.weights, useful, model.bias))

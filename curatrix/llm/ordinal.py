@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import as_text_arrays, lbfgs, sliced
+from curatrix.llm.common import as_text_arrays, fresh, lbfgs, sliced
 from curatrix.llm.nbsvm import ngram_slots
 
 BITS = 16
@@ -149,9 +149,9 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_each: int =
 
 
 def rate(docs: DataFrame, model: Model, keep_grade: int = 1, keep_least: float = 0.5) -> DataFrame:
-    """docs plus expected_grade, tail_<g> of each grade above 0, and selected."""
-    names = ["expected_grade", *(f"tail_{g + 1}" for g in range(len(model.thresholds))), "selected"]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names[:-1]), T.StructField("selected", T.BooleanType())])
+    """docs plus expected_grade, tail_<g> of each grade above 0, and selected; a name that docs has already gets underscores added."""
+    names = fresh(["expected_grade", *(f"tail_{g + 1}" for g in range(len(model.thresholds))), "selected"], docs.columns)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names[:-1]), T.StructField(names[-1], T.BooleanType())])
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def rated(batches):
