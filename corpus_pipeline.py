@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept. Null and empty texts, repeated rows and empty tables pass through every
-stage as its operator states.
+stage as its operator states. Further columns of docs are kept, whatever their
+names; a column that a stage adds gets underscores added where docs has its name.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import decontam, jaccard_join, mix_pareto, nbsvm, pii_crf
-from curatrix.llm.common import materialize, read
+from curatrix.llm.common import fresh, materialize, read
 
 #: A document goes if its toxicity score is at least this.
 TOXIC = 0.7
@@ -20,9 +21,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under TOXIC."""
     model = nbsvm.train(docs, read(spark, sf_dir, "labels"))
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
+    (name,) = fresh(["toxicity_score"], docs.columns)
     return nbsvm.score(docs, model, name).filter(F.col(name) < TOXIC).select(*docs.columns)
 
 
@@ -42,9 +41,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies and the words they give."""
-    mixed = mix_pareto.pareto_mix(docs)
-    return mixed.filter(F.col("m_copies") > 0).select(*docs.columns, F.col("m_copies").alias("copies"), F.col("m_taken").alias("taken"), F.col("m_target").alias("source_target"))
+    """The documents that the mix takes, with copies, taken and source_target: the number of copies, the words they give and the words of the source's target."""
+    copies, taken, target = fresh(["copies", "taken", "source_target"], docs.columns)
+    size, source_size, m_target, m_copies, m_taken = fresh(mix_pareto.ADDED, docs.columns)
+    mixed = mix_pareto.pareto_mix(docs).filter(F.col(m_copies) > 0)
+    return mixed.select(*docs.columns, F.col(m_copies).alias(copies), F.col(m_taken).alias(taken), F.col(m_target).alias(target))
 
 
 STAGES = [
