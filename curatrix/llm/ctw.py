@@ -36,7 +36,7 @@ from curatrix.llm.common import NULL_ID, as_text_arrays, id_array, materialize,
 
 DEPTH = 5
 #: Bytes of text in a block.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 #: Cells of a lookup table.
 TABLE = 1 << 23
 U64, I64 = np.uint64, np.int64
@@ -201,7 +201,7 @@ def log10_prob(codes: np.ndarray, levels: dict) -> np.ndarray:
 
 
 def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length; 0 for empty texts) of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
@@ -306,7 +306,7 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
     end_log, end_known = float(np.log10(ends + 0.5)), int(ends > 0)
 
     def finish(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        cols: list = [[], [], [], [], [], [], []]
+        cols: list = [[] for _ in range(8)]
         by = {(k, b): x for k, b, x in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "block")))}
         for x in texts.column("block").to_pylist():
             ids, lens, out, raw = unpack(x)
@@ -334,11 +334,12 @@ def scores(docs: DataFrame, parts: int = 5) -> DataFrame:
             cols[4].append(np.full(len(ids), n_train))
             cols[5].append(base + end_log - tokens * norm)
             cols[6].append(model)
+            cols[7].append(np.where(lens > 0, -model * np.log2(10.0) / np.maximum(lens, 1), 0.0))
         trim()
-        kinds = (I64, bool, I64, I64, I64, np.float64, np.float64)
+        kinds = (I64, bool, I64, I64, I64, np.float64, np.float64, np.float64)
         cols = [np.concatenate(c).astype(k) if c else np.zeros(0, k) for c, k in zip(cols, kinds)]
-        return pa.table([id_array(cols[0]), *(pa.array(c) for c in cols[1:])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([id_array(cols[0]), *(pa.array(c) for c in cols[1:])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     texts = table.filter(F.col("kind") == TEXTS).select("name", "block")
     replies = answers.filter("name IS NOT NULL").select("name", "kind", "bucket", "block")
-    return texts.groupBy("name").cogroup(replies.groupBy("name")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("name").cogroup(replies.groupBy("name")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

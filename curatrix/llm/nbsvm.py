@@ -34,6 +34,8 @@ from curatrix.llm.common import GOLD, crc_mod, fresh, lbfgs, pack, sliced, unpac
 
 BITS = 20
 LENGTHS = (4, 5, 6)
+#: Columns of training rows that are expanded at once while fitting.
+PART = 1_000_000
 
 
 @dataclass
@@ -114,18 +116,28 @@ def fit(rows: list[tuple[int, np.ndarray]], min_df: int = 5, alpha: float = 1.0,
     p, q = pos + alpha, df - pos + alpha
     ratio = np.log((p / (y.sum() + 2 * alpha)) / (q / (len(y) - y.sum() + 2 * alpha)))
     used = (df >= min_df) & (np.abs(ratio) >= min_ratio)
-    kept = [s[used[s]] for _, s in rows]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s in kept])
-    slot = np.concatenate(kept)
+    lens = np.array([np.count_nonzero(used[s]) for _, s in rows])
+    ends = np.cumsum(lens)
     ids = np.flatnonzero(used)
-    col = (np.cumsum(used) - 1).astype(np.int32)[slot]
+    place = (np.cumsum(used) - 1).astype(np.int32)
+    # Columns of all rows one after the other; the only array of their total length.
+    col = np.empty(int(ends[-1]), np.int32)
+    for (_, s), a, n in zip(rows, ends - lens, lens):
+        col[a : a + n] = place[s[used[s]]]
     r = ratio[ids]
+    # Rows of about PART columns together.
+    edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART, int(ends[-1]), PART)), [len(y)]]))
+    parts = [(int(i), int(j), col[(ends[i] - lens[i]) : ends[j - 1]]) for i, j in zip(edges[:-1], edges[1:])]
 
     def loss_grad(x):
         w, b = x[:-1], x[-1]
-        z = np.bincount(doc, weights=(w * r)[col], minlength=len(y)) + b
+        v, z, g = w * r, np.full(len(y), b), np.zeros(len(ids))
+        for i, j, c in parts:
+            z[i:j] += np.bincount(np.repeat(np.arange(j - i), lens[i:j]), weights=v[c], minlength=j - i)
         d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, weights=d[doc], minlength=len(ids)) * r + l2 * w
+        for i, j, c in parts:
+            g += np.bincount(c, weights=np.repeat(d[i:j], lens[i:j]), minlength=len(ids))
+        g = g * r + l2 * w
         return np.sum(np.logaddexp(0, z) - y * z) + 0.5 * l2 * (w @ w), np.append(g, d.sum())
 
     x = lbfgs(loss_grad, np.append(np.zeros(len(ids)), np.log(y.mean() / (1 - y.mean()))), steps)
@@ -157,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: in
 
     sample, odds = training_rows(docs, labels, label, max_each)
     got = sample.mapInArrow(blocks, "y int, slots binary").toArrow()
+    # Some tens of MB of slots for all rows of the bounded sample.
     rows = [(y, np.cumsum(np.frombuffer(unpack(s.as_py())[0], np.uint32), dtype=np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
     del got
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:256]))
