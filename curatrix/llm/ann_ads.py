@@ -244,7 +244,8 @@ class Search:
         kth = near.filter(F.col("rank") == self.k).select(F.col("query_id").alias("vec_id"), F.col("query_copy").alias("copy"), F.col("score").alias("kth"))
         size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
         # A little room for rounding, as the bound comes from scores and is held against distances.
-        bound = F.greatest(size + F.lit(self.index.top**2) - 2 * F.col("kth"), F.lit(0.0)) * F.lit(1 + 1e-6) + F.lit(1e-9 * self.index.top**2)
+        square = size + F.lit(self.index.top**2) - 2 * F.col("kth")
+        bound = F.when(F.col("kth").isNotNull(), F.greatest(square, F.lit(0.0)) * F.lit(1 + 1e-6) + F.lit(1e-9 * self.index.top**2))
         more = queries.join(kth, ["vec_id", "copy"], "left").select("vec_id", "copy", "v", bound.alias("bound"))
         return self.ranked(near.drop("rank").unionByName(self.probe(more, 1, n_lists)))
 
