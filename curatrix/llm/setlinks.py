@@ -348,6 +348,22 @@ def stored(docs: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
 
 
 def _verified(pairs, wanted, texts, rule, blocks, num):
+    needed = bit_table(wanted, "doc_id")
+
+    def of_round(batches):
+        # Only the texts that some pair of this round asks for are sent.
+        for t in batches:
+            rows = []
+            for home, x in zip(t.column("home").to_pylist(), t.column("texts").to_pylist()):
+                ids, lens, data = unpack(x)
+                ids, lens = np.frombuffer(ids, I64), np.frombuffer(lens, I64)
+                ends, hit = np.cumsum(lens), np.flatnonzero(has_bit(needed.value, ids))
+                if len(hit):
+                    rows.append((home, pack(ids[hit], lens[hit], b"".join(data[ends[i] - lens[i] : ends[i]] for i in hit.tolist()))))
+            yield pa.RecordBatch.from_pydict({"home": pa.array([r[0] for r in rows], pa.int32()), "texts": pa.array([r[1] for r in rows], pa.binary())})
+
+    texts = texts.mapInArrow(of_round, "home int, texts binary")
+
     def homes(batches):
         for t in batches:
             ids = t.column("doc_id").to_numpy(zero_copy_only=False)
