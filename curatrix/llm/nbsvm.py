@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import GOLD, crc_mod, fresh, lbfgs, pack, sliced, unpack
+from curatrix.llm.common import GOLD, crc_mod, fresh, lbfgs, pack, sliced, trim, unpack
 
 BITS = 20
 LENGTHS = (4, 5, 6)
@@ -177,6 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: in
     if rows and model.weights.any():
         own = np.log((sum(y for y, _ in rows) + 0.5) / (sum(1 - y for y, _ in rows) + 0.5))
         model.bias += odds - float(own)
+    rows.clear()
+    trim()
     return model
 
 

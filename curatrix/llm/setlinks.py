@@ -34,6 +34,8 @@ CELLS = 128
 SHORT, PART = 12, 500
 #: Bits of the table that tells which documents are to be fetched.
 NEED_BITS = 22
+#: Frequent shingles that are sent to every task (16 bytes each).
+OFTEN = 250_000
 I64 = np.int64
 
 
@@ -113,8 +115,8 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
 
     Frequent shingles only steer the order in which a set lists its members; any
     order gives the same links. So they are gathered from shingles that occur
-    twice within a slice of texts and six times in a task, equal sets once, and at
-    most 100,000 are kept.
+    four times in a task, equal sets once: a table of hashed counts lets the first
+    two occurrences pass, later ones are counted by themselves. At most OFTEN are kept.
     """
 
     def table_of(rows):
@@ -124,6 +126,7 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
     def run(batches):
         seen: set[int] = set()
         counts = np.zeros((0, 2), np.uint64)
+        cells = np.zeros(1 << 24 if frequent else 1, np.uint8)
         for b in sliced(batches):
             rows, pool = [], []
             for doc, para, words, sid, s, _ in item_sets(b, rule):
@@ -133,14 +136,18 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
                     pool.append(s)
             if pool:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
-                counts = np.concatenate([counts, np.stack([h[c > 1], c[c > 1].astype(np.uint64)], 1)])
-                if len(counts) > 1 << 20:
+                at = (h >> np.uint64(40)).astype(I64)
+                now = cells[at] + c
+                cells[at] = np.minimum(now, 255)
+                later = now > 2
+                counts = np.concatenate([counts, np.stack([h[later], c[later].astype(np.uint64)], 1)])
+                if len(counts) > 1 << 21:
                     counts = summed(counts)
-                    counts = counts[counts[:, 1] > np.uint64(3)]
+                    counts = counts[counts[:, 1] > np.uint64(1)]
             if rows:
                 yield table_of(rows)
         counts = summed(counts)
-        counts = counts[counts[:, 1] >= np.uint64(6)]
+        counts = counts[counts[:, 1] >= np.uint64(2)]
         if len(counts):
             yield table_of([(1, NULL_ID, 0, h, c, 0, b"", b"") for h, c in zip(counts[:, 0].view(I64).tolist(), counts[:, 1].tolist())])
 
@@ -148,7 +155,7 @@ def items(docs: DataFrame, rule: Rule, frequent: bool) -> tuple[DataFrame, np.nd
     table = out.filter("kind = 0").drop("kind")
     often = np.zeros((0, 2), np.uint64)
     if frequent:
-        top = out.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(100_000).toArrow()
+        top = out.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(OFTEN).toArrow()
         h = top.column("sid").to_numpy().astype(I64).view(np.uint64)
         order = np.argsort(h)
         often = np.stack([h[order], top.column("n").to_numpy().astype(np.uint64)[order]], 1)
