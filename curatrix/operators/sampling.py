@@ -2,8 +2,10 @@
 
 u(key) is uniform in (0, 1); an order by -ln(u) / w is a weighted sample without
 replacement (Efraimidis and Spirakis 2006), and any prefix of that order is one.
-Ranks within strata are taken in salted parts first, and global draws use
-orderBy().limit(), so no stratum is sorted as a whole in one task.
+Where only a quota of a stratum is wanted, ranks are taken in salted parts first,
+and global draws use orderBy().limit(), so no stratum is sorted as a whole in one
+task. The samplers that fill up from what is left of all strata (simple_stratified,
+diversity_sample, cluster_balanced_top) still rank a whole stratum in one task.
 """
 
 from __future__ import annotations
@@ -80,7 +82,9 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, strategy: s
     """A sample of about n rows (never more than n plus the guaranteed rows) by `allocation`; weighted if a weight is given."""
     sizes = df.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("size"))
     quota = allocation(sizes, n, strategy, least, most).select(F.col("stratum").alias("s_"), "quota")
-    return _within(df, quota, stratum, [weighted_key(key, weight, seed), F.col(key)]).limit(n)
+    order = [weighted_key(key, weight, seed), F.col(key)]
+    # Guaranteed rows may be more than n; which of them stay follows the draw, not the partitions.
+    return _within(df, quota, stratum, order).orderBy(*order).limit(n)
 
 
 def _within(df: DataFrame, quota: DataFrame, stratum: str, order: list[Column]) -> DataFrame:
@@ -109,7 +113,7 @@ def simple_stratified(df: DataFrame, n: int, n_clusters: int, stratum: str, key:
     missing = n - (got["got"] or 0)
     fill = missing if 0 < missing <= got["all"] - (got["got"] or 0) else 0
     extra = ranked.filter(~F.col("in_")).orderBy(draw_key(key, seed), key).limit(fill)
-    return ranked.filter("in_").unionByName(extra).drop("in_").limit(n)
+    return ranked.filter("in_").unionByName(extra).drop("in_").orderBy(draw_key(key, seed), key).limit(n)
 
 
 def diversity_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int = 42) -> DataFrame:

@@ -82,7 +82,7 @@ def nearest_centroid(points: DataFrame, cents: DataFrame, key: str, vec: str = "
     while their counted number is at most max_broadcast.
     """
     if cents.count() > max_broadcast:
-        raise ValueError("more clusters than max_broadcast; assign through curatrix.llm.ann_ads lists or raise the bound")
+        raise ValueError("more clusters than max_broadcast; raise the bound if so many centroids fit in a task")
     all_ = cents.agg(F.collect_list(F.struct("cluster", "centroid")).alias("cs"))
     t = points.select(key, vec).join(F.broadcast(all_))
     best = F.array_min(F.transform("cs", lambda c: F.struct(square_distance(F.col(vec), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))))
@@ -149,11 +149,18 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session."""
+    """Cut lineage through the shared checkpoint folder of the session; a folder of this machine only where all of Spark is in one process."""
+    import re
+    import tempfile
     import uuid
 
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/curatrix/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/curatrix/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
