@@ -101,3 +101,23 @@ hit AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS diagonal FROM ds JOIN bs
 pair AS (SELECT doc_id, item_id, len(b.w) AS n, list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + diagonal >= 1 AND d.w[i + diagonal] = b.w[i] THEN 1 ELSE 0 END) AS e FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
 judged AS (SELECT doc_id, item_id, n, list_sum(e) AS equal, list_max(list_transform(range(1, n - least(n, 13) + 2), lambda i: list_sum(e[i:i + least(n, 13) - 1]))) / least(n, 13) AS best FROM pair)
 SELECT doc_id, item_id, max(n)::INT AS n_words, max(equal)::INT AS n_equal, max(best) AS best FROM judged WHERE best >= 0.75 GROUP BY ALL"""
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS least_id FROM d),
+f AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(tox, false) AS tox,
+      (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+      || (CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 2 * length(x) THEN 'C' ELSE '' END)
+      || (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > least_id THEN 'E' ELSE '' END) AS bad
+      FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS tox FROM labels GROUP BY doc_id) l ON l.doc_id = w.doc_id),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+           WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+step AS (SELECT f.*, filter_order, s AS step, substr(filter_order, s, 1) AS filter, CASE WHEN bad = '' THEN false ELSE regexp_matches(substr(filter_order, 1, s - 1), '[' || bad || ']') END AS gone
+         FROM f, orders, (SELECT unnest(range(1, 6))::INT AS s) t),
+r AS (SELECT part, filter_order, step, filter, count(*) FILTER (WHERE NOT gone AND NOT contains(bad, filter)) AS kept, count(*) FILTER (WHERE NOT gone AND contains(bad, filter)) AS removed,
+      count(*) FILTER (WHERE gone AND contains(bad, filter)) AS redundant, count(*) FILTER (WHERE bad = filter) AS unique_fails,
+      count(*) FILTER (WHERE NOT gone AND contains(bad, filter) AND good) AS good_lost, count(*) FILTER (WHERE NOT gone AND contains(bad, filter) AND tox) AS toxic_lost
+      FROM step GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, ctw, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
+from curatrix.llm import ann_ads, ctw, decontam, filter_audit, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
 from curatrix.llm.common import read
 
 
@@ -48,6 +48,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.linked_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
     "op2_ads_neighbours": op2_ads_neighbours,
@@ -59,4 +63,5 @@ QUERIES = {
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
     "op9_paragraph_minhash": op9_paragraph_minhash,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
 }
