@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, ctw, decontam, filter_audit, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
+from curatrix.llm import ann_ads, ctw, decontam, erasure, filter_audit, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
 from curatrix.llm.common import read
 
 
@@ -52,6 +52,10 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_erasure_rewrite(spark, sf_dir):
+    return erasure.cascade(spark, *[read(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")])
+
+
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
     "op2_ads_neighbours": op2_ads_neighbours,
@@ -64,4 +68,5 @@ QUERIES = {
     "op9_paragraph_minhash": op9_paragraph_minhash,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op12_erasure_rewrite": op12_erasure_rewrite,
 }
