@@ -88,6 +88,28 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: Groups with at least 1 in so many rows are hot, so that at most so many are hot.
+HOT_SHARE = 10_000
+
+
+def beside_groups(rows: DataFrame, key: str, *sums) -> DataFrame:
+    """rows (a table that can be read again) with the sums of the rows of their key; null where the key has one row.
+
+    Sums combine on the map side. The few keys with a ten-thousandth of all rows or
+    more, at most 10,000 by that bound, are broadcast to their rows; the others meet
+    in a join whose keys are small by the same bound. Null keys are not for this.
+    """
+    total = rows.count()
+    key_c, n_c = fresh(["key", "n"], rows.columns)
+    groups = rows.groupBy(F.col(key).alias(key_c)).agg(F.count(F.lit(1)).alias(n_c), *sums)
+    groups = materialize(groups.filter(F.col(n_c) > 1))
+    hot = groups.filter(F.col(n_c) * HOT_SHARE >= total).drop(n_c)
+    rest = groups.filter(F.col(n_c) * HOT_SHARE < total).drop(n_c)
+    same = F.col(key) == F.col(key_c)
+    near = rows.join(F.broadcast(hot), same)
+    return near.unionByName(rows.join(F.broadcast(hot), same, "left_anti").join(rest, same, "left")).drop(key_c)
+
+
 def trim() -> None:
     """Give freed memory of this worker back to the system, where the C library can."""
     try:

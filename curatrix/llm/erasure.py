@@ -30,14 +30,11 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import re
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
@@ -45,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.llm.common import discard, fresh, materialize, ranges, scratch
+from curatrix.llm.files import FileInWork, place, removed
 
 #: Rows of a bucket: a sixteenth of a file between these bounds, more only beyond MOST_BUCKETS / 4 buckets.
 LEAST_ROWS = 256
@@ -52,7 +50,7 @@ BUCKET_ROWS = 1 << 16
 MOST_BUCKETS = 1 << 20
 #: Small files share a task up to so many rows.
 TASK_ROWS = 50_000
-#: Rows written at once.
+#: Rows read and written at once.
 WRITE_ROWS = 1 << 16
 #: A master is a victim if the crc32 of its id divides by this.
 SHARE = 100
@@ -173,8 +171,8 @@ def shared_prefix(a: bytes, b: bytes) -> bytes:
 # ranks by counting
 
 
-def buckets(rows: DataFrame, crc: str, columns: list[str], most: int) -> list[tuple[bytes, int, bool]]:
-    """(first bytes, rows, all identical) of the buckets in key order; only buckets of identical rows have over 1.5 * most rows."""
+def buckets(rows: DataFrame, columns: list[str], most: int) -> list[tuple[bytes, int, bool]]:
+    """(first bytes, rows, all identical) of the buckets of rows (crc, columns) in key order; only buckets of identical rows have over 1.5 * most rows."""
 
     def folded(counts: DataFrame) -> list[Row]:
         """Runs of digits with some most / 2 rows, inside blocks of 256 digits; a digit with too many rows alone."""
@@ -188,7 +186,7 @@ def buckets(rows: DataFrame, crc: str, columns: list[str], most: int) -> list[tu
         """(b, digit, n, lo, hi) of the rows in the buckets that begin with one of the prefixes."""
         spark = rows.sparkSession
         tops = F.broadcast(spark.createDataFrame([(d,) for d in sorted({int.from_bytes(p[:2], "big") for p in open_})], "top int"))  # at most 65,536
-        near = rows.join(tops, F.shiftright(F.col(f"`{crc}`"), 16) == F.col("top"), "left_semi").select(crc, *[F.col(f"`{c}`") for c in columns])
+        near = rows.join(tops, F.shiftright("crc", 16) == F.col("top"), "left_semi").select("crc", *columns)
 
         def run(batches):
             seen: dict = {}
@@ -224,16 +222,18 @@ def buckets(rows: DataFrame, crc: str, columns: list[str], most: int) -> list[tu
 
     closed: list[tuple[bytes, int, bool]] = []
     none = F.lit(None).cast("binary")
-    top = rows.groupBy(F.shiftright(F.col(f"`{crc}`"), 16).cast("int").alias("digit")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("b"), "digit", "n", none.alias("lo"), none.alias("hi"))
+    top = rows.groupBy(F.shiftright("crc", 16).cast("int").alias("digit")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("b"), "digit", "n", none.alias("lo"), none.alias("hi"))
     open_, found = [b""], folded(top)
     while found:
         deeper = []
         for r in found:
             start = open_[r["b"]] + r["digit"].to_bytes(2, "big")
-            if r["n"] <= most or not r["big"]:
-                closed.append((start, r["n"], False))
+            # A key may end inside the digit, which counts as zeros: a first key without them is smaller than none of its bucket.
+            first = open_[r["b"]] + r["digit"].to_bytes(2, "big").rstrip(b"\0")
+            if not r["big"]:
+                closed.append((first, r["n"], False))
             elif r["lo"] is not None and r["lo"] == r["hi"]:
-                closed.append((start, r["n"], True))
+                closed.append((first, r["n"], True))
             else:
                 deeper.append(start if r["lo"] is None else shared_prefix(bytes(r["lo"]), bytes(r["hi"])))
         open_ = sorted(deeper)
@@ -244,74 +244,28 @@ def buckets(rows: DataFrame, crc: str, columns: list[str], most: int) -> list[tu
 # files
 
 
-def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path that all executors reach, and the path in it."""
-    plain = re.sub(r"^file:/+", "/", path)
-    return (pyarrow.fs.LocalFileSystem(), plain) if plain.startswith("/") else pyarrow.fs.FileSystem.from_uri(plain)
-
-
-class FileInWork:
-    """A Parquet file that gets its name once it is whole."""
-
-    def __init__(self, path: str, schema: pa.Schema):
-        self.fs, self.path = place(path)
-        folder, _, name = self.path.rpartition("/")
-        self.fs.create_dir(folder, recursive=True)
-        self.temp = f"{folder}/_{name}.{uuid.uuid4().hex}"
-        self.stream = self.fs.open_output_stream(self.temp)
-        self.writer = pq.ParquetWriter(self.stream, schema, compression="snappy")
-        self.held, self.n_held, self.n = [], 0, 0
-
-    def add(self, t: pa.Table) -> None:
-        self.held.append(t)
-        self.n_held += len(t)
-        self.n += len(t)
-        if self.n_held >= WRITE_ROWS:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.held:
-            self.writer.write_table(pa.concat_tables(self.held), row_group_size=WRITE_ROWS)
-            self.held, self.n_held = [], 0
-
-    def close(self) -> None:
-        self.flush()
-        self.writer.close()
-        self.stream.close()
-        if not isinstance(self.fs, pyarrow.fs.LocalFileSystem) and self.fs.get_file_info(self.path).type != pyarrow.fs.FileType.NotFound:
-            self.fs.delete_file(self.path)
-        self.fs.move(self.temp, self.path)
-
-    def abort(self) -> None:
-        try:
-            self.stream.close()
-            self.fs.delete_file(self.temp)
-        except OSError:
-            pass
-
-
 def write_sorted(rows: DataFrame, crc: str, folder: str, files: int = 150) -> DataFrame:
     """Write rows (readable again and alike) as files of 1 + n // files consecutive rows, and return (file_no, path, first_key, last_key, n), materialized.
 
     crc is the long column that leads the order and is not written. Keys are cut at 13 bytes.
     """
-    columns = [c for c in rows.columns if c != crc]
+    names = [c for c in rows.columns if c != crc]
+    columns = [f"c{i}" for i in range(len(names))]  # inside tasks, as names may hold dots
+    rows = rows.select(F.col(f"`{crc}`").alias("crc"), *[F.col(f"`{c}`").alias(x) for c, x in zip(names, columns)])
     n = rows.count()
     each = 1 + n // files
     # A sixteenth of a file keeps what straddles two files small.
     most = max(LEAST_ROWS, min(each // 16, BUCKET_ROWS), -(-4 * n // MOST_BUCKETS))
-    found = buckets(rows, crc, columns, most) if n else []
+    found = buckets(rows, columns, most) if n else []
     starts, sizes, same = [b[0] for b in found], np.array([b[1] for b in found], np.int64), [b[2] for b in found]
     ranks = np.cumsum(sizes) - sizes
     low, high = ranks // each, (ranks + np.maximum(sizes, 1) - 1) // each
-    file_c, bucket_c = fresh(["file_no", "bucket"], rows.columns)
-    fields = [T.StructField(file_c, T.IntegerType()), T.StructField(bucket_c, T.IntegerType()), *rows.schema.fields]
-    crc_at = rows.columns.index(crc)
+    fields = [T.StructField("file_no", T.IntegerType()), T.StructField("bucket", T.IntegerType()), *rows.schema.fields]
 
     def route(batches):
         sent: set[int] = set()
         for t in batches:
-            keys = as_list(encoded(t.column(crc_at).to_numpy().astype(np.uint32), [c for i, c in enumerate(t.columns) if i != crc_at]))
+            keys = as_list(encoded(t.column(0).to_numpy().astype(np.uint32), t.columns[1:]))
             b = np.array([bisect.bisect_right(starts, k) - 1 for k in keys], np.int64)
             many = high[b] - low[b] + 1
             for i in np.flatnonzero(many > 1).tolist():
@@ -321,7 +275,7 @@ def write_sorted(rows: DataFrame, crc: str, folder: str, files: int = 150) -> Da
             row = np.repeat(np.arange(len(b)), many)
             file_no = ranges(low[b], many)
             out = t.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(file_no, pa.int32()), pa.array(b[row], pa.int32()), *out.columns], names=[file_c, bucket_c, *t.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(file_no, pa.int32()), pa.array(b[row], pa.int32()), *out.columns], names=["file_no", "bucket", *t.schema.names])
 
     def write(batches):
         now, file, bucket, held, edge, report = None, None, None, [], [b"", b""], []
@@ -336,11 +290,11 @@ def write_sorted(rows: DataFrame, crc: str, folder: str, files: int = 150) -> Da
             if same[bucket] and high[bucket] > low[bucket]:
                 order = np.zeros(hi - lo, np.int64)
             else:
-                order = counted_order(encoded(t.column(crc).to_numpy().astype(np.uint32), data.columns))[lo - begin : hi - begin]
+                order = counted_order(encoded(t.column("crc").to_numpy().astype(np.uint32), data.columns))[lo - begin : hi - begin]
             for at in range(0, len(order), WRITE_ROWS):
-                file.add(data.take(pa.array(order[at : at + WRITE_ROWS])))
+                file.add(data.take(pa.array(order[at : at + WRITE_ROWS])).rename_columns(names))
             ends = t.take(pa.array(order[[0, -1]]))
-            first, last = as_list(encoded(ends.column(crc).to_numpy().astype(np.uint32), ends.select(columns).columns[:1]))
+            first, last = as_list(encoded(ends.column("crc").to_numpy().astype(np.uint32), ends.select(columns).columns[:1]))
             edge[:] = [edge[0] or first, last]
 
         try:
@@ -355,9 +309,9 @@ def write_sorted(rows: DataFrame, crc: str, folder: str, files: int = 150) -> Da
                             file.close()
                             report.append((now, file.path, *edge, file.n))
                         now, edge = int(f[a]), [b"", b""]
-                        file = FileInWork(f"{folder}/{now:05d}.parquet", pa.schema([t.schema.field(c) for c in columns]))
+                        file = FileInWork(f"{folder}/{now:05d}.parquet", pa.schema([t.schema.field(c).with_name(x) for c, x in zip(columns, names)]))
                     bucket = int(b[a])
-                    held.append(t.slice(a, z - a).select([*columns, crc]))
+                    held.append(t.slice(a, z - a).select([*columns, "crc"]))
             if file:
                 settle()
                 file.close()
@@ -370,7 +324,7 @@ def write_sorted(rows: DataFrame, crc: str, folder: str, files: int = 150) -> Da
 
     last = int(high[-1]) + 1 if len(high) else 1
     parts = min(last, 1 + n // TASK_ROWS)
-    sent_ = rows.mapInArrow(route, T.StructType(fields)).repartitionById(parts, F.floor(F.col(f"`{file_c}`") * parts / last).cast("int")).sortWithinPartitions(F.col(f"`{file_c}`"), F.col(f"`{bucket_c}`"))
+    sent_ = rows.mapInArrow(route, T.StructType(fields)).repartitionById(parts, F.floor(F.col("file_no") * parts / last).cast("int")).sortWithinPartitions("file_no", "bucket")
     return materialize(sent_.mapInArrow(write, "file_no int, path string, first_key binary, last_key binary, n long"))
 
 
@@ -461,9 +415,7 @@ def rewrite(written: DataFrame, victims: DataFrame, name: str, id_col: str, meas
     sent = sent.repartitionById(parts, F.floor(F.col("file_no") * parts / last).cast("int")).sortWithinPartitions("file_no", "id")
     out = materialize(sent.mapInArrow(erase, schema))
     for r in out.filter("old <> ''").select("old").collect():  # all tasks have ended; as many as the layout has files
-        fs, path = place(r["old"])
-        if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
-            fs.delete_file(path)
+        removed(r["old"])
     return out.filter("n_rows > 0").drop("old").withColumn("table_name", F.lit(name))
 
 

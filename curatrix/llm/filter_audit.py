@@ -20,11 +20,9 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize
+from curatrix.llm.common import beside_groups, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Groups with at least 1 in so many rows are hot, so that at most so many are hot.
-HOT_SHARE = 10_000
 
 
 def text_failures(x: Column) -> dict[str, Column]:
@@ -44,33 +42,17 @@ def mask_of(failures: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(failures)])
 
 
-def smaller_copy(rows: DataFrame, hash_col: str = "h", doc_id: str = "doc_id") -> DataFrame:
-    """rows (a table that can be read again) with `copy`: a row of the same hash has a smaller doc_id.
-
-    Smallest ids combine on the map side. The few hashes with a ten-thousandth of
-    all rows or more, at most 10,000 by that bound, are broadcast to their rows;
-    the others meet in a join whose keys are small by the same bound.
-    """
-    total = rows.count()
-    groups = rows.groupBy(F.col(hash_col).alias("h_")).agg(F.min(doc_id).alias("first_"), F.count(F.lit(1)).alias("n_"))
-    groups = materialize(groups.filter("n_ > 1"))
-    hot = groups.filter(F.col("n_") * HOT_SHARE >= total).select("h_", "first_")
-    rest = groups.filter(F.col("n_") * HOT_SHARE < total).select("h_", "first_")
-    same = F.col(hash_col) == F.col("h_")
-    found = rows.join(F.broadcast(hot), same).unionByName(rows.join(F.broadcast(hot), same, "left_anti").join(rest, same, "left"), allowMissingColumns=True)
-    return found.withColumn("copy", F.coalesce(F.col(doc_id) > F.col("first_"), F.lit(False))).drop("h_", "first_")
-
-
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, good, toxic) of every document: bits 0 to 4 are the failures A to E."""
     x = F.coalesce(F.col("text"), F.lit(""))
     thin = docs.select(F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("part"), F.unhex(F.sha2(x.cast("binary"), 256)).alias("h"), mask_of(list(text_failures(x).values())).alias("mask"))
-    thin = smaller_copy(materialize(thin))
+    thin = beside_groups(materialize(thin), "h", F.min("doc_id").alias("least_id"))
+    copy = F.coalesce(F.col("doc_id") > F.col("least_id"), F.lit(False))
     # Rows without an id meet no label; they are spread by their text instead of meeting in one task.
     spread = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("h", "part"), F.lit(1 << 20))).otherwise(0)
     marks = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")).withColumn("spread_", F.lit(0).cast("long"))
     out = thin.withColumn("spread", spread.cast("long")).join(marks, (F.col("doc_id") == F.col("l_")) & (F.col("spread") == F.col("spread_")), "left")
-    mask = F.col("mask").bitwiseOR(F.when(F.col("copy"), 16).otherwise(0))
+    mask = F.col("mask").bitwiseOR(F.when(copy, 16).otherwise(0))
     return out.select("part", mask.alias("mask"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, ctw, decontam, erasure, filter_audit, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
+from curatrix.llm import ann_ads, ctw, decontam, erasure, filter_audit, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr, warc_index
 from curatrix.llm.common import read
 
 
@@ -56,6 +56,11 @@ def op12_erasure_rewrite(spark, sf_dir):
     return erasure.cascade(spark, *[read(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")])
 
 
+def op13_warc_index(spark, sf_dir):
+    found = warc_index.archive_and_index(spark, read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position", "url_key", "capture_no", "captured_at", "archive", "offset", "length")
+
+
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
     "op2_ads_neighbours": op2_ads_neighbours,
@@ -69,4 +74,5 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
     "op12_erasure_rewrite": op12_erasure_rewrite,
+    "op13_warc_index": op13_warc_index,
 }

@@ -413,7 +413,7 @@ def test_paragraphs(spark, groups, none):
     sets = {(i, j): shingle_set(p, 5) for i, t, *_ in groups for j, p in enumerate((t or "").split("\n")) if len(WORD.findall(p)) >= 20}
     want = components_of(sets, 80)
     size = collections.Counter(want.values())
-    out = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in got(paragraph_minhash.clusters(df))}
+    out = {(r["doc_id"], r["place"]): (r["kept_doc_id"], r["kept_place"]) for r in got(paragraph_minhash.clusters(df)) if r["kind"] == "line"}
     assert out == {k: v for k, v in want.items() if size[v] > 1}
     assert got(paragraph_minhash.clusters(none)) == []
     bands, rows_ = paragraph_minhash.tuned(0.8)
