@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from curatrix.functions import logits as L
 from curatrix.functions import parse as P
 from curatrix.functions import text as X
-from curatrix.operators import audit, frequency, relational, sampling, stats, validators, vectors
+from curatrix.operators import audit, frequency, relational, sampling, stats, validators, vector_index, vectors
+from curatrix.operators.written import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -439,17 +440,41 @@ def noise_reassign(spark, d):
     return vectors.without_noise(x, "vec_id").select("vec_id", "cluster")
 
 
+def vector_store(spark, d):
+    return vector_index.VectorIndex.create(vecs(spark, d), new_folder(spark), "vec_id", "v")
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM v), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim > 0.4""")
 def vector_neardup(spark, d):
-    r = vectors.near_pairs(vecs(spark, d), "vec_id", threshold=0.4, bits=0)
-    return r.withColumn("sim", F.round("sim", 6))
+    return vector_store(spark, d).near_pairs(0.4).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM v),
+ p AS (SELECT b.vec_id, list(a.vec_id) AS before FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) > 0.4 GROUP BY b.vec_id),
+ n AS MATERIALIZED (SELECT u.vec_id, row_number() OVER (ORDER BY u.vec_id) AS i, coalesce(before, []) AS before FROM u LEFT JOIN p ON p.vec_id = u.vec_id),
+ g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT n.i, CASE WHEN len(list_intersect(kept, before)) > 0 THEN kept ELSE list_append(kept, vec_id) END FROM g JOIN n ON n.i = g.i + 1)
+ SELECT unnest(kept) AS vec_id FROM g WHERE i = (SELECT max(i) FROM n)""")
 def vector_greedy_dedup(spark, d):
+    return vector_store(spark, d).deduplicated(0.4).withColumnRenamed("key", "vec_id")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM v),
+ p AS (SELECT a.vec_id AS query, b.vec_id AS key, round(list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])), 9) AS sim FROM u a JOIN u b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, key) AS rank FROM p) SELECT query, rank::INT AS rank, key, sim FROM r WHERE rank <= 10""")
+def vector_topk(spark, d):
+    """The 10 nearest of every hundredth row among all, exactly: bounds on angles tell which lists of the kept index may hold them."""
+    x = vecs(spark, d)
+    return vector_store(spark, d).search(x.filter("vec_id % 100 = 0"), 10, "vec_id", "v", exact=True)
+
+
+@query("SELECT vec_id AS key, CASE WHEN vec_id % 3 = 0 THEN 1 WHEN vec_id % 3 = 1 THEN 2 ELSE 3 END AS batch FROM embeddings")
+def vector_append(spark, d):
+    """The rows of an index that was made from a third of them and got the others in two batches, the last with rows that it had."""
     x = vecs(spark, d)
-    pairs = vectors.near_pairs(x, "vec_id", threshold=0.4, bits=0)
-    return vectors.greedy_kept(x.select("vec_id"), pairs, "vec_id")
+    index = vector_index.VectorIndex.create(x.filter("vec_id % 3 = 0"), new_folder(spark), "vec_id", "v")
+    index.add(x.filter("vec_id % 3 = 1"), "vec_id", "v")
+    index.add(x, "vec_id", "v")
+    return index.rows().select("key", F.col("batch").cast("int").alias("batch"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[^\p{L}\p{N}]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term != '' GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),

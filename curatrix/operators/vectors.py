@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
 from curatrix.functions.logits import dot, doubles, square_distance, unit
+from curatrix.operators.graph import dropped_in_order
 from curatrix.operators.sampling import uniform_sample
+from curatrix.operators.written import cut
 
 #: Most rows that bounded algorithms take on one machine (a documented parameter of theirs).
 BOUNDED = 5_000
@@ -125,44 +127,8 @@ def near_pairs(df: DataFrame, key: str, vec: str = "v", threshold: float = 0.95,
 
 
 def greedy_kept(ids: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """The keys that stay if rows are taken in order of key and one similar to a kept earlier row goes (a fixed point, not components).
-
-    Pairs are a < b. Rounds go on until none drops a key; a chain of n rows that
-    are each like the next takes n / 2.
-    """
-    open_ = cut(pairs.select("a", "b").distinct())
-    state = ids.select(F.col(key).alias("k"))
-    dropped = []
-    while True:
-        # Kept for sure: no undecided earlier neighbour.
-        sure = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
-        gone = cut(open_.join(sure, "a", "left_semi").select(F.col("b").alias("k")).distinct())
-        if not gone.take(1):
-            break
-        dropped.append(gone)
-        open_ = cut(open_.join(gone.withColumnRenamed("k", "a"), "a", "left_anti").join(gone.withColumnRenamed("k", "b"), "b", "left_anti"))
-        if len(dropped) == 20:
-            dropped = [cut(reduce(DataFrame.unionByName, dropped))]
-    if not dropped:
-        return state.withColumnRenamed("k", key)
-    return state.join(reduce(DataFrame.unionByName, dropped), "k", "left_anti").withColumnRenamed("k", key)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session; a folder of this machine only where all of Spark is in one process."""
-    import re
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/curatrix/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The keys that stay if rows are taken in order of key and one similar to a kept earlier row goes (a fixed point, not components); pairs are a < b."""
+    return ids.join(dropped_in_order(pairs).withColumnRenamed("k", key), key, "left_anti")
 
 
 def kmeans(df: DataFrame, key: str, k: int, vec: str = "v", seed: int = 42) -> DataFrame:
