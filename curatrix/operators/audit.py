@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curatrix.operators.frequency import quantiles, ranked
+
 
 def label_issues(df: DataFrame, key: str, label: str = "label", probs: str = "probs", classes: int = 2) -> DataFrame:
     """(key, label, guess, quality_score, is_issue) by confident learning (Northcutt, Jiang and Chuang 2021).
@@ -29,9 +31,10 @@ def label_issues(df: DataFrame, key: str, label: str = "label", probs: str = "pr
     wrong = joint.filter("y <> j")
     per_class = wrong.groupBy("y").agg(F.round(F.sum("est")).cast("long").alias("n_class")).withColumnRenamed("y", "y_")
     per_pair = wrong.select(F.col("y").alias("i"), F.col("j").alias("to"), F.round("est").cast("long").alias("n_pair"))
-    low = t.join(F.broadcast(per_class), F.col("y") == F.col("y_")).withColumn("r", F.row_number().over(W.partitionBy("y").orderBy("own", "k"))).filter("r <= n_class").select("k")
-    pairs = t.join(F.broadcast(per_pair), F.col("y") == F.col("i")).withColumn("margin", F.get("p", F.col("to")) - F.col("own"))
-    far = pairs.withColumn("r", F.row_number().over(W.partitionBy("y", "to").orderBy(F.desc("margin"), "k"))).filter("r <= n_pair").select("k").distinct()
+    # Places in a class or a pair of classes come from range-partitioned order, so no class is sorted in one task.
+    low = ranked(t.join(F.broadcast(per_class), F.col("y") == F.col("y_")), "y", [F.col("own"), F.col("k")], "r").filter("r <= n_class").select("k")
+    pairs = t.join(F.broadcast(per_pair), F.col("y") == F.col("i")).withColumn("margin", F.get("p", F.col("to")) - F.col("own")).withColumn("pair", F.struct("y", "to"))
+    far = ranked(pairs, "pair", [-F.col("margin"), F.col("k")], "r").filter("r <= n_pair").select("k").distinct()
     issue = low.join(far, "k").select("k", F.lit(True).alias("hit"))
     out = t.join(issue, "k", "left")
     return out.select(F.col("k").alias(key), F.col("y").alias("label"), F.col("top").alias("guess"), F.col("own").alias("quality_score"), (F.coalesce("hit", F.lit(False)) & (F.col("top") != F.col("y"))).alias("is_issue"))
@@ -48,7 +51,9 @@ def compare_reports(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFram
 def energy_thresholds(df: DataFrame, energy: str = "energy") -> DataFrame:
     """(name, low, high): quantile pairs conservative, moderate and aggressive, and mean - 1 with mean + 2 and + 3 deviations."""
     e = F.col(energy)
-    q = df.agg(F.percentile(e, F.array(*map(F.lit, (0.10, 0.99, 0.25, 0.95, 0.50, 0.90)))).alias("q"), F.avg(e).alias("m"), F.stddev_pop(e).alias("s"))
+    probs = {f"q{i}": p for i, p in enumerate((0.10, 0.99, 0.25, 0.95, 0.50, 0.90))}
+    some = df.agg(F.avg(e).alias("m"), F.stddev_pop(e).alias("s"))
+    q = some.join(F.broadcast(quantiles(df, [], energy, probs, empty=True))).withColumn("q", F.array(*probs))  # one row
     rows = [("conservative", F.col("q")[0], F.col("q")[1]), ("moderate", F.col("q")[2], F.col("q")[3]), ("aggressive", F.col("q")[4], F.col("q")[5]), ("std_2", F.col("m") - F.col("s"), F.col("m") + 2 * F.col("s")), ("std_3", F.col("m") - F.col("s"), F.col("m") + 3 * F.col("s"))]
     return q.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), lo.alias("low"), hi.alias("high")) for n, lo, hi in rows])).alias("r")).select("r.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,9 +49,10 @@ def frequency_report(freq: DataFrame) -> DataFrame:
     count = lambda c: F.count(F.when(c, 1))
     out = freq.agg(
         F.coalesce(F.sum(f), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n_unique"), F.min(f).alias("min_frequency"), F.max(f).alias("max_frequency"),
-        F.avg(f).alias("mean_frequency"), F.percentile(f, 0.5).alias("median_frequency"), F.stddev_pop(f).alias("std_frequency"),
+        F.avg(f).alias("mean_frequency"), F.stddev_pop(f).alias("std_frequency"),
         count(f >= 10).alias("n_high"), count((f >= 2) & (f < 10)).alias("n_middle"), count(f < 2).alias("n_low"),
     )
+    out = out.join(F.broadcast(quantiles(freq, [], "frequency", {"median_frequency": 0.5}, empty=True)))  # one row
     ratio = F.col("n_unique") / F.col("total")
     advice = F.when(ratio < 0.5, "sqrt").when(ratio < 0.8, "log").otherwise("linear")
     return out.withColumn("unique_ratio", ratio).withColumn("smoothing_advice", advice).withColumn("cap_advised", F.col("max_frequency") > 100)
@@ -73,6 +74,54 @@ def running_total(df: DataFrame, order: list[str], amount: str | None = None, na
     return out.withColumn(name, F.col("b_") + F.col("r_")).drop("p_", "q_", "r_", "b_")
 
 
+def ranked(df: DataFrame, group: str, order: list[Column], name: str = "rank_") -> DataFrame:
+    """df plus the place of each row in its group (from 1, nulls are a group) by `order`, whose columns tell all rows apart.
+
+    Rows are range-partitioned by group and order, so a group of any size spreads
+    over many tasks; places inside a task's part are moved by the counts of the
+    parts before it, a table of one row for each group and part.
+    """
+    keys = {f"o{i}_": c for i, c in enumerate(order)}
+    t = df.withColumns(keys).withColumn("g_", F.col(f"`{group}`"))
+    placed = t.repartitionByRange("g_", *keys).withColumn("p_", F.spark_partition_id())
+    inside = placed.withColumn("inside_", F.row_number().over(W.partitionBy("p_", "g_").orderBy(*keys)))
+    parts = placed.groupBy("p_", "g_").agg(F.count(F.lit(1)).alias("rows_"))
+    earlier = F.coalesce(F.sum("rows_").over(W.partitionBy("g_").orderBy("p_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("p_").alias("q_"), F.col("g_").alias("h_"), earlier.alias("earlier_"))
+    out = inside.join(parts, (F.col("p_") == F.col("q_")) & F.col("g_").eqNullSafe(F.col("h_")))
+    return out.withColumn(name, F.col("earlier_") + F.col("inside_")).drop("p_", "g_", "inside_", "q_", "h_", "earlier_", *keys)
+
+
+def quantiles(df: DataFrame, groups: list[str], col: str, probs: dict[str, float], empty: bool = False) -> DataFrame:
+    """Exact quantiles by linear interpolation, one row for each group: (groups, a column for each name of probs); nulls are left out.
+
+    Values are counted first, on the map side; the counts are range-partitioned by
+    group and value, running totals tell which value stands at a rank, and the
+    values at the two ranks around a quantile are picked by sums that combine. No
+    task holds the values of a group. Groups without a value have no row; with
+    empty=True and no groups, a table without values gives a row of nulls.
+    """
+    key = F.struct(*[F.col(f"`{g}`") for g in groups]) if groups else F.struct(F.lit(0))
+    v = df.select(key.alias("g_"), F.col(f"`{col}`").cast("double").alias("x_")).filter("x_ IS NOT NULL").groupBy("g_", "x_").agg(F.count(F.lit(1)).alias("m_"))
+    total = v.groupBy("g_").agg(F.sum("m_").alias("n_"))
+    placed = running_total(v, ["g_", "x_"], "m_", "before_")
+    first = placed.groupBy("g_").agg(F.min("before_").alias("start_"))
+    sizes = total.join(first, "g_").withColumnRenamed("g_", "h_")
+    t = placed.join(sizes, F.col("g_") == F.col("h_")).withColumn("at_", F.col("before_") - F.col("start_"))
+    picks, out = [], []
+    for i, (name, p) in enumerate(probs.items()):
+        place = (F.col("n_") - 1) * F.lit(float(p))
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when((F.col("at_") <= rank) & (rank < F.col("at_") + F.col("m_")), F.col("x_"))).alias(f"{side}{i}_"))
+        lo, hi, place = F.col(f"lo{i}_"), F.col(f"hi{i}_"), (F.col("n_") - 1) * F.lit(float(p))
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(name))
+    got = t.groupBy("g_").agg(F.max("n_").alias("n_"), *picks).select(*[F.col("g_").getField(g).alias(g) for g in groups], *out)
+    if empty and not groups:
+        one = df.sparkSession.range(1).select(F.lit(0).alias("one_"))
+        got = one.join(got.withColumn("two_", F.lit(0)), F.col("one_") == F.col("two_"), "left").drop("one_", "two_")
+    return got
+
+
 def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """df plus chunk_id: consecutive chunks of `size` rows in the given order."""
     return running_total(df, order, None, "c_").withColumn("chunk_id", F.floor(F.col("c_") / size).cast("long")).drop("c_")

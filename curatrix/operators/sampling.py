@@ -3,9 +3,9 @@
 u(key) is uniform in (0, 1); an order by -ln(u) / w is a weighted sample without
 replacement (Efraimidis and Spirakis 2006), and any prefix of that order is one.
 Where only a quota of a stratum is wanted, ranks are taken in salted parts first,
-and global draws use orderBy().limit(), so no stratum is sorted as a whole in one
-task. The samplers that fill up from what is left of all strata (simple_stratified,
-diversity_sample, cluster_balanced_top) still rank a whole stratum in one task.
+and global draws use orderBy().limit(). The samplers that fill up from what is left
+of all strata rank keys, without the other columns, in a range-partitioned order,
+so no stratum is sorted in one task; rows are met by key at the end. Keys are unique.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.operators.frequency import running_total, smoothed
+from curatrix.operators.frequency import ranked, running_total, smoothed
+from curatrix.operators.written import cut
 
 #: Parts that a stratum is ranked in first.
 SALTS = 16
@@ -106,23 +107,25 @@ def simple_stratified(df: DataFrame, n: int, n_clusters: int, stratum: str, key:
     total = sizes.agg(F.sum("size").alias("total"))
     sizes = sizes.join(F.broadcast(total))
     goal = F.lit(n // n_clusters) if strategy == "balanced" else F.floor(F.lit(n) * F.col("size") / F.col("total"))
-    ranked = df.join(sizes.select("s_", F.least(goal, F.col("size")).alias("quota")), df[stratum].eqNullSafe(F.col("s_")))
-    ranked = ranked.withColumn("r_", F.row_number().over(W.partitionBy("s_").orderBy(draw_key(key, seed), key)))
-    ranked = ranked.withColumn("in_", F.col("r_") <= F.col("quota")).drop("r_", "s_", "quota")
-    got = ranked.agg(F.sum(F.col("in_").cast("int")).alias("got"), F.count(F.lit(1)).alias("all")).collect()[0]
+    placed = ranked(df.select(stratum, key), stratum, [draw_key(key, seed), F.col(key)], "r_")
+    placed = placed.join(sizes.select("s_", F.least(goal, F.col("size")).alias("quota")), F.col(stratum).eqNullSafe(F.col("s_"))).withColumn("in_", F.col("r_") <= F.col("quota"))
+    placed = cut(placed.select(key, "in_"))
+    got = placed.agg(F.sum(F.col("in_").cast("int")).alias("got"), F.count(F.lit(1)).alias("all")).collect()[0]
     missing = n - (got["got"] or 0)
     fill = missing if 0 < missing <= got["all"] - (got["got"] or 0) else 0
-    extra = ranked.filter(~F.col("in_")).orderBy(draw_key(key, seed), key).limit(fill)
-    return ranked.filter("in_").unionByName(extra).drop("in_").orderBy(draw_key(key, seed), key).limit(n)
+    extra = placed.filter(~F.col("in_")).orderBy(draw_key(key, seed), key).limit(fill)
+    chosen = placed.filter("in_").unionByName(extra).orderBy(draw_key(key, seed), key).limit(n)
+    return df.join(chosen.select(key), key, "left_semi").select(*df.columns)
 
 
 def diversity_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int = 42) -> DataFrame:
     """max(1, n // k) rows of each stratum, filled up at random, n at most."""
     k = df.select(stratum).distinct().count() or 1
     each = max(1, n // k)
-    ranked = df.withColumn("r_", F.row_number().over(W.partitionBy(stratum).orderBy(draw_key(key, seed), key)))
+    placed = ranked(df.select(stratum, key), stratum, [draw_key(key, seed), F.col(key)], "r_")
     # Rows within the quota first, all in draw order.
-    return ranked.orderBy((F.col("r_") > each).cast("int"), draw_key(key, seed), key).limit(n).drop("r_")
+    chosen = placed.orderBy((F.col("r_") > each).cast("int"), draw_key(key, seed), key).limit(n)
+    return df.join(chosen.select(key), key, "left_semi").select(*df.columns)
 
 
 def frequency_aware_sample(freq: DataFrame, n: int, key: str, ratio: float = 0.8, smoothing: str = "sqrt", stratum: str | None = None, seed: int = 42) -> DataFrame:
@@ -142,11 +145,11 @@ def cluster_balanced_top(df: DataFrame, n: int, cluster: str, score: str, key: s
     if rescale:
         over = F.sum("quota").over(every)
         quota = quota.withColumn("o_", over).withColumn("quota", F.when(F.col("o_") > n, F.greatest(F.lit(floor), F.floor(F.col("quota") * F.lit(n) / F.col("o_")))).otherwise(F.col("quota")).cast("long"))
-    joined = df.join(quota.select("s_", "quota"), df[cluster].eqNullSafe(F.col("s_")))
-    ranked = joined.withColumn("r_", F.row_number().over(W.partitionBy("s_").orderBy(F.desc(score), F.col(key))))
+    placed = ranked(df.select(cluster, score, key), cluster, [-F.col(score).cast("double"), F.col(key)], "r_")
+    placed = placed.join(quota.select("s_", "quota"), F.col(cluster).eqNullSafe(F.col("s_")))
     late = (F.col("r_") > F.col("quota")).cast("int")
     order = [late, F.when(late == 0, F.col(cluster)), F.when(late == 0, F.col("r_")), F.desc(score), F.col(key)]
-    return ranked.orderBy(*order).limit(n).drop("r_", "s_", "quota")
+    return df.join(placed.orderBy(*order).limit(n).select(key), key, "left_semi").select(*df.columns)
 
 
 def ratio_sample(df: DataFrame, n: int, label: str, key: str, seed: int = 42) -> DataFrame:

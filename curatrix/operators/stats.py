@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.operators.frequency import running_total
+from curatrix.operators.frequency import quantiles, running_total
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -35,14 +35,17 @@ def coverage(sample: DataFrame, full: DataFrame, col: str) -> DataFrame:
 
 def score_stats(df: DataFrame, col: str) -> DataFrame:
     x = F.col(col)
-    return df.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), *(F.percentile(x, p).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))))
+    some = df.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    return some.join(F.broadcast(quantiles(df, [], col, {"q25": 0.25, "median": 0.5, "q75": 0.75}, empty=True)))  # one row
 
 
 def quantile_profile(df: DataFrame, label: str, col: str) -> DataFrame:
     """count, mean, deviation, extremes and quantiles of a column for each label."""
     x = F.col(col)
     qs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    return df.groupBy(label).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *(F.percentile(x, p).alias(n) for n, p in qs.items()))
+    some = df.groupBy(label).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df, [label], col, qs).withColumnRenamed(label, "l_")
+    return some.join(q, F.col(label).eqNullSafe(F.col("l_")), "left").drop("l_")
 
 
 def integrity(df: DataFrame, text: str) -> DataFrame:
@@ -142,7 +145,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, label: str, col: str) -> DataFrame:
     """Quartiles and whisker ends (furthest values within 1.5 interquartile ranges) for each class."""
     x = F.col(col).cast("double")
-    q = df.groupBy(F.col(label).alias("l_")).agg(*(F.percentile(x, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
-    t = df.join(F.broadcast(q), F.col(label).eqNullSafe(F.col("l_")))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return t.groupBy(F.col("l_").alias("label")).agg(F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(x >= F.col("q1") - reach, x)).alias("low"), F.max(F.when(x <= F.col("q3") + reach, x)).alias("high"))
+    q = quantiles(df, [label], col, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed(label, "l_")
+    # Whisker ends need each distinct value once, so equal values are one row in the join.
+    values = df.groupBy(F.col(label).alias("label"), x.alias("x_")).agg(F.count(F.lit(1)).alias("m_"))
+    t = values.join(q, F.col("label").eqNullSafe(F.col("l_")), "left")
+    reach, v = 1.5 * (F.col("q3") - F.col("q1")), F.col("x_")
+    return t.groupBy("label").agg(*[F.max(c).alias(c) for c in ("q1", "median", "q3")], F.min(F.when(v >= F.col("q1") - reach, v)).alias("low"), F.max(F.when(v <= F.col("q3") + reach, v)).alias("high"))
