@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import normal_key
+from curatrix.operators.frequency import running_total
 from curatrix.operators.sampling import _within, draw_key, ratio_sample
 
 # Fixed value: file name of questions that no file has.
@@ -42,11 +42,17 @@ def common_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b.select(*a.columns))
 
 
+def _keyed(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df plus the key form of a text, without rows whose key is empty. The key is made once for each row: Spark doesn't push filters and join keys below explode, where they would repeat it."""
+    keys = F.filter(F.array(normal_key(F.col(text))), lambda k: k != "")
+    return df.select("*", F.explode(keys).alias(name))
+
+
 def locate(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """Where each question (seq, question) stands in sources (file, file_ord, row_no, question, answer): all matches by normalised text, or one row of NOT_FOUND."""
-    q = questions.withColumn("k_", normal_key(F.col("question"))).filter("k_ != ''")
-    s = sources.select(normal_key(F.col("question")).alias("sk_"), "file", "file_ord", "row_no", F.col("question").alias("found_question"), F.col("answer").alias("found_answer"))
-    out = q.join(s.filter("sk_ != ''"), F.col("k_") == F.col("sk_"), "left")
+    q = _keyed(questions, "question", "k_")
+    s = _keyed(sources, "question", "sk_").select("sk_", "file", "file_ord", "row_no", F.col("question").alias("found_question"), F.col("answer").alias("found_answer"))
+    out = q.join(s, F.col("k_") == F.col("sk_"), "left")
     return out.select("seq", "question", F.coalesce("file", F.lit(NOT_FOUND)).alias("file"), "file_ord", "row_no", "found_question", "found_answer")
 
 
@@ -56,15 +62,14 @@ def conflicts(qa: DataFrame, question: str = "question", answer: str = "answer",
     One row for each answer: group_no (rank of the question), n_answers, question
     and answer as first met, all sources in order, and the number of rows.
     """
-    t = qa.withColumn("q_", normal_key(F.col(question))).withColumn("a_", normal_key(F.col(answer))).filter("q_ != ''")
-    per = t.groupBy("q_", "a_").agg(
-        F.min_by(question, order).alias("question"), F.min_by(answer, order).alias("answer"), F.count(F.lit(1)).alias("n_rows"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, source))), lambda x: x[source]), ", ").alias("sources"),
-    )
-    many = per.groupBy("q_").agg(F.count(F.lit(1)).alias("n_answers")).filter("n_answers > 1")
-    # The questions in conflict are few; their numbers come from a window over that small table.
-    many = many.withColumn("group_no", F.dense_rank().over(W.orderBy("q_")))
-    return per.join(many, "q_").select("group_no", "n_answers", "question", "answer", "sources", "n_rows")
+    t = _keyed(qa, question, "qk_").withColumn("ak_", F.explode(F.array(normal_key(F.col(answer)))))
+    per = t.groupBy("qk_", "ak_").agg(F.min_by(question, order).alias("question"), F.min_by(answer, order).alias("answer"), F.count(F.lit(1)).alias("n_rows"))
+    many = per.groupBy("qk_").agg(F.count(F.lit(1)).alias("n_answers")).filter("n_answers > 1")
+    # Numbers come from a range-partitioned order of the questions in conflict.
+    many = running_total(many, ["qk_"], None, "before_").select("qk_", "n_answers", (F.col("before_") + 1).alias("group_no"))
+    # Sources are gathered for answers in conflict only.
+    said = t.join(many.select("qk_"), "qk_", "left_semi").groupBy("qk_", "ak_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, source))), lambda x: x[source]), ", ").alias("sources"))
+    return per.join(many, "qk_").join(said, ["qk_", "ak_"]).select("group_no", "n_answers", "question", "answer", "sources", "n_rows")
 
 
 def annotator_conflicts(responses: DataFrame) -> DataFrame:

@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.functions.logits import doubles
 from curatrix.operators.graph import dropped_in_order
 from curatrix.operators.sampling import uniform_sample
 from curatrix.operators.written import cut
@@ -48,14 +47,25 @@ DIGITS = 9
 SLACK = 1e-6
 
 
-def usable(df: DataFrame, key: str, vec: str, dims: int | None = None) -> DataFrame:
-    """(key, v): unit vectors of the rows that take part."""
-    v = doubles(F.col(f"`{vec}`"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    t = df.select(F.col(f"`{key}`").alias("key"), v.alias("v"), norm.alias("norm")).filter("key IS NOT NULL AND norm > 0 AND norm < double('Infinity')")
-    if dims is not None:
-        t = t.filter(F.size("v") == dims)
-    return t.select("key", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+def usable(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
+    """(key, v): unit vectors of the rows that take part, in Arrow batches (array functions of columns are interpreted, element by element)."""
+
+    def run(batches):
+        for t in batches:
+            v = t.column(1)
+            t = t.filter(pc.and_(t.column(0).is_valid(), pc.fill_null(pc.equal(pc.list_value_length(v), dims), False)))
+            flat = t.column(1).flatten()
+            x = flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dims)
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+                u = x / norm[:, None]
+            keep = np.isfinite(norm) & (norm > 0)
+            u = np.ascontiguousarray(u[keep])
+            offsets = pa.array(np.arange(len(u) + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep)), pa.ListArray.from_arrays(offsets, pa.array(u.ravel()))], names=["key", "v"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vec}`").alias("v")).mapInArrow(run, f"key {kind}, v array<double>")
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -103,13 +113,13 @@ class VectorIndex:
 
     @classmethod
     def create(cls, df: DataFrame, path: str, key: str, vec: str, lists: int | None = None, seed: int = 42) -> VectorIndex:
-        """A new index at path with df as its first batch. Its vectors have the length that the row of the smallest key has, or 1 if no row takes part."""
+        """A new index at path with df as its first batch. Its vectors have the length of the first that is not empty, by key; 1, if there is none."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         spark = df.sparkSession
-        first = usable(df, key, vec).orderBy("key").limit(1).collect()
-        dims = len(first[0]["v"]) if first else 1
+        size = F.size(F.col(f"`{vec}`"))
+        dims = df.filter((size > 0) & F.col(f"`{key}`").isNotNull()).agg(F.min_by(size, F.col(f"`{key}`"))).first()[0] or 1
         rows = usable(df, key, vec, dims)
         n = rows.count()
         lists = max(1, min(lists or math.isqrt(n), CENTRE_BYTES // (8 * dims), SAMPLE // 4, n))
@@ -118,7 +128,7 @@ class VectorIndex:
             model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample.select(array_to_vector("v").alias("features")))
             centres = [c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()]
         else:
-            centres = [np.array(first[0]["v"] if first else [1.0])]
+            centres = [np.eye(1, dims)[0]]
         table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "list int, centre array<double>")
         table.coalesce(1).write.parquet(f"{path.rstrip('/')}/centres")
         index = cls(spark, path)
@@ -181,7 +191,8 @@ class VectorIndex:
 
     def _met(self, asked: DataFrame, score, schema: str) -> DataFrame:
         """score(query block, block) over all pairs of asked blocks (q_list, q_keys, q_vectors) and index blocks of one list."""
-        pairs = self.blocks().select("list", "keys", "vectors").join(asked, "list")
+        # Never broadcast: asked blocks are many more bytes than the queries they come from, by which Spark would judge.
+        pairs = self.blocks().select("list", "keys", "vectors").hint("merge").join(asked, "list")
 
         def run(batches):
             for t in batches:
