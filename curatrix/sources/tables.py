@@ -12,15 +12,21 @@ import glob
 import io
 import os
 import re
+import time
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from curatrix.sources import ranges
+
 # Encodings that are tried, in order.
 ENCODINGS = ("utf-8-sig", "gbk", "gb18030", "gb2312", "latin1")
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -43,22 +49,6 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", errors="ignore")
 
 
-def encoding_of(path: str, size: int = 1 << 20) -> str:
-    """The encoding of a file's first bytes, cut at a line feed."""
-    with open(path.removeprefix("file://"), "rb") as f:
-        head = f.read(size)
-    head = head[: head.rfind(b"\n") + 1] or head
-    return next(e for e in ENCODINGS if _fits(head, e))
-
-
-def _fits(raw: bytes, encoding: str) -> bool:
-    try:
-        raw.decode(encoding)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 class TolerantCsv(DataSource):
     """format('tolerant_csv'): options path, sep (sniffed if absent), long_rows 'cut' or 'drop'. Short rows are padded with '' ('cut') or null ('drop')."""
 
@@ -219,8 +209,14 @@ def register(spark: SparkSession) -> None:
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", limit: int | None = None) -> DataFrame:
     """Plain CSV with a header: UTF-8 with or without a mark, quoted line feeds; limit keeps the first rows in file order."""
-    df = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    return read_large_csv(spark, path, sep, long_rows="drop", limit=limit).drop("row_no", "source_file")
+
+
+def read_large_csv(spark: SparkSession, path: str, sep: str | None = None, long_rows: str = "cut", limit: int | None = None, size: int = ranges.RANGE_BYTES) -> DataFrame:
+    """Tolerant CSV whose files are read by several tasks each, in ranges of `size` bytes; see ranges.read_ranges."""
+    return ranges.read_ranges(spark, files_of(path), ENCODINGS, sep, long_rows, size, limit)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -234,9 +230,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if ext == "xlsx":
         return spark.read.format("xlsx").load(path)
     if ext == "csv":
-        if "://" in path and not path.startswith("file://") or encoding_of(files_of(path)[0]) == "utf-8-sig":
+        if "://" in path and not path.startswith("file://") or set(ranges.encodings(spark, files_of(path), ENCODINGS).values()) == {"utf-8-sig"}:
             return read_csv(spark, path)
-        return spark.read.format("tolerant_csv").load(path)
+        return read_large_csv(spark, path)
     raise ValueError(f"unknown kind of file {path}")
 
 
@@ -256,7 +252,7 @@ def read_many(spark: SparkSession, paths: list[str], required: tuple[str, ...] =
         for f in found:
             try:
                 df = read_table(spark, f)
-            except Exception as e:  # an unreadable file is skipped, as stated
+            except (OSError, ValueError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError, PySparkException) as e:  # an unreadable file is skipped, as stated
                 warnings.warn(f"{f} can't be read: {str(e)[:200]}", stacklevel=2)
                 continue
             if set(required) - set(df.columns):
@@ -299,23 +295,40 @@ def export_dated(df: DataFrame, base: str, workspace: str, day: str, fmt: str =
     return path
 
 
-def scored_by_model(df: DataFrame, client, text: str = "text", tries: int = 3) -> DataFrame:
-    """df plus response: an injected client (text -> JSON text) called in the tasks, retried, null after `tries` failures."""
-    import pandas as pd
-    from pyspark.sql import types as T
+def scored_by_model(df: DataFrame, client, text: str = "text", tries: int = 3, wait: float = 0.5, at_once: int = 4, answers: str | None = None) -> DataFrame:
+    """df plus response: an injected client (text -> JSON text) called in the tasks, null after `tries` failures; equal texts are asked once.
+
+    Between tries a task waits `wait` seconds, twice as long each time; it has at_once
+    calls in flight. With a folder of answers, what was answered is kept there under
+    the SHA-256 of the text, and a later run asks only for what is missing.
+    """
+    from curatrix.operators.written import cut
 
-    schema = T.StructType([*df.schema.fields, T.StructField("response", T.StringType())])
+    h = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    asked = df.select(h.alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("x")).groupBy("h").agg(F.first("x").alias("x"))
+    known = None
+    if answers and os.path.exists(answers.removeprefix("file:")):
+        known = df.sparkSession.read.schema("h string, response string").parquet(answers)
+        asked = asked.join(known, "h", "left_anti")
 
     def ask(x):
-        for _ in range(tries):
+        for k in range(tries):
             try:
                 return client(x)
             except Exception:  # the client's own errors; the row gets null in the end
-                continue
+                if k + 1 < tries:
+                    time.sleep(wait * 2**k)
         return None
 
-    def run(parts):
-        for p in parts:
-            yield p.assign(response=pd.Series([ask(x) for x in p[text]], index=p.index, dtype=object))
-
-    return df.mapInPandas(run, schema)
+    def run(batches):
+        with ThreadPoolExecutor(at_once) as pool:
+            for t in batches:
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(list(pool.map(ask, t.column(1).to_pylist())), pa.string())], names=["h", "response"])
+
+    new = cut(asked.mapInArrow(run, "h string, response string"))  # the client is asked once, whatever reads the result
+    if answers:
+        new.filter("response IS NOT NULL").write.mode("append").parquet(answers)
+    got = new if known is None else new.unionByName(known)
+    key, value = ("h_", "response_")
+    got = got.select(F.col("h").alias(key), F.col("response").alias(value))
+    return df.join(got, h == F.col(key), "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col(value).alias("response"))
