@@ -489,10 +489,16 @@ def tfidf(spark, d):
     return vectors.tfidf(t(spark, d, "documents"), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""WITH x AS (SELECT vec_id AS k, (label % 3)::INT AS y, list_transform(z, lambda v: exp(v - l)) AS p FROM (SELECT *, {_LSE} AS l FROM (SELECT vec_id, label, {_LOGITS} AS z FROM embeddings))),
+ o AS (SELECT *, p[y + 1] AS own, (list_position(p, list_max(p)) - 1)::INT AS top FROM x), m AS (SELECT y, avg(own) AS t, count(*) AS n FROM o GROUP BY y),
+ c AS (SELECT k, arg_max(m.y, struct_pack(a := p[m.y + 1], b := -m.y)) AS j FROM o, m WHERE p[m.y + 1] >= t GROUP BY k),
+ joint AS (SELECT o.y, j, count(*) AS c, sum(count(*)) OVER (PARTITION BY o.y) AS r FROM o JOIN c USING (k) GROUP BY o.y, j), est AS (SELECT joint.y, j, c / r * n AS e FROM joint JOIN m ON m.y = joint.y WHERE joint.y != j),
+ low AS (SELECT k FROM (SELECT k, n_class, row_number() OVER (PARTITION BY o.y ORDER BY own, k) AS r FROM o JOIN (SELECT y, round(sum(e)) AS n_class FROM est GROUP BY y) q ON q.y = o.y) WHERE r <= n_class),
+ far AS (SELECT DISTINCT k FROM (SELECT k, round(e) AS n_pair, row_number() OVER (PARTITION BY o.y, j ORDER BY p[j + 1] - own DESC, k) AS r FROM o JOIN est ON est.y = o.y) WHERE r <= n_pair)
+ SELECT k AS vec_id, y AS label, top AS guess, round(own, 9) AS quality_score, k IN (FROM low) AND k IN (FROM far) AND top != y AS is_issue FROM o""")
 def label_issues(spark, d):
     x = logits_table(spark, d).select("vec_id", (F.col("label") % 3).alias("label"), L.softmax(F.col("z")).alias("probs"))
-    return audit.label_issues(x, "vec_id", classes=3)
+    return audit.label_issues(x, "vec_id", classes=3).withColumn("quality_score", F.round("quality_score", 9))
 
 
 @query()
@@ -686,3 +692,55 @@ def per_source_counts(spark, d):
 def ood_detection(spark, d):
     x = logits_table(spark, d)
     return audit.ood_detection(x, x, "z").select("vec_id", F.round("energy", 9).alias("energy"), "detected")
+
+
+_JOINED = "SELECT s.sale_id, coalesce(s.client_id::VARCHAR, 'nan') AS sale_client, s.status, c.client_id AS client, c.segment FROM sales s {how} JOIN clients c ON coalesce(s.client_id::VARCHAR, 'nan') = c.client_id::VARCHAR"
+
+
+def _sales_with_clients(spark, d, how: str) -> DataFrame:
+    """Sales beside the clients that they name, by the text of the id; ids of null or unknown clients are on one side only."""
+    sales = t(spark, d, "sales").select("sale_id", F.col("client_id").alias("key"), "status")
+    clients = t(spark, d, "clients").select(F.col("client_id").alias("key"), F.col("client_id").alias("client"), "segment")
+    out = relational.join_on(sales, clients, "key", how)
+    return out.select("sale_id", F.when(F.col("sale_id").isNotNull(), F.col("key")).alias("sale_client"), "status", "client", "segment")
+
+
+@query(_JOINED.format(how=""))
+def join_inner(spark, d):
+    return _sales_with_clients(spark, d, "inner")
+
+
+@query(_JOINED.format(how="RIGHT").replace("coalesce(s.client_id::VARCHAR, 'nan') AS", "CASE WHEN s.sale_id IS NOT NULL THEN coalesce(s.client_id::VARCHAR, 'nan') END AS"))
+def join_right(spark, d):
+    return _sales_with_clients(spark, d, "right")
+
+
+@query(_JOINED.format(how="FULL").replace("coalesce(s.client_id::VARCHAR, 'nan') AS", "CASE WHEN s.sale_id IS NOT NULL THEN coalesce(s.client_id::VARCHAR, 'nan') END AS"))
+def join_outer(spark, d):
+    return _sales_with_clients(spark, d, "full")
+
+
+@query("SELECT client_id, segment FROM clients WHERE client_id NOT IN (SELECT client_id FROM sales WHERE client_id IS NOT NULL)")
+def anti_join_clients(spark, d):
+    return relational.exclude(t(spark, d, "clients"), t(spark, d, "sales"), "client_id").select("client_id", "segment")
+
+
+@query("""WITH c AS (SELECT msg, ord FROM (SELECT text AS msg, doc_id AS ord, count(*) OVER (PARTITION BY text) AS f FROM documents) WHERE f <= 1), u AS (SELECT text AS msg, conv_id * 1000 + turn AS ord FROM conversations UNION ALL SELECT text, item_id FROM benchmark UNION ALL SELECT msg, ord FROM c)
+ SELECT msg, min(ord) AS ord FROM u WHERE msg IS NULL OR msg NOT IN (SELECT text FROM conversations WHERE role = 'system' AND text IS NOT NULL) GROUP BY msg""")
+def merge_filter_tables(spark, d):
+    conv = t(spark, d, "conversations").select(F.col("text").alias("msg"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "role")
+    items = t(spark, d, "benchmark").select(F.col("text").alias("msg"), F.col("item_id").cast("long").alias("ord"))
+    f = t(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("frequency"), F.min("doc_id").alias("ord")).select(F.col("text").alias("msg"), "ord", "frequency")
+    return relational.merge_and_filter(conv.select("msg", "ord"), items, f, conv.filter("role = 'system'")).select("msg", "ord")
+
+
+@query(f"WITH e AS (SELECT vec_id, (label % 3)::BIGINT AS label, {_LOGITS} AS z FROM embeddings) SELECT label, round(-{_LSE}, 9) AS x, round(exp(list_max(z) - {_LSE}), 9) AS y FROM e")
+def scatter_pairs(spark, d):
+    x = logits_table(spark, d).withColumn("label", (F.col("label") % 3).cast("long")).withColumn("e", F.round(L.energy(F.col("z")), 9)).withColumn("c", F.round(F.array_max(L.softmax(F.col("z"))), 9))
+    return stats.scatter_pairs(x, "e", "c", "label")
+
+
+@query()
+def clustering_comparison(spark, d):
+    """Evaluation of each clustering method on all vectors, and which one the largest silhouette recommends."""
+    return vectors.compare_methods(vecs(spark, d).drop("cluster"), "vec_id", ["kmeans", "agglomerative", "hybrid"], 5)

@@ -151,3 +151,9 @@ def box_stats(df: DataFrame, label: str, col: str) -> DataFrame:
     t = values.join(q, F.col("label").eqNullSafe(F.col("l_")), "left")
     reach, v = 1.5 * (F.col("q3") - F.col("q1")), F.col("x_")
     return t.groupBy("label").agg(*[F.max(c).alias(c) for c in ("q1", "median", "q3")], F.min(F.when(v >= F.col("q1") - reach, v)).alias("low"), F.max(F.when(v <= F.col("q3") + reach, v)).alias("high"))
+
+
+def scatter_pairs(df: DataFrame, x: str, y: str, label: str | None = None) -> DataFrame:
+    """(label, x, y): the points of a scatter chart; rows without both values have none."""
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return points.select(*([F.col(label).alias("label")] if label else []), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

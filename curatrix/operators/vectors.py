@@ -522,7 +522,7 @@ def cluster_evaluation(df: DataFrame, key: str, cluster: str = "cluster", vec: s
 
 
 def compare_methods(df: DataFrame, key: str, methods: list[str], k: int, vec: str = "v") -> DataFrame:
-    """One row of cluster_evaluation for each method, with its time in seconds."""
+    """One row of cluster_evaluation for each method, with its time in seconds; recommended is the first of the largest silhouette."""
     import time
 
     rows = []
@@ -530,7 +530,10 @@ def compare_methods(df: DataFrame, key: str, methods: list[str], k: int, vec: st
         began = time.time()
         labels = cut(fit_predict(df, key, m, k, vec))
         rows.append(cluster_evaluation(df.join(labels, key), key, "cluster", vec).withColumns({"method": F.lit(m), "seconds": F.lit(time.time() - began)}))
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    out = cut(reduce(lambda a, b: a.unionByName(b), rows))
+    order = F.create_map(*[x for i, m in enumerate(methods) for x in (F.lit(m), F.lit(i))])
+    best = out.orderBy(F.desc("silhouette"), order[F.col("method")]).limit(1).select(F.col("method").alias("best_"))  # a row for each method
+    return out.join(F.broadcast(best)).withColumn("recommended", F.col("method") == F.col("best_")).drop("best_")
 
 
 def hashed_ngrams(df: DataFrame, text: str = "text", dims: int = 256, n: int = 2) -> DataFrame:

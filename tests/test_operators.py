@@ -290,3 +290,12 @@ def test_tfidf_classifier(spark):
     df = spark.createDataFrame([("good film", 1.0), ("bad film", 0.0)] * 10, "text string, label double")
     m = vectors.text_classifier(df)
     assert m.transform(df).filter("prediction = label").count() == 20
+
+
+def test_comparison_recommends_the_largest_silhouette(spark, sf):
+    from curatrix import catalog
+
+    out = {r["method"]: r for r in catalog.clustering_comparison(spark, sf).collect()}
+    assert set(out) == {"kmeans", "agglomerative", "hybrid"}
+    best = max(out.values(), key=lambda r: r["silhouette"])["silhouette"]
+    assert [r["silhouette"] for r in out.values() if r["recommended"]] == [best]
