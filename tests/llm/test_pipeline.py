@@ -43,3 +43,16 @@ def test_mix_matches_sql(spark, duck, sf):
     key = lambda r: str([round(x, 6) if isinstance(x, float) else x for x in r])
     got = sorted(map(key, queries.QUERIES["op6_pareto_mix"](spark, sf).collect()))
     assert got == sorted(map(key, duck.execute(oracles.ORACLES["op6_pareto_mix"]).fetchall()))
+
+
+def test_stages_take_any_columns(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    wide = docs.withColumns({"b.c": F.col("doc_id"), "a map": F.create_map(F.lit("k"), F.create_map(F.lit("x"), F.col("doc_id"))), "d`e": F.array(F.create_map(F.lit(1), F.lit(2))), "size": F.lit("s"), "copies": F.lit(7)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf)
+        assert out.columns[: len(wide.columns)] == wide.columns, name
+        got = out.select("doc_id", F.col("`b.c`").alias("x"), F.col("`a map`").alias("m"), F.col("`d``e`").alias("d"), "size", "copies").collect()
+        assert got and all((r.x, r.m, r.d, r["size"], r.copies) == (r.doc_id, {"k": {"x": r.doc_id}}, [{1: 2}], "s", 7) for r in got), name
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect()), name
