@@ -12,7 +12,7 @@ list that the bound of the triangle inequality for angles does not rule out: a r
 of list L is at least angle(q, centre) - radius(L) from q. near_pairs uses that bound,
 and the one that follows from y being nearer to its own centre, so that it finds all
 pairs over a threshold; on vectors without structure, or at a low threshold, the bounds
-rule little out and the work is that of all pairs, spread over the lists.
+rule little out and the work is that of all pairs, spread over pairs of groups of rows.
 
 **Cases.** Rows with a null key, and vectors that are null, empty, zero, of another
 length or hold nulls or non-finite values, take no part. A key that the index has is not
@@ -23,6 +23,7 @@ Scores rank by their first 9 digits, ties to the smaller key.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SAMPLE = 20_000
 CENTRE_BYTES = 32 << 20
 #: Vectors of a block.
 BLOCK = 1_024
+#: Rows of a group that one task compares with another.
+GROUP_ROWS = 8_000
 #: Digits by which scores rank.
 DIGITS = 9
 #: Angles are trusted to so much.
@@ -266,11 +269,30 @@ class VectorIndex:
         want = cut(self.search(queries, k, key, vec, probes, exact=True).select("query", "key"))
         return want.join(got, ["query", "key"], "left_semi").count() / max(1, want.count())
 
+    def groups(self, rows: int = GROUP_ROWS) -> tuple[np.ndarray, np.ndarray]:
+        """(first group, number of groups) of each list: neighbouring small lists share a group of some `rows` rows, large ones have several."""
+        sizes = np.zeros(len(self.centres), np.int64)
+        for r in self.blocks().groupBy("list").agg(F.sum("n").alias("n")).collect():  # a row for each list
+            sizes[r["list"]] = r["n"]
+        first, many, group, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+        for i in np.argsort(-(self.centres @ self.centres[0]), kind="stable").tolist():
+            if held and held + sizes[i] > rows:
+                group, held = group + 1, 0
+            first[i], many[i] = group, max(1, -(-sizes[i] // rows))
+            group, held = (group + int(many[i]), 0) if many[i] > 1 else (group, held + int(sizes[i]))
+        return first, many
+
     def near_pairs(self, threshold: float = 0.95) -> DataFrame:
-        """(a, b, sim): all pairs a < b of cosine over the threshold."""
+        """(a, b, sim): all pairs a < b of cosine over the threshold.
+
+        A row goes to the pairs of its own group of rows and each other group that the
+        bounds leave; a pair of groups, some 2 * GROUP_ROWS rows, is compared by one task.
+        """
         kind, centres, dims, radii = dict(self.rows().dtypes)["key"], self.centres, self.dims, self.radii()
         reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
-        lists = np.arange(len(centres))
+        first, many = self.groups()
+        member = [np.arange(f, f + m) for f, m in zip(first, many)]
+        total = int((first + many).max())
 
         def route(batches):
             for t in batches:
@@ -278,28 +300,37 @@ class VectorIndex:
                     u = from_bytes(raw, dims)
                     angle = np.arccos(np.clip(u @ centres.T, -1, 1))
                     # y is within reach of x, within radii of its centre, and no further from it than from x's own.
-                    may = (angle <= reach + np.minimum(radii[None], reach + angle[:, [home]])) & (lists > home)
+                    may = angle <= reach + np.minimum(radii[None], reach + angle[:, [home]])
                     may[:, home] = True
+                    to = np.zeros((len(u), total), bool)
                     for other in np.flatnonzero(may.any(0)).tolist():
-                        at = np.flatnonzero(may[:, other])
-                        k = keys.values.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([pa.array([other], pa.int32()), pa.array([home], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), k), pa.array([u[at].tobytes()], pa.binary())], names=["list", "home", "q_keys", "q_vectors"])
-
-        def score(t):
-            q_keys, keys = t.column("q_keys")[0].values, t.column("keys")[0].values
-            sim = from_bytes(t.column("q_vectors")[0].as_py(), dims) @ from_bytes(t.column("vectors")[0].as_py(), dims).T
-            i, j = np.nonzero(sim > threshold)
-            a, b = q_keys.take(pa.array(i)), keys.take(pa.array(j))
-            less, more = pc.less(a, b), pc.greater(a, b)
-            if t.column("home")[0].as_py() == t.column("list")[0].as_py():
-                keep = less  # both blocks of a list ask each other
-                return pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(sim[i, j]).filter(keep)], names=["a", "b", "sim"])
-            keep = pc.or_(less, more)
-            low, high = pc.if_else(less, a, b), pc.if_else(less, b, a)
-            return pa.RecordBatch.from_arrays([low.filter(keep), high.filter(keep), pa.array(sim[i, j]).filter(keep)], names=["a", "b", "sim"])
-
-        asked = self.blocks().select("list", "keys", "vectors").mapInArrow(route, f"list int, home int, q_keys array<{kind}>, q_vectors binary")
-        return self._met(asked, score, f"a {kind}, b {kind}, sim double")
+                        to[:, member[other]] |= may[:, [other]]
+                    # A list of several groups is dealt by hash; which part a row is in only has to be the same for its own side.
+                    own = first[home] + np.array([zlib.crc32(str(k).encode()) for k in keys.values.to_pylist()]) % many[home]
+                    row, group = np.nonzero(to)
+                    low, high = np.minimum(own[row], group), np.maximum(own[row], group)
+                    for lo in range(0, len(row), 8_192):
+                        at = slice(lo, lo + 8_192)
+                        yield pa.RecordBatch.from_arrays([pa.array(low[at], pa.int32()), pa.array(high[at], pa.int32()), pa.array(own[row[at]], pa.int32()), keys.values.take(pa.array(row[at])), pa.array([u[i].tobytes() for i in row[at].tolist()], pa.binary())], names=["low", "high", "side", "key", "u"])
+
+        def compare(t: pa.Table) -> pa.Table:
+            low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+            side = t.column("side").to_numpy()
+            keys = t.column("key").combine_chunks()
+            u = np.frombuffer(b"".join(t.column("u").to_pylist())).reshape(-1, dims)
+            left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+            found = []
+            for lo in range(0, len(left), BLOCK):
+                sim = u[left[lo : lo + BLOCK]] @ u[right].T
+                i, j = np.nonzero(sim > threshold)
+                a, b = keys.take(pa.array(left[lo + i])), keys.take(pa.array(right[j]))
+                less = pc.less(a, b)
+                keep = less if low == high else pc.not_equal(a, b)  # a group meets itself in both directions
+                found.append(pa.table({"a": pc.if_else(less, a, b).filter(keep), "b": pc.if_else(less, b, a).filter(keep), "sim": pa.array(sim[i, j]).filter(keep)}))
+            return pa.concat_tables(found) if found else pa.table({"a": keys[:0], "b": keys[:0], "sim": pa.array([], pa.float64())})
+
+        sent = self.blocks().select("list", "keys", "vectors").mapInArrow(route, f"low int, high int, side int, key {kind}, u binary")
+        return sent.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
 
     def deduplicated(self, threshold: float = 0.95) -> DataFrame:
         """(key): the rows that stay if rows are taken in order of key and each that stays drops the later ones more similar than the threshold."""

@@ -57,8 +57,10 @@ def test_recall_with_few_probes(spark, table, index, sf):
     assert own.recall(given, 10, "vec_id", "embedding", probes=int(0.8 * len(own.centres))) >= 0.9
 
 
-@pytest.mark.parametrize("threshold", [0.97, 0.5, -0.2])
-def test_near_pairs_are_all_pairs(table, index, threshold):
+@pytest.mark.parametrize("threshold, rows", [(0.97, 8_000), (0.97, 20), (0.5, 100), (-0.2, 50)])
+def test_near_pairs_are_all_pairs(table, index, monkeypatch, threshold, rows):
+    """Also with groups of few rows, where copies fill several groups."""
+    monkeypatch.setattr(VectorIndex.groups, "__defaults__", (rows,))
     x, _ = table
     s = cosines(x)
     want = {(f"k{i:04d}", f"k{j:04d}") for i, j in zip(*np.nonzero(np.triu(s > threshold, 1)))}
