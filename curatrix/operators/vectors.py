@@ -243,7 +243,6 @@ def spanning_edges(df: DataFrame, key: str, vec: str = "v", min_samples: int = 5
     last bounds the row's next one from below. Of edges of one height any may be taken.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # of blocks
     parts = max(1, -(-df.count() // block))
 
     def pack_rows(batches):
