@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.text import normal_key
 from curatrix.operators.frequency import running_total
 from curatrix.operators.sampling import _within, draw_key, ratio_sample
+from curatrix.operators.written import cut
 
 # Fixed value: file name of questions that no file has.
 NOT_FOUND = "未找到"
@@ -62,14 +63,17 @@ def conflicts(qa: DataFrame, question: str = "question", answer: str = "answer",
     One row for each answer: group_no (rank of the question), n_answers, question
     and answer as first met, all sources in order, and the number of rows.
     """
-    t = _keyed(qa, question, "qk_").withColumn("ak_", F.explode(F.array(normal_key(F.col(answer)))))
-    per = t.groupBy("qk_", "ak_").agg(F.min_by(question, order).alias("question"), F.min_by(answer, order).alias("answer"), F.count(F.lit(1)).alias("n_rows"))
-    many = per.groupBy("qk_").agg(F.count(F.lit(1)).alias("n_answers")).filter("n_answers > 1")
+    digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
+    t = _keyed(qa, question, "qk_").withColumn("ak_", F.explode(F.array(normal_key(F.col(answer))))).withColumns({"hq_": digest("qk_"), "ha_": digest("ak_")})
+    # Questions in conflict are found by hashes alone; only their rows go on with texts.
+    pairs = t.groupBy("hq_", "ha_").agg(F.count(F.lit(1)).alias("n_rows"))
+    many = cut(pairs.groupBy("hq_").agg(F.count(F.lit(1)).alias("n_answers")).filter("n_answers > 1"))
+    rows = cut(t.join(many, "hq_").drop("ak_"))
+    sources = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, source))), lambda x: x[source]), ", ")
+    per = rows.groupBy("hq_", "ha_").agg(F.min_by(question, order).alias("question"), F.min_by(answer, order).alias("answer"), F.count(F.lit(1)).alias("n_rows"), F.max("n_answers").alias("n_answers"), sources.alias("sources"))
     # Numbers come from a range-partitioned order of the questions in conflict.
-    many = running_total(many, ["qk_"], None, "before_").select("qk_", "n_answers", (F.col("before_") + 1).alias("group_no"))
-    # Sources are gathered for answers in conflict only.
-    said = t.join(many.select("qk_"), "qk_", "left_semi").groupBy("qk_", "ak_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, source))), lambda x: x[source]), ", ").alias("sources"))
-    return per.join(many, "qk_").join(said, ["qk_", "ak_"]).select("group_no", "n_answers", "question", "answer", "sources", "n_rows")
+    numbers = running_total(rows.groupBy("hq_").agg(F.first("qk_").alias("qk_")), ["qk_"], None, "before_").select("hq_", (F.col("before_") + 1).alias("group_no"))
+    return per.join(numbers, "hq_").select("group_no", "n_answers", "question", "answer", "sources", "n_rows")
 
 
 def annotator_conflicts(responses: DataFrame) -> DataFrame:
