@@ -1,24 +1,31 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
 Every source has a target number of words. A source whose target is m times its
-words gives every document floor(m) certain whole copies. What is left, a share
-f = m - floor(m) of the source, is a fixed-size sample drawn by Pareto order
-sampling: a document with the uniform number u and the inclusion probability p
-gets the rank value (u / (1 - u)) / (p / (1 - p)), and the documents of the
+words gives every document floor(m) certain whole copies. What is left, R words of
+the source's S, is a fixed-size sample with unequal probabilities, drawn by Pareto
+order sampling: a document with the uniform number u and the inclusion probability
+p gets the rank value (u / (1 - u)) / (p / (1 - p)), and the documents of the
 smallest rank values are taken until the words of the source reach its target.
-p is f for every document of a source, or f scaled by an optional weight column.
-The size of the sample is fixed in words: the document at the cut is taken if
-that brings the source nearer to its target.
 
-The cut is found without sorting a source in one task: rank values are counted
-in bins (partial sums before the shuffle), a running sum over the bins of a
-source finds the bin of the cut, and only the documents of that one bin are
-sorted.
+p is min(1, c * x), where x is the document's size, or its weight if a weight
+column is given, to two digits, and c makes the expected words of the sample, the
+sum of p * size, equal to R. Documents at p = 1 are certain and leave the draw; c
+is then that of the others. As x has at most 90 values in each power of ten, c and
+the least certain x follow from words counted by source and x.
+
+The size of the sample is fixed in words: the document at the cut is taken if
+that brings the source nearer to its target. The cut is found without sorting a
+source in one task: rank values are counted in BINS bins (partial sums before the
+shuffle), those of the bin of the cut in BINS finer ones, and only the documents
+of that last bin, one of BINS * BINS, are sorted.
 
 Defined results: null or blank texts have size 0 and are never taken; a null
-source is a source of its own, last in order; repeated rows are separate
-documents; ties in rank value break by doc_id, size and text hash; an empty
-table gives an empty table.
+source is a source of its own, last in order; a null, NaN or negative weight is
+one of 0, and such documents are taken only where all others don't reach the
+target; repeated rows are separate documents; ties in rank value break by doc_id,
+size and text hash; very long texts are counted whole, and are taken whole or
+not; an empty table gives an empty table; columns of the input keep their names,
+and added ones get underscores where they clash.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from curatrix.llm.common import fresh, materialize, packed, unpacked
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Bins of the rank value for each source, and copies of its targets in joins.
+#: Bins of the rank value for each source (BINS finer ones in each), and copies of its targets in joins.
 BINS, SALTS = 4096, 64
 
 
@@ -70,17 +77,60 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
 ADDED = ["m_size", "m_source_size", "m_target", "m_copies", "m_taken"]
 
 
+def two_digits(size, weight=None):
+    """What inclusion probabilities go with: the size, or the weight (0 if it is null, NaN or negative), to two digits."""
+    if weight is None:
+        return (size - size % F.pow(F.lit(10.0), F.greatest(F.length(size.cast("string")) - 2, F.lit(0))).cast("long")).cast("double")
+    w = F.least(F.greatest(weight.cast("double"), F.lit(1e-100)), F.lit(1e100))
+    step = F.pow(F.lit(10.0), F.floor(F.log10(w)) - 1)
+    return F.when(weight.isNull() | F.isnan(weight.cast("double")) | (weight <= 0), 0.0).otherwise(F.round(w / step) * step)
+
+
 def measured(docs: DataFrame, seed: str, weight_col: str | None) -> DataFrame:
     """(d: all columns of docs; doc_id, m_source, m_size, m_u, m_h, m_x)."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORDS)).cast("long")
-    return docs.select(packed(docs.columns), "doc_id", F.col("source").alias("m_source"), size.alias("m_size"), uniform(F.col("doc_id"), seed).alias("m_u"), F.xxhash64("text").alias("m_h"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("m_x"))
+    weight = F.col(f"`{weight_col}`").alias("m_w") if weight_col else F.lit(None).alias("m_w")
+    out = docs.select(packed(docs.columns), "doc_id", F.col("source").alias("m_source"), size.alias("m_size"), uniform(F.col("doc_id"), seed).alias("m_u"), F.xxhash64("text").alias("m_h"), weight)
+    return out.withColumn("m_x", two_digits(F.col("m_size"), F.col("m_w") if weight_col else None)).drop("m_w")
+
+
+def odds(light: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets plus m_c, m_top and m_sure: p is m_c * x up to x = m_top, documents above are certain and hold m_sure words.
+
+    Classes of x are taken from the largest down: the first whose p stays under 1,
+    with all larger ones certain, sets c.
+    """
+    classes = light.filter((F.col("m_size") > 0) & (F.col("m_x") > 0)).groupBy("m_source", "m_x").agg(F.sum("m_size").alias("words"))
+    goal = targets.select(F.col("m_source").alias("g_source"), "m_rest")
+    classes = classes.join(goal, classes["m_source"].eqNullSafe(goal["g_source"])).drop("g_source")
+    upto = W.partitionBy("m_source").orderBy("m_x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    above = F.sum("words").over(W.partitionBy("m_source")) - F.sum("words").over(upto)
+    classes = classes.withColumn("above", above).withColumn("c", (F.col("m_rest") - F.col("above")) / F.sum(F.col("m_x") * F.col("words")).over(upto))
+    fits = F.col("c") * F.col("m_x") < 1
+    pick = lambda v: F.max_by(v, F.when(fits, F.col("m_x")))
+    none = F.count(F.when(fits, 1)) == 0
+    fit = classes.groupBy(F.col("m_source").alias("g_source")).agg(
+        F.when(none, 0.0).otherwise(pick("c")).alias("m_c"),
+        F.when(none, 0.0).otherwise(pick("m_x")).alias("m_top"),
+        F.when(none, F.sum("words")).otherwise(pick("above")).alias("m_sure"),
+    )
+    return targets.join(fit, targets["m_source"].eqNullSafe(fit["g_source"]), "left").drop("g_source").fillna(0, ["m_c", "m_top", "m_sure"])
 
 
 def ranked(d: DataFrame) -> DataFrame:
-    p = F.least(F.greatest(F.col("m_f") * F.col("m_x"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    p = F.least(F.greatest(F.col("m_c") * F.col("m_x"), F.lit(1e-12)), F.lit(1 - 1e-12))
     rank = (F.col("m_u") / (1 - F.col("m_u"))) / (p / (1 - p))
-    binned = F.floor(rank / (1 + rank) * F.lit(BINS)).cast("int")
-    return d.withColumn("m_rank", rank).withColumn("m_bin", F.least(binned, F.lit(BINS - 1)))
+    binned = F.floor(rank / (1 + rank) * F.lit(float(BINS * BINS))).cast("long")
+    return d.withColumn("m_certain", F.col("m_x") > F.col("m_top")).withColumn("m_rank", rank).withColumn("m_bin", F.least(binned, F.lit(BINS * BINS - 1)))
+
+
+def cut_bin(rows: DataFrame, key) -> DataFrame:
+    """(c_source, c_bin, c_left): for each source the bin (key) in which its words reach m_left, and what is left for that bin."""
+    bins = rows.groupBy("m_source", key.alias("bin")).agg(F.sum("m_size").alias("words"), F.first("m_left").alias("m_left"))
+    upto = W.partitionBy("m_source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bins = bins.withColumn("upto", F.sum("words").over(upto))
+    bins = bins.filter((F.col("upto") >= F.col("m_left")) & (F.col("upto") - F.col("words") < F.col("m_left")))
+    return bins.select(F.col("m_source").alias("c_source"), F.col("bin").alias("c_bin"), (F.col("m_left") - F.col("upto") + F.col("words")).alias("c_left"))
 
 
 def with_targets(d: DataFrame, t: DataFrame) -> DataFrame:
@@ -95,15 +145,16 @@ def planned(light: DataFrame, share: float, cap: float, weights: tuple[float, ..
     sizes = light.groupBy("m_source").agg(F.sum("m_size").alias("source_size"))
     targets = source_targets(sizes, share, cap, weights)
     targets = targets.withColumn("m_m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    targets = targets.withColumn("m_whole", F.floor("m_m").cast("long")).withColumn("m_f", F.col("m_m") - F.col("m_whole"))
+    targets = targets.withColumn("m_whole", F.floor("m_m").cast("long"))
     targets = targets.withColumn("m_rest", F.col("target") - F.col("m_whole") * F.col("source_size"))
-    binned = ranked(with_targets(light, targets))
-    bins = binned.groupBy("m_source", "m_bin").agg(F.sum("m_size").alias("words"), F.first("m_rest").alias("m_rest"))
-    up_to = W.partitionBy("m_source").orderBy("m_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bins = bins.withColumn("upto", F.sum("words").over(up_to))
-    bins = bins.filter((F.col("upto") >= F.col("m_rest")) & (F.col("upto") - F.col("words") < F.col("m_rest")))
-    cut = bins.select(F.col("m_source").alias("c_source"), F.col("m_bin").alias("c_bin"), (F.col("m_rest") - F.col("upto") + F.col("words")).alias("c_left"))
-    edge = binned.join(cut, binned["m_source"].eqNullSafe(cut["c_source"]) & (F.col("m_bin") == F.col("c_bin")))
+    targets = odds(light, targets).withColumn("m_left", F.col("m_rest") - F.col("m_sure"))
+    drawn = ranked(with_targets(light, targets)).filter(~F.col("m_certain") & (F.col("m_size") > 0))
+    wide = F.floor(F.col("m_bin") / BINS).cast("long")
+    first = cut_bin(drawn, wide)
+    inside = drawn.withColumn("m_wide", wide).join(first, F.col("m_source").eqNullSafe(F.col("c_source")) & (F.col("m_wide") == F.col("c_bin")))
+    inside = inside.withColumn("m_left", F.col("c_left")).drop("c_source", "c_bin", "c_left", "m_wide")
+    cut = cut_bin(inside, F.col("m_bin"))
+    edge = inside.join(cut, inside["m_source"].eqNullSafe(cut["c_source"]) & (F.col("m_bin") == F.col("c_bin")))
     order = [F.col("m_rank"), F.col("doc_id"), F.col("m_size"), F.col("m_h")]
     run = F.sum("m_size").over(W.partitionBy("c_source").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     edge = edge.withColumn("before", F.coalesce(run, F.lit(0)))
@@ -118,7 +169,7 @@ def applied(table: DataFrame, plan: DataFrame, keep: list) -> DataFrame:
     """The columns `keep` and those of ADDED, for a table of `measured`."""
     out = ranked(with_targets(table, plan))
     key = F.struct("m_rank", "doc_id", "m_size", "m_h")
-    taken = F.when(F.col("c_bin").isNull(), False).when(F.col("m_bin") < F.col("c_bin"), True)
+    taken = F.when(F.col("m_certain"), True).when(F.col("c_bin").isNull(), False).when(F.col("m_bin") < F.col("c_bin"), True)
     taken = taken.when(F.col("m_bin") > F.col("c_bin"), False).otherwise(F.coalesce(key <= F.col("l_key"), F.lit(False)))
     copies = F.when(F.col("m_size") == 0, 0).otherwise(F.coalesce(F.col("m_whole"), F.lit(0)) + taken.cast("long")).cast("long")
     out = out.withColumn("m_copies", copies)

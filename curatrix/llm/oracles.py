@@ -1,10 +1,11 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 MIX_BODY = r"""
-sized AS (
+counted AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM docs),
+sized AS (SELECT *, (size - size % (10 ** greatest(length(size::VARCHAR) - 2, 0))::BIGINT)::DOUBLE AS x FROM counted),
 per_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (
   SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
@@ -19,14 +20,23 @@ targets AS (
 shares AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS m FROM targets),
 parts AS (SELECT *, floor(m)::BIGINT AS whole, m - floor(m) AS f, target - floor(m) * source_size AS rest FROM shares),
-ranked AS (
-  SELECT s.*, p.source_size, p.target, p.whole, p.rest,
-         (u / (1 - u)) / (least(greatest(f, 1e-12), 1 - 1e-12) / (1 - least(greatest(f, 1e-12), 1 - 1e-12))) AS rnk
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
+classes AS (
+  SELECT source, x, sum(size)::BIGINT AS words FROM sized WHERE size > 0 GROUP BY source, x),
+sums AS (
+  SELECT c.source, x, words, sum(words) OVER (PARTITION BY c.source) - sum(words) OVER (PARTITION BY c.source ORDER BY x) AS above, rest,
+         sum(x * words) OVER (PARTITION BY c.source ORDER BY x) AS xs FROM classes c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source),
+scaled AS (SELECT *, (rest - above) / xs AS c FROM sums),
+odds AS (
+  SELECT source, coalesce(max(x) FILTER (WHERE c * x < 1), 0.0) AS top, coalesce(arg_max(c, x) FILTER (WHERE c * x < 1), 0.0) AS c,
+         coalesce(arg_max(above, x) FILTER (WHERE c * x < 1), sum(words)) AS sure FROM scaled GROUP BY source),
+drawn AS (
+  SELECT s.*, p.source_size, p.target, p.whole, rest - sure AS rest, s.x > top AS certain, least(greatest(c * x, 1e-12), 1 - 1e-12) AS p
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN odds o ON s.source IS NOT DISTINCT FROM o.source),
+ranked AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rnk FROM drawn),
 running AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id, size, hash(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked),
+  SELECT *, coalesce(sum(CASE WHEN certain THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rnk, doc_id, size, hash(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked),
 mixed AS (
-  SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + (CASE WHEN before < rest AND 2 * (rest - before) >= size THEN 1 ELSE 0 END) END AS copies FROM running)
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + (CASE WHEN certain OR before < rest AND 2 * (rest - before) >= size THEN 1 ELSE 0 END) END AS copies FROM running)
 """
 
 ORACLES = {

@@ -358,6 +358,44 @@ def test_rows_of_one_id_are_linked_by_their_own_texts(spark):
 # SQL
 
 
+def test_mix_inclusion_odds(spark):
+    """Documents are taken as often as their odds say, and the odds of a source add up to its words."""
+    sizes = [3] * 3000 + [12] * 3000 + [48] * 1500 + [900] * 3
+    docs = spark.createDataFrame([(i, "w " * n, "s", float(n % 7)) for i, n in enumerate(sizes)], "doc_id long, text string, source string, v double")
+    rest = 0.5 * sum(sizes)
+    level, free = 0.0, list(sizes)
+    while True:  # the largest are certain until all others stay under 1
+        c = (rest - sum(sizes) + sum(free)) / sum(x * x for x in free)
+        if c * max(free) < 1:
+            break
+        free = [x for x in free if x < max(free)]
+    taken, rounds = collections.Counter(), 4
+    for seed in range(rounds):
+        out = mix_pareto.mix_report(docs, seed=str(seed)).collect() if seed else mix_pareto.pareto_mix(docs, seed="0", share=0.5).select("doc_id", F.col("m_size").alias("size"), F.col("m_taken").alias("taken")).collect()
+        words = sum(r["taken"] for r in out)
+        assert abs(words - (1.5 if seed else 0.5) * sum(sizes)) <= 450
+        for r in out:
+            taken[r["size"]] += r["taken"] // r["size"] - (1 if seed else 0)
+    for n, m in ((3, 3000), (12, 3000), (48, 1500), (900, 3)):
+        p = min(1.0, c * (n if n != 900 else 900))
+        assert taken[n] / (m * rounds) == pytest.approx(p, abs=max(0.02, 4 * (p * (1 - p) / (m * rounds)) ** 0.5)), n
+
+
+def test_mix_weights(spark):
+    """A weight of 0, null, NaN or less comes last; twice the weight is twice the odds."""
+    nan = float("nan")
+    weights = [1.0] * 2000 + [2.0] * 2000 + [None, nan, 0.0, -1.0] * 100
+    docs = spark.createDataFrame([(i, "a b c d", "s", w) for i, w in enumerate(weights)], "doc_id long, text string, source string, `w.x` double")
+    out = {r["doc_id"]: r["m_copies"] for r in mix_pareto.pareto_mix(docs, share=0.25, weight_col="w.x").collect()}
+    assert sum(out.values()) == 1100 and not any(out[i] for i in range(4000, 4400))
+    one, two = sum(out[i] for i in range(2000)), sum(out[i] for i in range(2000, 4000))
+    assert two / one == pytest.approx(2, rel=0.2)
+    out = {r["doc_id"]: r["m_copies"] for r in mix_pareto.pareto_mix(docs, share=0.95, weight_col="w.x").collect()}
+    assert sum(out.values()) == 4180 and all(out[i] == 1 for i in range(4000))
+    none = docs.withColumn("w.x", F.lit(None).cast("double"))
+    assert sum(r["m_copies"] for r in mix_pareto.pareto_mix(none, share=0.5, weight_col="w.x").collect()) == 2200
+
+
 @pytest.mark.parametrize("name", sorted(set(oracles.ORACLES) - {"op6_pareto_mix"}))
 def test_matches_sql(spark, duck, sf, name):
     want = duck.execute(oracles.ORACLES[name])
