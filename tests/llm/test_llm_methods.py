@@ -100,6 +100,35 @@ def test_neighbours_recall_on_thousands(spark):
     assert len(out) == 100 and hits >= 0.9 * 2000
 
 
+def test_neighbours_on_given_vectors(spark):
+    """On vectors nearly without structure, tests and lists still spare work, and the recall is held."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    out = got(ann_ads.neighbours(table, F.col("vec_id") % 20 == 0))
+    near = collections.defaultdict(set)
+    for r in out:
+        near[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        rest = np.delete(np.arange(len(ids)), q)
+        s = v[rest] @ v[q]
+        true = set(ids[rest[np.lexsort((ids[rest], -s))[:20]]].tolist())
+        hits, total = hits + len(true & near[ids[q]]), total + len(true)
+    assert hits >= 0.9 * total
+    assert out[0]["probed_share"] <= 0.8 and out[0]["spared_share"] >= 0.25
+    assert (1 - out[0]["spared_share"]) * out[0]["probed_share"] <= 0.55 and out[0]["sample_recall"] >= 0.9
+
+
+def test_copies_in_one_list_tie_by_id():
+    v = np.repeat(clustered(40, 12), 50, axis=0)
+    ix = ann_ads.Index(v, float(np.sqrt((v * v).sum(1).max())), 1)
+    order = np.random.default_rng(3).permutation(len(v))
+    rot = np.vstack([ix.rotate(v[i][None], True) for i in order])
+    a, i, s, _ = ann_ads.scan(v[:1], ix.rotate(v[:1], False), np.array([-1]), np.array([np.inf]), order, v[order], rot, 20)
+    assert sorted(order[i].tolist()) == list(range(20))
+
+
 def test_repeated_rows_are_queries_and_candidates(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 12))
