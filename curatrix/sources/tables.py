@@ -17,15 +17,15 @@ import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from curatrix.sources import ranges
+from curatrix.sources.sinks import MarkedCsv, WorkbookWriter, write_csv, write_workbook, write_xlsx  # noqa: F401
 
 # Encodings that are tried, in order.
 ENCODINGS = ("utf-8-sig", "gbk", "gb18030", "gb2312", "latin1")
@@ -120,7 +120,7 @@ def _cells(book: zipfile.ZipFile):
 
 
 class Spreadsheet(DataSource):
-    """format('xlsx'): first sheet with a header row, all columns text, plus row_no (2 for the first data row) and source_file. Writes one sheet for each value of option sheet_col, or a single one."""
+    """format('xlsx'): first sheet with a header row, all columns text, plus row_no (2 for the first data row) and source_file. Writes a workbook a task; see sinks."""
 
     @classmethod
     def name(cls) -> str:
@@ -135,7 +135,7 @@ class Spreadsheet(DataSource):
         return _SheetReader(self.options["path"], len(schema.fields) - 2)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _SheetWriter(self.options["path"], [f.name for f in schema.fields])
+        return WorkbookWriter(self.options, [f.name for f in schema.fields], overwrite)
 
 
 class _SheetReader(DataSourceReader):
@@ -152,59 +152,10 @@ class _SheetReader(DataSourceReader):
                     yield (*row[: self.width], *[None] * (self.width - len(row)), no, os.path.basename(partition.value))
 
 
-class _SheetWriter(DataSourceWriter):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path.removeprefix("file://"), names
-
-    def write(self, iterator):
-        from pyspark import TaskContext
-
-        os.makedirs(self.path, exist_ok=True)
-        rows = [list(map(lambda v: v, r)) for r in iterator]
-        if rows:
-            write_xlsx(f"{self.path}/part-{TaskContext.get().partitionId():05d}.xlsx", {"Sheet1": (self.names, rows)})
-        return WriterCommitMessage()
-
-
-def _letters(n: int) -> str:
-    out = ""
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
-def write_xlsx(path: str, sheets: dict[str, tuple[list[str], list[list]]], widths: bool = True) -> None:
-    """One workbook; sheets: name to (header, rows). Column widths are min(longest + 2, 80)."""
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{NS[1:-1]}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
-        for i, (header, rows) in enumerate(sheets.values(), 1):
-            table = [header, *rows]
-            cols = ""
-            if widths and header:
-                longest = [max((len(str(r[c])) for r in table if r[c] is not None), default=0) for c in range(len(header))]
-                cols = "<cols>" + "".join(f'<col min="{c}" max="{c}" width="{min(w + 2, 80)}" customWidth="1"/>' for c, w in enumerate(longest, 1)) + "</cols>"
-            body = []
-            for r, row in enumerate(table, 1):
-                cells = "".join(f'<c r="{_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(_printable(v))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None)
-                body.append(f'<row r="{r}">{cells}</row>')
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{NS[1:-1]}">{cols}<sheetData>{"".join(body)}</sheetData></worksheet>')
-
-
-def _printable(v) -> str:
-    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TolerantCsv)
     spark.dataSource.register(Spreadsheet)
+    spark.dataSource.register(MarkedCsv)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", limit: int | None = None) -> DataFrame:
@@ -264,10 +215,6 @@ def read_many(spark: SparkSession, paths: list[str], required: tuple[str, ...] =
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=sep, escape='"')
-
-
 def export_csv_file(df: DataFrame, path: str, sep: str = ",") -> None:
     """One local file with a byte order mark, rows streamed through the driver (for reports that a person opens)."""
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
