@@ -13,16 +13,21 @@ INTENT, REFUSED = "寿险意图", "拒识"
 LABEL_NAMES = {"寿险相关": "寿险相关", "拒识": "其他", "其他": "其他"}
 
 
+# Patterns of a product's name and code in a prompt.
+PRODUCT_NAME = r"产品名称[：:]\s*(.+?)\s+产品代码"
+PRODUCT_CODE = r"产品代码[：:]\s*(.+?)$"
+
+
 def or_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
 def product_name(x: Column) -> Column:
-    return or_null(F.regexp_extract(x, r"产品名称[：:]\s*(.+?)\s+产品代码", 1))
+    return or_null(F.regexp_extract(x, PRODUCT_NAME, 1))
 
 
 def product_code(x: Column) -> Column:
-    return or_null(F.trim(F.regexp_extract(x, r"产品代码[：:]\s*(.+?)$", 1)))
+    return or_null(F.trim(F.regexp_extract(x, PRODUCT_CODE, 1)))
 
 
 def embedded_questions(x: Column) -> Column:
