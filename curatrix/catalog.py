@@ -514,6 +514,11 @@ def kmeans(spark, d):
     return vectors.kmeans(vecs(spark, d).drop("cluster"), "vec_id", 5)
 
 
+@query()
+def minibatch_kmeans(spark, d):
+    return vectors.fit_predict(vecs(spark, d).drop("cluster"), "vec_id", "minibatch", 5)
+
+
 @query()
 def agglomerative(spark, d):
     return vectors.agglomerative(vecs(spark, d).drop("cluster"), "vec_id", 5)

@@ -16,6 +16,7 @@ from pyspark.sql.functions import PandasUDFType
 
 from curatrix.functions.logits import dot, doubles, square_distance, unit
 from curatrix.operators.graph import dropped_in_order
+from curatrix.operators.minibatch import minibatch_kmeans
 from curatrix.operators.sampling import uniform_sample
 from curatrix.operators.written import cut
 
@@ -494,9 +495,11 @@ def refined(df: DataFrame, key: str, k: int, vec: str = "v", seed: int = 42) ->
 
 
 def fit_predict(df: DataFrame, key: str, method: str = "kmeans", k: int = 10, vec: str = "v", seed: int = 42, **options) -> DataFrame:
-    """(key, cluster) by method: kmeans, hdbscan (noise moved to the nearest cluster), agglomerative or hybrid."""
+    """(key, cluster) by method: kmeans, minibatch, hdbscan (noise moved to the nearest cluster), agglomerative or hybrid."""
     if method == "kmeans":
         return kmeans(df, key, k, vec, seed)
+    if method == "minibatch":
+        return minibatch_kmeans(df, key, k, vec, seed, **options)
     if method == "agglomerative":
         return agglomerative(df, key, k, vec, seed=seed)
     if method == "hybrid":
