@@ -8,8 +8,8 @@ fewer than min_df training documents, or whose log ratio is within min_ratio
 of 0, count for nothing.
 
 The classifier is fitted on the driver from at most max_each labelled rows of
-either label (rows in the order of a hash of doc_id), whose features come as
-sparse blocks. Scoring
+either label (rows in the order of a hash of doc_id). Their slots are written once;
+tasks count them by label, and only those that are used come to the driver. Scoring
 goes over every whole text in Arrow batches with the fixed-size weight table.
 
 Defined results: null and empty texts have no n-grams but the boundary and are
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import GOLD, crc_mod, fresh, lbfgs, pack, sliced, trim, unpack
+from curatrix.llm.common import _LOWER, GOLD, crc_mod, discard, fresh, lbfgs, materialize, pack, sliced, trim, unpack
 
 BITS = 20
 LENGTHS = (4, 5, 6)
@@ -62,10 +62,11 @@ def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of ' text ' in lower case."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     pad = pa.scalar(" ", pa.large_string())
-    texts = pc.binary_join_element_wise(pad, pc.ascii_lower(texts), pad, pa.scalar("", pa.large_string()))
+    # Letters are lowered by table: of a slice of a batch, Arrow's ascii_lower may give zero bytes.
+    texts = pc.binary_join_element_wise(pad, texts, pad, pa.scalar("", pa.large_string()))
     off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[off[0] : off[-1]]
-    return raw, off - off[0]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
+    return _LOWER[raw], off - off[0]
 
 
 class Distinct:
@@ -102,20 +103,35 @@ def document_slots(texts: pa.Array, useful: np.ndarray | None = None):
         yield distinct(np.concatenate(own))
 
 
+def counted(rows) -> tuple[np.ndarray, np.ndarray]:
+    """(number, number of label 1) of the rows of each slot, from (label, distinct slots) pairs."""
+    df, pos = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for label, slots in rows:
+        df[slots] += 1
+        pos[slots] += label
+    return df, pos
+
+
+def log_ratios(df: np.ndarray, pos: np.ndarray, n: int, n_pos: int, min_df: int = 5, alpha: float = 1.0, min_ratio: float = 0.3) -> np.ndarray:
+    """The log ratio of each slot, 0 where it counts for nothing."""
+    p, q = pos + alpha, df - pos + alpha
+    ratio = np.log((p / (n_pos + 2 * alpha)) / (q / (n - n_pos + 2 * alpha)))
+    return np.where((df >= min_df) & (np.abs(ratio) >= min_ratio), ratio, 0.0)
+
+
 def fit(rows: list[tuple[int, np.ndarray]], min_df: int = 5, alpha: float = 1.0, l2: float = 30.0, min_ratio: float = 0.3, steps: int = 60) -> Model:
     """Weights from (label, distinct slots) pairs."""
+    return solve(rows, log_ratios(*counted(rows), len(rows), sum(y for y, _ in rows), min_df, alpha, min_ratio), l2, steps)
+
+
+def solve(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, l2: float = 30.0, steps: int = 60) -> Model:
+    """Weights from (label, distinct slots) pairs and the slots' log ratios; slots of ratio 0 may be left out of the pairs."""
     size = 1 << BITS
     y = np.array([r[0] for r in rows], dtype=np.float64)
     if not len(rows) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(rows) + 1.0)
         return Model(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    df, pos = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for label, slots in rows:
-        df[slots] += 1
-        pos[slots] += label
-    p, q = pos + alpha, df - pos + alpha
-    ratio = np.log((p / (y.sum() + 2 * alpha)) / (q / (len(y) - y.sum() + 2 * alpha)))
-    used = (df >= min_df) & (np.abs(ratio) >= min_ratio)
+    used = ratio != 0
     lens = np.array([np.count_nonzero(used[s]) for _, s in rows])
     ends = np.cumsum(lens)
     ids = np.flatnonzero(used)
@@ -158,25 +174,58 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_each: int)
     return rows, float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)))
 
 
+def _packed(slots: np.ndarray) -> bytes:
+    return pack(np.diff(np.sort(slots).astype(np.uint32), prepend=np.uint32(0)))
+
+
+def _slots(block) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unpack(block.as_py())[0], np.uint32), dtype=np.uint32)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 1_500, min_df: int = 5) -> Model:
     """Fit on at most max_each labelled rows of either label of the training fold; the intercept follows the odds of all of its labels."""
 
     def blocks(batches):
+        for batch in sliced(batches, 100):
+            got = document_slots(batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y").cast(pa.int32()), "slots": pa.array([_packed(g) for g in got], pa.binary())})
+
+    def counts(batches):
+        n, n_pos, df, pos = 0, 0, np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
         for batch in sliced(batches, 100):
             ys = batch.column("y").to_pylist()
-            got = list(document_slots(batch.column("text")))
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "slots": pa.array([pack(np.diff(np.sort(g).astype(np.uint32), prepend=np.uint32(0))) for g in got], pa.binary())})
+            more = counted(zip(ys, map(_slots, batch.column("slots"))))
+            n, n_pos, df, pos = n + len(ys), n_pos + sum(ys), df + more[0], pos + more[1]
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int32()), "n_pos": pa.array([n_pos], pa.int32()), "df": pa.array([pack(df)], pa.binary()), "pos": pa.array([pack(pos)], pa.binary())})
 
     sample, odds = training_rows(docs, labels, label, max_each)
-    got = sample.mapInArrow(blocks, "y int, slots binary").toArrow()
-    # Some tens of MB of slots for all rows of the bounded sample.
-    rows = [(y, np.cumsum(np.frombuffer(unpack(s.as_py())[0], np.uint32), dtype=np.uint32)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
+    written = materialize(sample.mapInArrow(blocks, "y int, slots binary"))
+    n, n_pos, df, pos = 0, 0, np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    # One row for each task over the bounded sample, taken one after the other.
+    for r in written.mapInArrow(counts, "n int, n_pos int, df binary, pos binary").toLocalIterator():
+        n, n_pos = n + r["n"], n_pos + r["n_pos"]
+        df += np.frombuffer(unpack(r["df"])[0], np.int32)
+        pos += np.frombuffer(unpack(r["pos"])[0], np.int32)
+    ratio = log_ratios(df, pos, n, n_pos, min_df)
+    del df, pos
+    useful = docs.sparkSession.sparkContext.broadcast(np.packbits(ratio != 0))
+
+    def narrowed(batches):
+        used = np.unpackbits(useful.value).astype(bool)
+        for batch in sliced(batches, 100):
+            own = map(_slots, batch.column("slots"))
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "slots": pa.array([_packed(g[used[g]]) for g in own], pa.binary())})
+
+    got = written.mapInArrow(narrowed, "y int, slots binary").toArrow()
+    rows = [(y, _slots(s)) for y, s in zip(got.column("y").to_pylist(), got.column("slots"))]
     del got
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:256]))
-    model = fit(rows, min_df=min_df)
+    useful.unpersist()
+    discard(written)
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    model = solve(rows, ratio)
     if rows and model.weights.any():
-        own = np.log((sum(y for y, _ in rows) + 0.5) / (sum(1 - y for y, _ in rows) + 0.5))
-        model.bias += odds - float(own)
+        model.bias += odds - float(np.log((n_pos + 0.5) / (n - n_pos + 0.5)))
     rows.clear()
     trim()
     return model

@@ -421,3 +421,21 @@ def test_paragraphs(spark, groups, none):
     left = {r["doc_id"]: r["text"] for r in got(paragraph_minhash.without_copies(df))}
     gone = [k for k, v in want.items() if v != k]
     assert left[gone[0][0]].count("\n") < dict((r[0], r[1]) for r in groups)[gone[0][0]].count("\n") or left[gone[0][0]] == ""
+
+
+def test_slots_of_slices():
+    import pyarrow as pa
+
+    texts = pa.array([f"Some Words {i} ÄÖ" for i in range(450)], pa.string())
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    whole = [sorted(s.tolist()) for s in nbsvm.document_slots(texts)]
+    assert [sorted(s.tolist()) for b in nbsvm.sliced([batch], 200) for s in nbsvm.document_slots(b.column("text"))] == whole
+    assert len({tuple(s) for s in whole}) == 450
+
+
+def test_toxicity_ranks_held_out_rows_of_long_batches(spark):
+    docs, labels = labelled(spark, 3000)
+    out = got(nbsvm.toxicity(docs.coalesce(1), labels).filter("held_out").join(labels.filter("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id"))
+    kind = [[r["score"] for r in out if r["toxic"] == y] for y in (0, 1)]
+    assert min(map(len, kind)) > 200
+    assert sum(a < b for a in kind[0] for b in kind[1]) > 0.95 * len(kind[0]) * len(kind[1])
