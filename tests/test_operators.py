@@ -299,3 +299,19 @@ def test_comparison_recommends_the_largest_silhouette(spark, sf):
     assert set(out) == {"kmeans", "agglomerative", "hybrid"}
     best = max(out.values(), key=lambda r: r["silhouette"])["silhouette"]
     assert [r["silhouette"] for r in out.values() if r["recommended"]] == [best]
+
+
+def test_ranks_and_totals_of_sampled_ranges(spark):
+    """Range bounds are drawn from a sample where a partition has many rows, so two readings of one plan may part rows differently."""
+    df = spark.range(0, 60_000, 1, 3).select("id", (F.xxhash64("id") % 1_000_003).alias("x"), (F.col("id") % 3).alias("g"))
+    # Small tables would be put into one part.
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        out = frequency.ranked(df, "g", [F.col("x"), F.col("id")], "r").select("id", "g", "x", "r").toPandas()
+        total = frequency.running_total(df, ["x", "id"], None, "before").select("x", "id", "before", "g").toPandas()
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(out) == 60_000
+    assert (out["r"] == (out.sort_values(["g", "x", "id"]).groupby("g").cumcount() + 1).reindex(out.index)).all()
+    assert total.sort_values(["x", "id"])["before"].tolist() == list(range(60_000))
