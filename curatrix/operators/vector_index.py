@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ CENTRE_BYTES = 32 << 20
 BLOCK = 1_024
 #: Rows of a group that one task compares with another.
 GROUP_ROWS = 8_000
+#: Rows of a group whose pairs are found at once.
+PAIR_ROWS = 256
 #: Digits by which scores rank.
 DIGITS = 9
 #: Angles are trusted to so much.
@@ -313,21 +316,23 @@ class VectorIndex:
                         at = slice(lo, lo + 8_192)
                         yield pa.RecordBatch.from_arrays([pa.array(low[at], pa.int32()), pa.array(high[at], pa.int32()), pa.array(own[row[at]], pa.int32()), keys.values.take(pa.array(row[at])), pa.array([u[i].tobytes() for i in row[at].tolist()], pa.binary())], names=["low", "high", "side", "key", "u"])
 
-        def compare(t: pa.Table) -> pa.Table:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches)
             low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
             side = t.column("side").to_numpy()
             keys = t.column("key").combine_chunks()
             u = np.frombuffer(b"".join(t.column("u").to_pylist())).reshape(-1, dims)
             left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-            found = []
-            for lo in range(0, len(left), BLOCK):
-                sim = u[left[lo : lo + BLOCK]] @ u[right].T
+            del t
+            other = u[right].T
+            # Pairs of some rows go out before the next are compared, so that a task never holds those of its groups.
+            for lo in range(0, len(left), PAIR_ROWS):
+                sim = u[left[lo : lo + PAIR_ROWS]] @ other
                 i, j = np.nonzero(sim > threshold)
                 a, b = keys.take(pa.array(left[lo + i])), keys.take(pa.array(right[j]))
                 less = pc.less(a, b)
                 keep = less if low == high else pc.not_equal(a, b)  # a group meets itself in both directions
-                found.append(pa.table({"a": pc.if_else(less, a, b).filter(keep), "b": pc.if_else(less, b, a).filter(keep), "sim": pa.array(sim[i, j]).filter(keep)}))
-            return pa.concat_tables(found) if found else pa.table({"a": keys[:0], "b": keys[:0], "sim": pa.array([], pa.float64())})
+                yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b).filter(keep), pc.if_else(less, b, a).filter(keep), pa.array(sim[i, j]).filter(keep)], names=["a", "b", "sim"])
 
         sent = self.blocks().select("list", "keys", "vectors").mapInArrow(route, f"low int, high int, side int, key {kind}, u binary")
         return sent.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
