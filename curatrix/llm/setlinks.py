@@ -31,7 +31,7 @@ from curatrix.llm.components import components
 
 CELLS = 128
 #: Lists of at most SHORT nodes are compared in full at once; longer ones in parts of about PART nodes.
-SHORT, PART = 12, 500
+SHORT, PART = 12, 2000
 #: Bits of the table that tells which documents are to be fetched.
 NEED_BITS = 22
 #: Frequent shingles that are sent to every task (16 bytes each).
@@ -274,10 +274,10 @@ def sketched(pairs: DataFrame, nodes: DataFrame, num: int, column: str = "cells"
     return pairs.select("a", "b", "na", "nb", "key", "ca", "cb").mapInArrow(run, "a long, b long, key long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, rule: Rule, blocks: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, key) whose sets are similar, compared in full; texts: see stored."""
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, rule: Rule, blocks: int, sharp: bool = False) -> DataFrame:
+    """The pairs (a, b) of (a, b, key) whose sets are similar, compared in full; texts: see stored; sharp: fine sketches have been compared."""
     num = rule.num
-    rough = pairs = materialize(sketched(pairs, nodes, num, "fine")) if rule.cells > CELLS else pairs
+    rough = pairs = materialize(sketched(pairs, nodes, num, "fine")) if rule.cells > CELLS and not sharp else pairs
     # Pairs with a common key go to one block, so that a set is sent to few blocks; keys with many pairs to a grid of blocks.
     per = pairs.groupBy("key").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(20_000.0))).alias("grid"))
     pairs = pairs.join(per, "key")
@@ -428,15 +428,21 @@ def _verified(pairs, wanted, texts, rule, blocks, num):
     return pairs.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(compare, "a long, b long")
 
 
-def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best: bool) -> DataFrame:
-    """(a, b, key): pairs of the long lists (list, sid, n) that different components hold and whose sketches leave room.
+def met(lists: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    """(x, y, near, key): pairs of the long lists (list, sid, n) that different components hold and whose sketches, coarse and fine, leave room.
 
-    All such pairs; or, with `best`, for each node only the partner whose sketch is nearest.
+    All such pairs; or, with `best`, for each node of a part of a list the partner
+    whose sketch is nearest. A pair goes out of the first of the lists that hold both
+    its nodes only, so that long texts, which meet in many lists, do not multiply it.
     """
+    num, sharp = rule.num, rule.cells > CELLS
+    nodes = nodes.select("sid", F.col("fine" if sharp else "cells").alias("cells"))
     named = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = materialize(named)
     mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("list")
-    rest = named.join(mixed, "list", "left_semi").join(nodes.select("sid", "cells"), "sid")
+    rest = materialize(named.join(mixed, "list", "left_semi"))
+    of = rest.groupBy("sid").agg(F.array_sort(F.collect_set("list")).alias("every"))
+    rest = rest.join(nodes, "sid").join(of, "sid")
     # A list of many members is cut into parts, and each pair of parts is a task's group of its own.
     parts = named.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).cast("int").alias("parts"))
     rest = rest.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("sid", F.lit(21)), F.col("parts")).cast("int"))
@@ -446,9 +452,21 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best:
     def run(t: pa.Table) -> pa.Table:
         sid, comp, n, part = (t.column(c).to_numpy().astype(I64) for c in ("sid", "comp", "n", "part"))
         alone = not t.num_rows or t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        cells = t.column("cells").to_pylist()
+        fine = np.frombuffer(b"".join([unpack(x)[0] for x in cells] if sharp else cells), np.uint8).reshape(-1, rule.cells)
         order = np.argsort(n, kind="stable")
-        sid, comp, n, part, cells = sid[order], comp[order], n[order], part[order], cells[order]
+        sid, comp, n, part, fine = sid[order], comp[order], n[order], part[order], fine[order]
+        # The coarse sketch is the fine one with its cells added up; a full cell stays full.
+        cells = np.minimum(fine.reshape(len(fine), rule.cells // CELLS, CELLS).sum(1, dtype=I64), 255).astype(np.uint8)
+        every = t.column("every").combine_chunks()
+        own, ends = every.values.to_numpy(), every.offsets.to_numpy()
+        key = t.column("list")[0].as_py() if t.num_rows else 0
+
+        def before(i: int) -> np.ndarray:
+            """Lists of node i that come before this one."""
+            its = own[ends[order[i]] : ends[order[i] + 1]]
+            return its[: np.searchsorted(its, key)]
+
         top, mate = np.full(len(sid), -1.0), np.zeros(len(sid), I64)
         out = []
         for i in range(len(sid) - 1):
@@ -458,8 +476,12 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best:
             if not len(j):
                 continue
             j = j[sketch_passes(cells[j], cells[i][None], n[j], np.full(len(j), n[i]), num)]
+            if sharp and len(j):
+                j = j[sketch_passes(fine[j], fine[i][None], n[j], np.full(len(j), n[i]), num)]
+            if len(j):
+                j = j[[not len(np.intersect1d(before(i), before(x), assume_unique=True)) for x in j.tolist()]]
             if best and len(j):
-                most = np.minimum(cells[j], cells[i][None]).sum(1, dtype=I64)
+                most = np.minimum(fine[j], fine[i][None]).sum(1, dtype=I64)
                 near = most / np.maximum(1, n[i] + n[j] - most)
                 up = near > top[j]
                 top[j[up]], mate[j[up]] = near[up], i
@@ -472,10 +494,14 @@ def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, num: int, best:
             i = np.flatnonzero(top >= 0)
             out.append(np.stack([sid[i], sid[mate[i]], (top[i] * 1e9).astype(I64)], 1))
         rows = np.concatenate(out) if out else np.zeros((0, 3), I64)
-        key = t.column("list")[0].as_py() if t.num_rows else 0
         return pa.table({"x": pa.array(np.ascontiguousarray(rows[:, 0])), "y": pa.array(np.ascontiguousarray(rows[:, 1])), "near": pa.array(np.ascontiguousarray(rows[:, 2])), "key": pa.array(np.full(len(rows), key), pa.int64())})
 
-    pairs = rest.select("list", "lo", "hi", "part", "sid", "comp", "n", "cells").groupBy("list", "lo", "hi").applyInArrow(run, "x long, y long, near long, key long")
+    return rest.select("list", "lo", "hi", "part", "sid", "comp", "n", "cells", "every").groupBy("list", "lo", "hi").applyInArrow(run, "x long, y long, near long, key long")
+
+
+def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    """(a, b, key): the pairs of `met`; with `best`, for each node only the partner whose sketch is nearest."""
+    pairs = met(lists, nodes, comps, rule, best)
     if best:
         pairs = pairs.groupBy("x").agg(F.max(F.struct("near", "y", "key")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.key").alias("key"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key")
@@ -500,15 +526,16 @@ def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[Dat
     edges = verified(sketched(pairs, nodes, rule.num), texts, nodes, rule, blocks)
     comps = components(edges)
     lists = found.filter("list <> 0").select("list", F.col("a").alias("sid"), F.col("na").alias("n"))
+    held = materialize(nodes.join(lists.select("sid").distinct(), "sid", "left_semi").select("sid", "cells", "fine"))
     # Join components by each node's nearest partner first; then compare whatever is left between components.
-    for best in (True, True, False):
-        more = materialize(across(lists, nodes, comps, rule.num, best))
+    for best in (True, False):
+        more = materialize(across(lists, held, comps, rule, best))
         if not more.take(1):
             break
-        fresh = verified(more, texts, nodes, rule, blocks)
+        fresh = verified(more, texts, nodes, rule, blocks, sharp=True)
         discard(more)
         if fresh.take(1):
             edges = edges.unionByName(fresh)
             comps = components(edges)
-    discard(found, nodes, texts)
+    discard(found, nodes, held, texts)
     return table, comps

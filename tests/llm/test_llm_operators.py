@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann_ads, ctw, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, suffix_bpr
+from curatrix.llm import ann_ads, ctw, decontam, jaccard_join, mix_pareto, nbsvm, ordinal, paragraph_minhash, pii_crf, setlinks, suffix_bpr
 from curatrix.llm.common import lbfgs, pack, shingles, unpack, word_hashes
 from curatrix.llm.components import components
 
@@ -403,6 +403,35 @@ def test_jaccard_join(spark, groups, none):
     assert got(jaccard_join.linked_documents(none)) == []
 
 
+def long_list(spark, n):
+    """n long texts that share a tenth of their shingles, as the members of two long lists."""
+    r = random.Random(4)
+    shared = " ".join(f"s{i}" for i in range(200))
+    texts = [(i, shared + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(1800))) for i in range(n)]
+    rule = jaccard_join.jaccard_rule()
+    table, _ = setlinks.items(spark.createDataFrame(texts, "doc_id long, text string"), rule, False)
+    nodes = setlinks.materialize(table.select("sid", "doc_id", "para", "n", "cells", "fine"))
+    return rule, nodes, nodes.select(F.explode(F.expr("array(5L, 9L)")).alias("list"), "sid", "n")
+
+
+def test_long_lists_leave_only_pairs_that_fine_sketches_leave(spark):
+    rule, nodes, lists = long_list(spark, 30)
+    none = spark.createDataFrame([], "node long, comp long")
+    for best in (True, False):
+        assert setlinks.across(lists, nodes, none, rule, best).count() == 0
+
+
+def test_long_lists_give_a_pair_once(spark):
+    rule, nodes, _ = long_list(spark, 3)
+    # Sizes and sketches of one text under three names: all pairs pass, in either list.
+    one = nodes.orderBy("sid").limit(1).drop("sid")
+    nodes = setlinks.materialize(one.crossJoin(spark.range(1, 4).withColumnRenamed("id", "sid")).select("sid", *one.columns))
+    lists = nodes.select(F.explode(F.expr("array(9L, 5L)")).alias("list"), "sid", "n")
+    none = spark.createDataFrame([], "node long, comp long")
+    assert setlinks.met(lists, nodes, none, rule, False).count() == 3
+    assert sorted(tuple(r) for r in setlinks.across(lists, nodes, none, rule, False).collect()) == [(1, 2, 5), (1, 3, 5), (2, 3, 5)]
+
+
 def test_prefix_and_boundary():
     assert [jaccard_join.prefix(n, 85, 1) for n in (1, 2, 7, 20)] == [1, 1, 2, 4]
     assert jaccard_join.boundary([(n, 1) for n in range(1, 100)], 85, 0.0) >= 6
