@@ -32,6 +32,8 @@ from curatrix.llm.components import components
 CELLS = 128
 #: Lists of at most SHORT nodes are compared in full at once; longer ones in parts of about PART nodes.
 SHORT, PART = 12, 2000
+#: Groups that the members of long lists are dealt to before their sketches are sent.
+CUTS = 1024
 #: Bits of the table that tells which documents are to be fetched.
 NEED_BITS = 22
 #: Frequent shingles that are sent to every task (16 bytes each).
@@ -428,24 +430,56 @@ def _verified(pairs, wanted, texts, rule, blocks, num):
     return pairs.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(compare, "a long, b long")
 
 
+def crossing(named: DataFrame, num: int) -> DataFrame:
+    """(list, sid, n, comp, parts): the members of lists (list, sid, n, comp) that have a member of another component and of a fitting size in their list.
+
+    Lists that are left with the same members become the first of them, as words
+    that go together make the same list again and again. So sketches are only sent
+    where a pair may come of it, and once for such lists. parts: how many parts of
+    about PART members a list makes.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        lst, sid, n, comp = (t.column(c).to_numpy().astype(I64) for c in ("list", "sid", "n", "comp"))
+        order = np.lexsort((n, lst))
+        lst, sid, n, comp = lst[order], sid[order], n[order], comp[order]
+        heads = np.flatnonzero(np.concatenate([[True], lst[1:] != lst[:-1]]))
+        place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(lst))))
+        # The next member of another component, by size, and the one before; any other is further away in size.
+        change = np.flatnonzero((lst[1:] != lst[:-1]) | (comp[1:] != comp[:-1])) + 1
+        stretch = np.searchsorted(change, np.arange(len(lst)), side="right")
+        after, before = np.append(change, -1)[stretch], np.concatenate([[0], change])[stretch] - 1
+        keep = (after >= 0) & (lst[after] == lst) & fits(n, n[after], num)
+        keep |= (before >= 0) & (lst[before] == lst) & fits(n, n[before], num)
+        lst, sid, n, comp, place = lst[keep], sid[keep], n[keep], comp[keep], place[keep]
+        size = np.bincount(place)
+        names = np.zeros(len(size), np.uint64)
+        np.add.at(names, place, splitmix(sid.view(np.uint64) + GOLD))
+        names = splitmix(names ^ (size.astype(np.uint64) * GOLD)).view(I64)
+        parts = -(-size[place] // PART)
+        return pa.table({"same": pa.array(names[place]), "list": pa.array(lst), "sid": pa.array(sid), "n": pa.array(n), "comp": pa.array(comp), "parts": pa.array(parts.astype(np.int32))})
+
+    schema = "same long, list long, sid long, n long, comp long, parts int"
+    kept = named.select("list", "sid", "n", "comp", F.pmod(F.xxhash64("list"), F.lit(CUTS)).alias("cut")).groupBy("cut").applyInArrow(run, schema)
+    one = kept.groupBy("same", "sid").agg(*(F.min(c).alias(c) for c in ("list", "n", "comp", "parts")))
+    return one.select("list", "sid", "n", "comp", "parts")
+
+
 def met(lists: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    """(x, y, near, key): pairs of the long lists (list, sid, n) that different components hold and whose sketches, coarse and fine, leave room.
+    """(x, y, near, key, mates): pairs of the long lists (list, sid, n) that different components hold and whose sketches, coarse and fine, leave room.
 
     All such pairs; or, with `best`, for each node of a part of a list the partner
-    whose sketch is nearest. A pair goes out of the first of the lists that hold both
+    whose sketch is nearest, and how many pairs of the node there are in all. A pair goes out of the first of the lists that hold both
     its nodes only, so that long texts, which meet in many lists, do not multiply it.
     """
     num, sharp = rule.num, rule.cells > CELLS
     nodes = nodes.select("sid", F.col("fine" if sharp else "cells").alias("cells"))
     named = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    named = materialize(named)
-    mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("list")
-    rest = materialize(named.join(mixed, "list", "left_semi"))
+    rest = materialize(crossing(named, num))
     of = rest.groupBy("sid").agg(F.array_sort(F.collect_set("list")).alias("every"))
     rest = rest.join(nodes, "sid").join(of, "sid")
     # A list of many members is cut into parts, and each pair of parts is a task's group of its own.
-    parts = named.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).cast("int").alias("parts"))
-    rest = rest.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("sid", F.lit(21)), F.col("parts")).cast("int"))
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("sid", F.lit(21)), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = rest.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
 
@@ -467,7 +501,7 @@ def met(lists: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, best:
             its = own[ends[order[i]] : ends[order[i] + 1]]
             return its[: np.searchsorted(its, key)]
 
-        top, mate = np.full(len(sid), -1.0), np.zeros(len(sid), I64)
+        top, mate, mates = np.full(len(sid), -1.0), np.zeros(len(sid), I64), np.zeros(len(sid), I64)
         out = []
         for i in range(len(sid) - 1):
             hi = np.searchsorted(100 * n[i] < num * n, True)  # sizes ascend
@@ -485,23 +519,29 @@ def met(lists: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, best:
                 near = most / np.maximum(1, n[i] + n[j] - most)
                 up = near > top[j]
                 top[j[up]], mate[j[up]] = near[up], i
+                mates[j] += 1
+                mates[i] += len(j)
                 k = int(near.argmax())
                 if near[k] > top[i]:
                     top[i], mate[i] = near[k], j[k]
             elif len(j):
-                out.append(np.stack([sid[np.full(len(j), i)], sid[j], np.zeros(len(j), I64)], 1))
+                out.append(np.stack([sid[np.full(len(j), i)], sid[j], np.zeros(len(j), I64), np.ones(len(j), I64)], 1))
         if best:
             i = np.flatnonzero(top >= 0)
-            out.append(np.stack([sid[i], sid[mate[i]], (top[i] * 1e9).astype(I64)], 1))
-        rows = np.concatenate(out) if out else np.zeros((0, 3), I64)
-        return pa.table({"x": pa.array(np.ascontiguousarray(rows[:, 0])), "y": pa.array(np.ascontiguousarray(rows[:, 1])), "near": pa.array(np.ascontiguousarray(rows[:, 2])), "key": pa.array(np.full(len(rows), key), pa.int64())})
+            out.append(np.stack([sid[i], sid[mate[i]], (top[i] * 1e9).astype(I64), mates[i]], 1))
+        rows = np.concatenate(out) if out else np.zeros((0, 4), I64)
+        return pa.table({"x": pa.array(np.ascontiguousarray(rows[:, 0])), "y": pa.array(np.ascontiguousarray(rows[:, 1])), "near": pa.array(np.ascontiguousarray(rows[:, 2])), "key": pa.array(np.full(len(rows), key), pa.int64()), "mates": pa.array(np.ascontiguousarray(rows[:, 3]))})
 
-    return rest.select("list", "lo", "hi", "part", "sid", "comp", "n", "cells", "every").groupBy("list", "lo", "hi").applyInArrow(run, "x long, y long, near long, key long")
+    return rest.select("list", "lo", "hi", "part", "sid", "comp", "n", "cells", "every").groupBy("list", "lo", "hi").applyInArrow(run, "x long, y long, near long, key long, mates long")
 
 
 def across(lists: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, best: bool) -> DataFrame:
     """(a, b, key): the pairs of `met`; with `best`, for each node only the partner whose sketch is nearest."""
-    pairs = met(lists, nodes, comps, rule, best)
+    return chosen(met(lists, nodes, comps, rule, best), best)
+
+
+def chosen(pairs: DataFrame, best: bool) -> DataFrame:
+    """(a, b, key) of the pairs of `met`, see across."""
     if best:
         pairs = pairs.groupBy("x").agg(F.max(F.struct("near", "y", "key")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.key").alias("key"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key")
@@ -529,7 +569,8 @@ def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[Dat
     held = materialize(nodes.join(lists.select("sid").distinct(), "sid", "left_semi").select("sid", "cells", "fine"))
     # Join components by each node's nearest partner first; then compare whatever is left between components.
     for best in (True, False):
-        more = materialize(across(lists, held, comps, rule, best))
+        seen = materialize(met(lists, held, comps, rule, best))
+        more = materialize(chosen(seen, best))
         if not more.take(1):
             break
         fresh = verified(more, texts, nodes, rule, blocks, sharp=True)
@@ -537,5 +578,10 @@ def linked(docs: DataFrame, rule: Rule, context_of, frequent: bool) -> tuple[Dat
         if fresh.take(1):
             edges = edges.unionByName(fresh)
             comps = components(edges)
+        if best:
+            # A pair that was not chosen is neither node's nearest, so both have two pairs or more; only they are sent again.
+            again = materialize(seen.groupBy("x").agg(F.sum("mates").alias("m")).filter("m > 1").select(F.col("x").alias("sid")))
+            lists = lists.join(again, "sid", "left_semi")
+        discard(seen)
     discard(found, nodes, held, texts)
     return table, comps

@@ -432,6 +432,27 @@ def test_long_lists_give_a_pair_once(spark):
     assert sorted(tuple(r) for r in setlinks.across(lists, nodes, none, rule, False).collect()) == [(1, 2, 5), (1, 3, 5), (2, 3, 5)]
 
 
+def test_long_lists_are_cut_and_joined_before_sketches_are_sent(spark):
+    # Lists 7, 3 and 8 have one set of members once 9, which no other fits, is gone; 4 holds one component; 6 has others.
+    n = {1: 100, 2: 100, 5: 90, 9: 300}
+    rows = [(k, s) for k, own in {7: (1, 2, 5, 9), 3: (1, 2, 5), 8: (5, 2, 1, 9), 4: (1, 2), 6: (1, 5)}.items() for s in own]
+    named = spark.createDataFrame([(k, s, n[s], min(s, 3) if s != 2 else 1) for k, s in rows], "list long, sid long, n long, comp long")
+    out = sorted((r["list"], r["sid"], r["n"], r["parts"]) for r in setlinks.crossing(named, 85).collect())
+    assert out == [(3, 1, 100, 1), (3, 2, 100, 1), (3, 5, 90, 1), (6, 1, 100, 1), (6, 5, 90, 1)]
+
+
+def test_long_lists_count_the_pairs_of_a_node(spark):
+    # Node 1 meets 2 and 3, which do not meet; only a node with several pairs may have one that is nobody's nearest.
+    rule, nodes, _ = long_list(spark, 3)
+    one = nodes.orderBy("sid").limit(1).drop("sid")
+    nodes = setlinks.materialize(one.crossJoin(spark.range(1, 4).withColumnRenamed("id", "sid")).select("sid", *one.columns))
+    n = nodes.first()["n"]
+    lists = spark.createDataFrame([(5, 1, n), (5, 2, n), (7, 1, n), (7, 2, n), (9, 1, n), (9, 3, n)], "list long, sid long, n int")
+    none = spark.createDataFrame([], "node long, comp long")
+    found = setlinks.met(lists, nodes, none, rule, True)
+    assert {r["x"]: r["m"] for r in found.groupBy("x").agg(F.sum("mates").alias("m")).collect()} == {1: 2, 2: 1, 3: 1}
+
+
 def test_prefix_and_boundary():
     assert [jaccard_join.prefix(n, 85, 1) for n in (1, 2, 7, 20)] == [1, 1, 2, 4]
     assert jaccard_join.boundary([(n, 1) for n in range(1, 100)], 85, 0.0) >= 6
