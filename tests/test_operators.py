@@ -299,6 +299,16 @@ def test_tfidf_moves_no_terms_and_keeps_rows_without_a_key(spark):
     assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spread_sample_is_the_uniform_one_over_parts(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    for n in (0, 1, 437, 1000, 2000):
+        want = [r["k"] for r in sampling.uniform_sample(df, n, "k").collect()]
+        out = sampling.spread_sample(df, n, "k", rows=100)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert [r["k"] for r in out.collect()] == want and max(sizes, default=0) <= 110
+        assert [r["k"] for r in sampling.spread_sample(df, n, "k").collect()] == want
+
+
 def test_tfidf_classifier(spark):
     df = spark.createDataFrame([("good film", 1.0), ("bad film", 0.0)] * 10, "text string, label double")
     m = vectors.text_classifier(df)
