@@ -330,6 +330,12 @@ def test_mix(spark, docs, rows, none):
     assert got(mix_pareto.mix_report(none)) == []
 
 
+def test_mix_plans_each_step_once(spark, docs):
+    """The driver's memory follows the size of a plan: the plan that holds the texts holds no step of the targets."""
+    plan = mix_pareto.pareto_mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Join ") == 1
+
+
 # op8
 
 
