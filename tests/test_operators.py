@@ -210,6 +210,16 @@ def test_density_clusters_of_any_size(spark):
         vectors.density_clusters(df, "id", limit=100)
 
 
+def test_later_scans_send_only_rows_in_need(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(0, 1, (600, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    sent, frame = [], type(df)
+    plain = frame.crossJoin
+    monkeypatch.setattr(frame, "crossJoin", lambda self, other: (sent.append(self.agg(F.sum(F.length("u"))).first()[0]), plain(self, other))[1])
+    assert len(vectors.spanning_edges(df, "id", block=64, near=8)[1]) == len(x) - 1
+    assert len(sent) > 1 and min(sent[1:]) < sent[0]
+
+
 def test_hdbscan_keeps_its_method_above_the_bound(spark, monkeypatch):
     monkeypatch.setattr(vectors, "kmeans", lambda *a, **b: pytest.fail("k-means instead of density clusters"))
     n = vectors.BOUNDED + 100
